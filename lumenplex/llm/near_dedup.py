@@ -10,8 +10,10 @@ Jaccard similarity of at least `percent` / 100; groups are what links connect.
 3. Bands of four bins make buckets. In a bucket every class is paired with one centre only, the class that
    shares buckets with the most others: a bucket of n classes gives n - 1 pairs.
 4. Pairs are confirmed on full sets; links are connected by repeated star contraction.
-5. Exact handling of what stars can't see: in buckets whose members are still in different groups, pairs across
-   groups that share several bands are confirmed as well.
+5. Exact handling of what stars can't see: classes of buckets whose members are still in different groups are
+   joined by prefix filtering. Shingles are put in order of how frequent they are among those classes; two sets as
+   similar as asked share one of the first (100 - percent) % of both, at places that leave room for the overlap. In
+   a large family of copies each one's own edits come first, so only copies that share edits are compared.
 
 Odd input: a text that is null or has no words has an empty set, is linked with nothing and is its own group;
 rows with a null id are linked with nothing, have no group and are kept; repeated rows share their id's group.
@@ -31,9 +33,8 @@ from lumenplex.llm.common import groups, written
 SHINGLE = 5
 BINS, BAND = 128, 4
 BANDS = BINS // BAND
-#: Bands that a pair across groups must share before its sets are compared. A pair at 0.8 shares 13 of 32 on
-#: average, and fewer than 3 with a chance of 1 in 100,000.
-SHARED_BANDS = 3
+#: Counters of shingle frequencies: the order of shingles needs no more than a rough count.
+SLOTS = 1 << 18
 #: Members whose texts are compared with one copy of their centre's text.
 CHUNK = 200
 TABLE_LIMIT = 300_000
@@ -170,6 +171,59 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_compared(percent), "a long, b long")
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def _setted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingler()
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.column("text")]
+        raw = pa.array([s.tobytes() for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("group"), pa.array([len(s) for s in sets], pa.int64()), raw], ["rep", "group", "size", "hashes"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for h in b.column("hashes"):
+            np.add.at(counts, _slot(np.frombuffer(h.as_py(), np.uint64)), 1)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["slot", "n"])
+
+
+def _prefixes(frequency: np.ndarray, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, at = [], []
+            for h in b.column("hashes"):
+                own = np.frombuffer(h.as_py(), np.uint64)
+                keep = len(own) - -(-percent * len(own) // 100) + 1
+                tokens.append(own[np.lexsort((own, frequency[_slot(own)]))[:keep]].view(np.int64))
+                at.append(np.arange(len(tokens[-1])))
+            n = [len(t) for t in tokens]
+            each = [np.repeat(b.column(c).to_numpy(), n) for c in ("rep", "group", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*each, np.concatenate(tokens), np.concatenate(at))] if n else [pa.array([], pa.int64())] * 5, ["rep", "group", "size", "token", "place"])
+
+    return run
+
+
+def across_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (centre, member) in different groups among members (rep, group) whose sets may be similar enough."""
+    sets = texts.join(members.hint("shuffle_hash"), texts["doc_id"] == members["rep"]).select("rep", "group", "text")
+    sets = written(sets.mapInArrow(_setted, "rep long, group long, size long, hashes binary"), "sets")
+    counts = sets.select("hashes").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    frequency = np.zeros(SLOTS, np.int64)
+    frequency[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    rows = sets.mapInArrow(_prefixes(frequency, percent), "rep long, group long, size long, token long, place long")
+    a, b = (rows.select(F.col("token").alias(f"{x}_token"), *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "group", "size", "place")]) for x in "ab")
+    both = F.col("a_size") + F.col("b_size")
+    room = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    other = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_group") != F.col("b_group"))
+    pairs = a.join(b, (F.col("a_token") == F.col("b_token")) & other & (room * (100 + percent) >= percent * both))
+    return pairs.select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("member")).distinct()
+
+
 def connect(links: DataFrame) -> DataFrame:
     """node, group (the least node reachable) for every node of links a, b, by alternating star contraction."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -210,15 +264,11 @@ def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text
     group = written(connect(links), "groups")
 
     # What stars don't see: members of one bucket that are in different groups by now.
-    named = crowded.join(group, F.col("rep") == F.col("node"), "left").select("rep", "size", "key", F.coalesce("group", "rep").alias("group"))
+    named = crowded.join(group, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("group", "rep").alias("group"))
     mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    left = written(named.join(mixed, "key").join(classes.select("rep", "keys"), "rep"), "mixed")
-    a, b = (left.select(F.col("key").alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "size", "group", "keys")]) for x in "ab")
-    both = F.array_intersect("a_keys", "b_keys")
-    alike = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_group") != F.col("b_group")) & fits(F.col("a_size"), F.col("b_size"))
-    more = a.join(b, (F.col("a_key") == F.col("b_key")) & alike & (F.size(both) >= SHARED_BANDS) & (F.array_min(both) == F.col("a_key")))
+    members = written(named.join(mixed, "key").select("rep", "group").distinct(), "members")
     done = pairs.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
-    more = written(more.select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("member")).distinct().join(done, ["centre", "member"], "left_anti"), "pairs")
+    more = written(across_groups(members, texts, percent).join(done, ["centre", "member"], "left_anti"), "pairs")
     late = written(confirm(more, texts, percent), "links") if not more.isEmpty() else more.limit(0)
     if not late.isEmpty():
         group = written(connect(links.unionByName(late)), "groups")
