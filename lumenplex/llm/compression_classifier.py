@@ -4,8 +4,8 @@ Two zstandard dictionaries are built from good and from bad labelled text. A who
 with each; the normalised size difference and the two ratios go through a logistic calibration to a score.
 
 Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id, of each
-the first EXCERPT bytes; half of them make the dictionaries (at most DICTIONARY bytes each), the other half the
-calibration. Scoring covers every text whole.
+the first EXCERPT bytes, of which a dictionary of at most DICTIONARY bytes takes an even share. The calibration
+sees every sampled text beside dictionaries that were built without its fold. Scoring covers every text whole.
 
 Odd input: a null text is empty; empty texts get the calibrated score of equal sizes at ratio 1; labels that are
 null, of ids without a document or contradictory for one id are left out; without labels of both classes the score
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 SAMPLE = 1500
-EXCERPT = 1500
+EXCERPT = 8192
+FOLDS = 4
 DICTIONARY = 400_000
 CHUNK = 1024
 LEVEL = 3
@@ -91,7 +92,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    return b"\n".join(texts)[:DICTIONARY] or b"\n" * 8
+    share = max(DICTIONARY // max(len(texts), 1), 1024)
+    return b"\n".join(t[:share] for t in texts)[:DICTIONARY] or b"\n" * 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -112,15 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if min(len(by[0]), len(by[1])) < 4:
         logit = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
         return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0, logit), (0.0,) * 3, (1.0,) * 3)
-    half = {y: len(x) // 2 for y, x in by.items()}
-    good, bad = _dictionary(by[1][: half[1]]), _dictionary(by[0][: half[0]])
-    compressors = Compressors(good, bad)
-    rest = [(compressors.features(t.decode("utf-8", "ignore")), y) for y in (0, 1) for t in by[y][half[y] :]]
+    rest = []
+    for k in range(FOLDS):
+        good, bad = (_dictionary([t for i, t in enumerate(by[y]) if i % FOLDS != k]) for y in (1, 0))
+        compressors = Compressors(good, bad)
+        rest += [(compressors.features(t.decode("utf-8", "ignore")), y) for y in (0, 1) for t in by[y][k::FOLDS]]
+    good, bad = _dictionary(by[1]), _dictionary(by[0])
     w, mu, sd = _logistic(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
     # The sample is balanced where labels aren't: the intercept goes back to the share of good ones among all.
     n = known.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in n}
-    w[-1] += np.log(n[1] / n[0]) - np.log(max(1, len(by[1]) - half[1]) / max(1, len(by[0]) - half[0]))
+    w[-1] += np.log(n[1] / n[0]) - np.log(len(by[1]) / len(by[0]))
     return Model(good, bad, *(tuple(map(float, x)) for x in (w, mu, sd)))
 
 
