@@ -94,5 +94,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops}
 
 
+def _rules_sql() -> str:
+    parts = []
+    for r in quality_rules.RULES:
+        parts += [f"{r.name} >= {r.low}"] if r.low is not None else []
+        parts += [f"{r.name} <= {r.high}"] if r.high is not None else []
+    return " and ".join(parts)
+
+
+_SPACE = r"\x20\x09-\x0D"
+
+OP1_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^{_SPACE}]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) as l from d),
+x as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+g as (select doc_id, i, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o as g from x window o as (partition by doc_id order by i)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g where g is not null) where n > 1),
+c as (select doc_id, count(distinct i + k) as n_repeat_words from again cross join (select unnest(range(5)) as k) group by doc_id),
+m as (select w.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines, greatest(len(w), 1) as many,
+  len(list_distinct(list_filter(w, lambda y: list_contains({list(quality_rules.STOP_WORDS)}, y)))) as stops,
+  length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) as upper, length(regexp_replace(t, '[^a-zß-öø-ÿ]', '', 'g')) as lower
+  from w left join c using (doc_id)),
+r as (select *, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words as base_failed, word_chars / many as mean_word_chars, n_symbols / many as symbol_ratio,
+  stops / least(many, {len(quality_rules.STOP_WORDS)}) as stop_word_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio, upper / greatest(upper + lower, 1) as shout_ratio from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_rules_sql()} as kept from r
+"""
+
+OP2_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, k, case k when 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from (select unnest([0, 1]) as k)),
+e as (select *, replace(replace(text, '\', '\\'), '<|', '<\|') as body, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') as named,
+  lag(role) over (partition by conv_id order by turn nulls first, role, text) as before, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by k)) as loss_sha256,
+  (11 + sum(length(body) + case when k = 1 then 13 + length(named) when before = role then 11 else 24 + length(named) end))::bigint as formatted_chars
+from e group by conv_id
+"""
+
+OP5_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_SPACE}]+') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as g from d),
+h as (select doc_id, md5_number(g) as g from g),
+n as (select doc_id, count(*) as n from h group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from h a join h b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+pairs as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a)
+select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c as kept from d left join n using (doc_id) join (select a as doc_id, min(b) as c from reach group by a) using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others use tokenizers, compression, approximate search or weights of their own: held against brute force."""
+    return {"op1_quality_rules": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op5_near_dedup": OP5_SQL}
