@@ -11,6 +11,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenplex.operators.lineage import cut
+
 
 def _cells(points: DataFrame, axes: list[str], radius: float, spread: bool) -> DataFrame:
     steps = F.array(*[F.array(*map(F.lit, s)) for s in (product((-1, 0, 1), repeat=len(axes)) if spread else [(0,) * len(axes)])])
@@ -54,18 +56,30 @@ def match_rolonies(rolonies: DataFrame, found: DataFrame, radius: float, axes: l
     return {"fn": beyond(good, found, radius, axes), "fp": beyond(found, usable, radius, axes), "agreement": within(found, usable, radius, axes)}
 
 
-def meanmin_divergence(points: DataFrame, others: DataFrame, axes: list[str]) -> DataFrame:
+def meanmin_divergence(points: DataFrame, others: DataFrame, axes: list[str], start: float = 2.0) -> DataFrame:
     """Per colour j of points or others: the mean distance to the nearest other of that colour.
 
-    0 without points, infinity without others. Pairs of one colour are reduced to minima right where they meet.
+    0 without points, infinity without others. The nearest one is looked for in grid cells of a width that doubles
+    until every point has one that near, so a point meets others of its surroundings and not all of its colour.
     """
-    a = points.withColumn("__id", F.monotonically_increasing_id()).alias("a")
-    b = others.alias("b")
-    d2 = sum(((F.col(f"a.{x}") - F.col(f"b.{x}")) ** 2 for x in axes[1:]), (F.col(f"a.{axes[0]}") - F.col(f"b.{axes[0]}")) ** 2)
-    least = a.join(b, F.col("a.j") == F.col("b.j"), "left").groupBy("a.j", "a.__id").agg(F.min(d2).alias("d2"))
-    means = least.groupBy("j").agg(F.avg(F.coalesce(F.sqrt("d2"), F.lit(float("inf")))).alias("divergence"))
-    every = points.select("j").union(others.select("j")).distinct()
-    return every.join(means, "j", "left").select("j", F.coalesce("divergence", F.lit(0.0)).alias("divergence"))
+    same = others.select("j").distinct()
+    left = cut(points.select("j", *axes, F.monotonically_increasing_id().alias("__id")))
+    lonely = left.join(same, "j", "left_anti").select("j", F.lit(float("inf")).alias("d"))
+    left = left.join(same, "j", "left_semi")
+    parts, width = [lonely], start
+    while not left.isEmpty():
+        a = _cells(left, axes, width, False).alias("a")
+        b = _cells(others.select("j", *axes), axes, width, True).alias("b")
+        d2 = sum(((F.col(f"a.{x}") - F.col(f"b.{x}")) ** 2 for x in axes[1:]), (F.col(f"a.{axes[0]}") - F.col(f"b.{axes[0]}")) ** 2)
+        near = cut(a.join(b, _near(axes, width)).groupBy("a.j", "a.__id").agg(F.sqrt(F.min(d2)).alias("d")))
+        parts.append(near.select("j", "d"))
+        left = cut(left.join(near.select("__id"), "__id", "left_anti"))
+        width *= 2
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    means = every.groupBy("j").agg(F.avg("d").alias("divergence"))
+    return points.select("j").union(others.select("j")).distinct().join(means, "j", "left").select("j", F.coalesce("divergence", F.lit(0.0)).alias("divergence"))
 
 
 def voxel_labels(points: DataFrame, axes: list[str], reach: int = 0) -> DataFrame:
