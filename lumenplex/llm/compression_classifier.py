@@ -155,9 +155,8 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias(out))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input rows whose texts score at least the threshold, by a model of the training labels."""
-    model = fit(docs, training_rows(labels, doc_id), doc_id, text)
+def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The input rows, with their own columns, whose texts score at least the threshold."""
     # The score needs a copy of the text beside the row; rows themselves pass through untouched.
     both = docs.withColumn("__scored", F.col(f"`{text}`"))
     return score_texts(both, model, docs.columns, "__scored", "__score").where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

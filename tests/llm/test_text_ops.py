@@ -257,5 +257,6 @@ def test_classifier_without_labels_and_on_odd_texts(spark):
     scores = [r.score for r in compression_classifier.score_texts(docs, model, ["doc_id", "kept"]).collect()]
     assert len(scores) == len(TEXTS) and all(abs(s - 0.5) < 1e-9 for s in scores)
     odd = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (99, 1)], "doc_id long, quality int")
-    assert compression_classifier.keep_good(docs, odd).columns == docs.columns
-    assert compression_classifier.keep_good(docs.limit(0), odd).count() == 0
+    model = compression_classifier.fit(docs, odd)
+    assert compression_classifier.keep_good(docs, model).columns == docs.columns
+    assert compression_classifier.keep_good(docs.limit(0), model).count() == 0
