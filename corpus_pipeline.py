@@ -19,8 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on the training labels, scores as good."""
-    return compression_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the compression classifier scores as good.
+
+    It learns from the training labels and the documents as they came: the stage before has taken bad ones away.
+    """
+    labels = compression_classifier.training_rows(table(spark, sf_dir, "labels"))
+    model = compression_classifier.fit(table(spark, sf_dir, "documents"), labels)
+    return compression_classifier.keep_good(docs, model)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
