@@ -38,11 +38,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def carried(df: DataFrame, *extra: Column) -> DataFrame:
     """The whole input row as one struct, beside columns derived from it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *extra)
