@@ -174,5 +174,6 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    shards = F.broadcast(shards)  # a number for each task of the writing job, so ids stay where they are decoded
     docs = blocks.mapInArrow(_decoded, "shard int, doc_id long, within long, n_tokens long, ids binary")
     return docs.join(shards, "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
