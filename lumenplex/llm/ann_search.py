@@ -2,10 +2,16 @@
 
 Nearness is the inner product. Vectors are scaled into the unit ball and one coordinate is appended that brings
 each to the unit sphere, where a larger inner product is a smaller distance; queries are scaled to length 1 and
-get a 0. A table hashes a vector to the cells of K Gaussian projections of width WIDTH; a query visits the PROBES
+get a 0. The scale goes by ranges of norms, each within a factor of 2 (RANGES of them, the last takes all shorter
+ones), so that a single long vector doesn't press the others together; a query visits its cells in every range
+that has points. A table hashes a vector to the cells of K Gaussian projections of width WIDTH; a query visits those
 cells of each table with the best estimated success: its own, then perturbed ones by the sum of squared distances
 to the borders that they cross. K grows as half the logarithm of the number of vectors, so that cells stay small.
 
+How many cells is measured on the data: SAMPLE queries are answered exactly, and a query visits as many cells of a
+table, PROBES at least, as find TARGET of those neighbours. Where that takes more lookups than scoring all
+points costs (LOOKUP points a cell), every query is answered exactly instead, block of points by block.
+
 Cells are dealt into units of about UNIT point rows; a cell of more than CELL rows is split over several. A task holds
 one unit, scores the probed candidates of each query there, and passes on each query's best. Identical vectors
 count once as queries, and as points with their k + 1 least ids, which is all that any answer can hold.
@@ -25,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenplex.llm.common import written
+from lumenplex.llm.common import groups, written
 
 TABLES, PROBES, WIDTH = 12, 100, 1.5
+RANGES = 16
+SAMPLE, TARGET, LOOKUP, MOST = 200, 0.95, 256, 4096
 UNIT, CELL = 65_536, 4096
+BLOCK, BLOCKS, TILE = 131_072, 8, 64
 SEED = 20240117
 
 
@@ -45,6 +54,17 @@ class Hasher:
         self.shift = rng.uniform(0, width, tables * self.k)
         self.mix = rng.integers(1, 2**62, size=self.k + 1, dtype=np.int64) | 1
 
+    def ranges(self, x: np.ndarray) -> np.ndarray:
+        """The range of each vector's norm: 0 reaches down to half of the largest norm, 1 to a quarter of it, ..."""
+        with np.errstate(divide="ignore"):
+            down = np.floor(-np.log2(np.linalg.norm(x / self.norm, axis=1)))
+        return np.clip(down, 0, RANGES - 1).astype(np.int64)
+
+    def moved(self, keys: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+        """The keys of range 0 as those of other ranges."""
+        with np.errstate(over="ignore"):
+            return keys + ranges * self.mix[0]
+
     def _project(self, x: np.ndarray) -> np.ndarray:
         return ((x @ self.axes + self.shift) / self.width).reshape(len(x), self.tables, self.k)
 
@@ -58,12 +78,13 @@ class Hasher:
             return h ^ (h >> 31)
 
     def points(self, x: np.ndarray) -> np.ndarray:
-        x = x / self.norm
+        ranges = self.ranges(x)
+        x = x / self.norm * 2.0 ** ranges[:, None]
         rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-        return self._keys(np.floor(self._project(np.c_[x, rest])))
+        return self.moved(self._keys(np.floor(self._project(np.c_[x, rest]))), ranges[:, None])
 
     def probes(self, q: np.ndarray, n: int = PROBES) -> np.ndarray:
-        """Keys (query, table, probe)."""
+        """Keys (query, table, probe) in range 0."""
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         at = self._project(np.c_[q, np.zeros(len(q))])
         base = np.floor(at)
@@ -104,14 +125,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _keyed(hasher: Hasher, probe: bool):
+def _keyed(hasher: Hasher, probes: int = 0, ranges: tuple[int, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
-                keys = (hasher.probes(x) if probe else hasher.points(x)).reshape(len(x), -1)
+                extra = [] if probes else [pa.array(hasher.ranges(x).astype(np.int32))]
+                if probes:
+                    keys = hasher.probes(x, probes)
+                    keys = np.stack([hasher.moved(keys, np.int64(r)) for r in ranges])
+                    keys = keys.transpose(1, 0, 2, 3).reshape(len(x), -1)
+                else:
+                    keys = hasher.points(x)
                 ends = np.arange(len(x) + 1, dtype=np.int32) * keys.shape[1]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "vec", "keys"])
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, keys, *extra], ["id", "vec", "keys", "range"][: 4 - bool(probes)])
 
     return run
 
@@ -120,6 +148,98 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _best(vecs: np.ndarray, ids: np.ndarray, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best; the rough scores may be off by rounding."""
+    if len(ids) > k:
+        off = 1e-9 + 1e-14 * np.abs(rough).max()
+        near = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - off)
+        vecs, ids = vecs[near], ids[near]
+    exact = np.einsum("ij,j->i", vecs, q)
+    best = _top(exact, ids, k)
+    return ids[best], exact[best]
+
+
+def _sampled(ids: np.ndarray, vecs: np.ndarray, k: int):
+    """A task's k best rows for each sampled query, with the rows' keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty((0, 2 + TABLES), np.int64) for _ in ids]
+        scores = [np.empty(0) for _ in ids]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            points, ranges = b.column("id").to_numpy(), b.column("range").to_numpy()
+            rows = np.c_[points, ranges, np.asarray(b.column("keys").flatten()).reshape(len(points), -1)]
+            for i, rough in enumerate(vecs @ _matrix(b.column("vec")).T):
+                near = np.argpartition(rough, -k)[-k:] if len(rough) > k else np.arange(len(rough))
+                near = near[points[near] != ids[i]]
+                held[i], scores[i] = np.r_[held[i], rows[near]], np.r_[scores[i], rough[near]]
+                best = np.argsort(-scores[i])[:k]
+                held[i], scores[i] = held[i][best], scores[i][best]
+        n = [len(h) for h in held]
+        if sum(n):
+            rows = np.concatenate(held)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TABLES), pa.array(rows[:, 2:].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), n)), pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.concatenate(scores)), keys], ["nth", "id", "range", "score", "keys"])
+
+    return run
+
+
+def enough_probes(hashed: DataFrame, asked: DataFrame, hasher: Hasher, n: int, ranges: int, k: int) -> int | None:
+    """Cells to visit in each table so that TARGET of a sample's neighbours are found; None where looking at all points costs less."""
+    sample = asked.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE).collect()
+    if not sample:
+        return PROBES
+    ids, vecs = np.array([r["id"] for r in sample]), np.array([r["vec"] for r in sample])
+    near = hashed.mapInArrow(_sampled(ids, vecs, k + 1), "nth long, id long, range long, score double, keys array<bigint>")
+    best = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("score"), "id"))
+    near = near.withColumn("rank", best).where(F.col("rank") <= k).select("nth", "range", "keys").collect()  # SAMPLE * k rows at most
+    # PROBES cells in two ranges are always worth a try.
+    most = min(max(2 * TABLES * PROBES, n // LOOKUP) // (TABLES * ranges), MOST, 3**hasher.k)
+    probes = hasher.probes(vecs, most)
+    needed = []
+    for r in near:
+        at = hasher.moved(probes[r["nth"]], np.int64(r["range"])) == np.array(r["keys"])[:, None]
+        needed.append(np.flatnonzero(at.any(0))[0] + 1 if at.any() else np.inf)
+    enough = np.sort(needed)[max(int(np.ceil(TARGET * len(needed))) - 1, 0)] if needed else 1
+    return None if np.isinf(enough) else int(max(enough, min(PROBES, most)))
+
+
+def _compared(k: int):
+    """Rows come with a block's points first, then its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, ids, vecs = None, [], None, None
+        for batch in batches:
+            for (b, kind), part in groups([batch], ["block", "kind"]):
+                if b != block:
+                    block, held, ids = b, [], None
+                if kind == 0:
+                    held.append((part.column("id").to_numpy(), _matrix(part.column("vec"))))
+                    continue
+                if ids is None and held:
+                    ids, vecs = (np.concatenate(c) for c in zip(*held))
+                    held = []
+                if ids is None:
+                    continue
+                queries, q = part.column("id").to_numpy(), _matrix(part.column("vec"))
+                for a in range(0, len(q), TILE):
+                    rough = q[a : a + TILE] @ vecs.T
+                    out = [(np.full(min(k, len(ids)), queries[a + i]), *_best(vecs, ids, q[a + i], row, k)) for i, row in enumerate(rough)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "vec_id", "score"])
+
+    return run
+
+
+def compared(points: DataFrame, asked: DataFrame, n: int, k: int) -> DataFrame:
+    """query, vec_id and score: exactly the k best points of every block of points, for each query."""
+    blocks = max(BLOCKS, -(-n // BLOCK))
+    dealt = points.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), F.lit(0).alias("kind"), "id", "vec")
+    asking = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "id", "vec")
+    both = dealt.unionByName(asking).repartition("block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(_compared(k), "query long, vec_id long, score double")
+
+
 def _searched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, ids, vecs, where = None, [], None, None, {}
@@ -153,12 +273,8 @@ def _searched(k: int):
                     at = np.concatenate([np.arange(*s) for s in spans])
                     _, once = np.unique(ids[at], return_index=True)  # tables share candidates
                     at = at[once]
-                    rough = vecs[at] @ q[i]
-                    if len(at) > k:
-                        at = at[rough >= np.partition(rough, -k)[-k] - 1e-9]
-                    exact = np.einsum("ij,j->i", vecs[at], q[i])
-                    best = _top(exact, ids[at], k)
-                    out.append((np.full(len(best), query), ids[at][best], exact[best]))
+                    best, scores = _best(vecs[at], ids[at], q[i], vecs[at] @ q[i], k)
+                    out.append((np.full(len(best), query), best, scores))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "vec_id", "score"])
 
@@ -174,6 +290,25 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
+def hashed_search(hashed: DataFrame, asked: DataFrame, hasher: Hasher, n: int, probes: int, ranges: tuple[int, ...], k: int) -> DataFrame:
+    """query, vec_id and score: the k + 1 best in every unit, among the points of the cells that a query visits."""
+    units = int(n * TABLES // UNIT) + 1
+    in_cells = hashed.select("id", "vec", F.explode("keys").alias("cell"))
+    blocks = written(hashed.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL)).alias("blocks")), "cells")
+    unit = lambda block: F.pmod(F.xxhash64("cell", block), F.lit(units))
+    large = blocks.where("blocks > 1").withColumnRenamed("cell", "large")
+    dealt = in_cells.join(large, F.col("cell") == F.col("large"), "left").withColumn("unit", unit(F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))))
+    visiting = written(asked.mapInArrow(_keyed(hasher, probes, ranges), "id long, vec array<double>, keys array<bigint>"), "probes")
+    visits = visiting.select("id", F.explode(F.array_distinct("keys")).alias("cell")).join(blocks, "cell")
+    visits = visits.select("id", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    visits = visits.select("id", "cell", unit(F.col("block")).alias("unit")).groupBy("unit", "id").agg(F.collect_set("cell").alias("cells"))
+    visits = visits.join(visiting.select("id", "vec"), "id")
+    both = dealt.select("unit", F.lit(0).alias("kind"), "cell", "id", "vec", F.lit(None).cast("array<bigint>").alias("cells")).unionByName(
+        visits.select("unit", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cell"), "id", "vec", "cells")
+    )
+    return both.repartition("unit").sortWithinPartitions("unit", "kind", "cell").mapInArrow(_searched(k + 1), "query long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest found, itself left out. is_query is over `id`."""
     rows = usable(vectors, vec_id, embedding)
@@ -186,28 +321,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     if not about["n"]:
         return vectors.sparkSession.createDataFrame([], schema)
     hasher = Hasher(about["dims"], about["n"], about["norm"])
-    units = int(about["n"] * TABLES // UNIT) + 1
-
-    keyed = "id long, vec array<double>, keys array<bigint>"
-    hashed = written(points.mapInArrow(_keyed(hasher, False), keyed), "hashed")
-    in_cells = hashed.select("id", "vec", F.explode("keys").alias("cell"))
-    blocks = written(hashed.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CELL)).alias("blocks")), "cells")
-    unit = lambda block: F.pmod(F.xxhash64("cell", block), F.lit(units))
-    large = blocks.where("blocks > 1").withColumnRenamed("cell", "large")
-    dealt = in_cells.join(large, F.col("cell") == F.col("large"), "left").withColumn("unit", unit(F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))))
+    hashed = written(points.mapInArrow(_keyed(hasher), "id long, vec array<double>, keys array<bigint>, range int"), "hashed")
+    ranges = tuple(sorted(r["range"] for r in hashed.select("range").distinct().collect()))  # RANGES at most
     # Identical query vectors are searched once, under the least id.
-    asked = queries.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
-    probes = written(asked.mapInArrow(_keyed(hasher, True), keyed), "probes")
-    visits = probes.select("id", F.explode(F.array_distinct("keys")).alias("cell")).join(blocks, "cell")
-    visits = visits.select("id", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    visits = visits.select("id", "cell", unit(F.col("block")).alias("unit")).groupBy("unit", "id").agg(F.collect_set("cell").alias("cells"))
-    visits = visits.join(probes.select("id", "vec"), "id")
-    both = dealt.select("unit", F.lit(0).alias("kind"), "cell", "id", "vec", F.lit(None).cast("array<bigint>").alias("cells")).unionByName(
-        visits.select("unit", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("cell"), "id", "vec", "cells")
-    )
-    found = both.repartition("unit").sortWithinPartitions("unit", "kind", "cell").mapInArrow(_searched(k + 1), "query long, vec_id long, score double")
+    asked = written(queries.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec"), "asked")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    found = found.distinct().withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth")
+    top = lambda found: found.distinct().withColumn("nth", best).where(F.col("nth") <= k + 1).drop("nth")
+    probes = enough_probes(hashed, asked, hasher, about["n"], len(ranges), k)
+    if probes is None:
+        found = top(compared(hashed.select("id", "vec"), asked, about["n"], k + 1))
+    else:
+        found = written(top(hashed_search(hashed, asked, hasher, about["n"], probes, ranges, k)), "found")
     # Every query gets the answer for its vector, without itself.
     named = queries.select("vec", F.col("id").alias("query_id")).distinct().join(asked.select("vec", F.col("id").alias("query")), "vec").select("query", "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

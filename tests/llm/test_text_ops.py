@@ -213,6 +213,57 @@ def test_search_recall_and_ties(spark):
     assert all(abs(s - float(np.float32(x[v]).astype(float) @ np.float32(x[q]).astype(float))) < 1e-9 for q, g in got.items() for v, s in g.values())
 
 
+def vectors(spark, x, parts=8):
+    import pyarrow as pa
+
+    x = np.asarray(x, np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": lists})).repartition(parts)
+
+
+def searched(df, every):
+    got = {}
+    for r in ann_search.nearest(df, F.col("id") % every == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return got
+
+
+def exactly(x, queries):
+    x = np.asarray(x, np.float32).astype(float)
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    return {q: set(np.argsort(-s, kind="stable")[:20].tolist()) for q, s in zip(queries, scores)}
+
+
+def test_recall_holds_on_a_large_table(spark):
+    x = np.random.default_rng(5).normal(size=(200_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = exactly(x, list(range(0, len(x), 1000)))
+    got = searched(vectors(spark, x), 1000)
+    recall = np.mean([len(got[q] & w) / 20 for q, w in want.items()])
+    print("recall at 200,000:", recall)
+    assert recall >= 0.9
+
+
+def test_clusters_are_searched_by_cell(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + 0.02 * rng.normal(size=(20_000, 32))
+    got = {}
+    df = vectors(spark, x)
+    hasher = ann_search.Hasher(32, len(x), float(np.linalg.norm(x.astype(np.float32), axis=1).max()))
+    rows = ann_search.usable(df)
+    hashed = rows.mapInArrow(ann_search._keyed(hasher), "id long, vec array<double>, keys array<bigint>, range int").cache()
+    ranges = tuple(sorted(r["range"] for r in hashed.select("range").distinct().collect()))
+    asked = rows.where("id % 100 = 0").select("vec", "id")
+    probes = ann_search.enough_probes(hashed, asked, hasher, len(x), len(ranges), 20)
+    assert probes is not None
+    for r in ann_search.hashed_search(hashed, asked.select("id", "vec"), hasher, len(x), probes, ranges, 20).collect():
+        got.setdefault(r.query, []).append((-r.score, r.vec_id))
+    want = exactly(x, list(range(0, len(x), 100)))
+    found = {q: {v for _, v in sorted(set(g)) if v != q} for q, g in got.items()}
+    assert np.mean([len(found.get(q, set()) & w) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_search_of_little(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann_search.nearest(spark.createDataFrame([], schema), F.lit(True)).count() == 0
