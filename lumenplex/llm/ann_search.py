@@ -10,7 +10,8 @@ to the borders that they cross. K grows as half the logarithm of the number of v
 
 How many cells is measured on the data: SAMPLE queries are answered exactly, and a query visits as many cells of a
 table, PROBES at least, as find TARGET of those neighbours. Where that takes more lookups than scoring all
-points costs (LOOKUP points a cell), every query is answered exactly instead, block of points by block.
+points costs (LOOKUP points a cell), every query is answered exactly instead, block of points by block. So are
+queries that end with too few rows, so each has k rows or all others.
 
 Cells are dealt into units of about UNIT point rows; a cell of more than CELL rows is split over several. A task holds
 one unit, scores the probed candidates of each query there, and passes on each query's best. Identical vectors
@@ -332,6 +333,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
         found = top(compared(hashed.select("id", "vec"), asked, about["n"], k + 1))
     else:
         found = written(top(hashed_search(hashed, asked, hasher, about["n"], probes, ranges, k)), "found")
+        full = found.groupBy("query").count().where(F.col("count") >= min(k + 1, hashed.count()))
+        short = written(asked.join(full, F.col("id") == F.col("query"), "left_anti"), "short")
+        if short.count():
+            rest = compared(hashed.select("id", "vec"), short, about["n"], k + 1)
+            found = top(found.unionByName(rest))
     # Every query gets the answer for its vector, without itself.
     named = queries.select("vec", F.col("id").alias("query_id")).distinct().join(asked.select("vec", F.col("id").alias("query")), "vec").select("query", "query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -245,6 +245,18 @@ def test_recall_holds_on_a_large_table(spark):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("long", [0, 1])
+def test_every_query_gets_its_rows(spark, long):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 32))[rng.integers(0, 50, 8000)] + 0.05 * rng.normal(size=(8000, 32))  # clusters
+    x[::400] = 3 * rng.normal(size=(20, 32))  # far from any cluster
+    x[7] *= 1000 if long else 1  # beside which all others are short
+    want = exactly(x, list(range(0, len(x), 20)))
+    got = searched(vectors(spark, x), 20)
+    assert {q: len(g) for q, g in got.items()} == dict.fromkeys(want, 20)
+    assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_clusters_are_searched_by_cell(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + 0.02 * rng.normal(size=(20_000, 32))
