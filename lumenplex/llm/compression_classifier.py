@@ -3,9 +3,10 @@
 Two zstandard dictionaries are built from good and from bad labelled text. A whole text is compressed in chunks
 with each; the normalised size difference and the two ratios go through a logistic calibration to a score.
 
-Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id, of each
-the first EXCERPT bytes, of which a dictionary of at most DICTIONARY bytes takes an even share. The calibration
-sees every sampled text beside dictionaries that were built without its fold. Scoring covers every text whole.
+Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id. A dictionary
+of at most DICTIONARY bytes takes an equal share of every text, in pieces spread over the whole of it; what short
+texts leave of theirs goes to the longer ones. The calibration sees every sampled text, whole and inside tasks, beside
+dictionaries that were built without its fold. Scoring covers every text whole.
 
 Odd input: a null text is empty; empty texts get the calibrated score of equal sizes at ratio 1; labels that are
 null, of ids without a document or contradictory for one id are left out; without labels of both classes the score
@@ -23,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from lumenplex.llm.common import written
+
 SAMPLE = 1500
-EXCERPT = 8192
 FOLDS = 4
 DICTIONARY = 400_000
 CHUNK = 1024
+PIECE = 128
+TASKS = 16
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -50,7 +54,7 @@ class Compressors:
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """(size with good - size with bad) / the larger size, and both sizes over the text's bytes."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = _raw(text)
         if not raw:
             return 0.0, 1.0, 1.0
         good, bad = (c.compress for c in self.pair)
@@ -91,9 +95,63 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return w, mu, sd
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    share = max(DICTIONARY // max(len(texts), 1), 1024)
-    return b"\n".join(t[:share] for t in texts)[:DICTIONARY] or b"\n" * 8
+def _share(sizes: list[int]) -> int:
+    """The most bytes that each of these texts may give to one dictionary, a line break after each included."""
+    room, left = DICTIONARY - len(sizes), sorted(sizes)
+    for i, n in enumerate(left):
+        if n * (len(left) - i) > room:
+            return max(room // (len(left) - i), 0)
+        room -= n
+    return left[-1] if left else 0
+
+
+def _spread(raw: bytes, share: int) -> bytes:
+    """The text if it fits the share, else the share in even pieces from its first byte to its last."""
+    if len(raw) <= share:
+        return raw
+    n = max(-(-share // PIECE), 1)
+    ends = [share * i // n for i in range(n + 1)]
+    gap = len(raw) - share
+    starts = [ends[i] + (gap * i // (n - 1) if n > 1 else 0) for i in range(n)]
+    return b"".join(raw[a : a + ends[i + 1] - ends[i]] for i, a in enumerate(starts))
+
+
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(_raw(t.as_py())) for t in b.column("t")], pa.int64())], ["id", "size"])
+
+
+def _excerpts(share_of: dict[int, tuple[int, int]], y_of: dict[int, int]):
+    """Each text's part in the dictionary of all texts and in those that leave a fold out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, raws = b.column("id").to_pylist(), [_raw(t.as_py()) for t in b.column("t")]
+            parts = [[_spread(r, share_of[y_of[i]][k]) for i, r in zip(ids, raws)] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x, pa.binary()) for x in parts]], ["id", "whole", "part"])
+
+    return run
+
+
+def _measured(pairs: list[tuple[bytes, bytes]], fold_of: dict[int, int]):
+    """Features of whole texts beside the dictionaries without their fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = [Compressors(*p) for p in pairs]
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            rows = [compressors[fold_of[i]].features(t.as_py()) for i, t in zip(ids, b.column("t"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([list(r) for r in rows], pa.list_(pa.float64()))], ["id", "x"])
+
+    return run
+
+
+def _dictionary(parts: list[bytes]) -> bytes:
+    return b"\n".join(parts) or b"\n" * 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -104,22 +162,28 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "id").limit(SAMPLE).collect()]  # 2 * SAMPLE at most
     label_of = {r["id"]: r["y"] for r in ids}
     share = float(np.mean([*label_of.values()])) if label_of else 0.5
+    sizes = {}
     if label_of:
         body = F.col(f"`{text}`")
-        wanted = docs.where(F.col(f"`{doc_id}`").isin([*label_of]) & body.isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.substring(body, 1, EXCERPT).alias("t"))
-        found = {r["id"]: r["t"].encode()[:EXCERPT] for r in wanted.groupBy("id").agg(F.min("t").alias("t")).collect()}
-    else:
-        found = {}
-    by = {y: [found[r["id"]] for r in ids if r["y"] == y and found.get(r["id"])] for y in (0, 1)}
+        wanted = docs.where(F.col(f"`{doc_id}`").isin([*label_of]) & body.isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), body.alias("t"))
+        sample = written(wanted.groupBy("id").agg(F.min("t").alias("t")).repartition(TASKS, "id"), "sample")
+        kind = wanted.schema["id"].dataType.simpleString()
+        sizes = {r["id"]: r["size"] for r in sample.mapInArrow(_sized, f"id {kind}, size long").collect()}
+    by = {y: [r["id"] for r in ids if r["y"] == y and sizes.get(r["id"])] for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
         logit = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
         return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0, logit), (0.0,) * 3, (1.0,) * 3)
-    rest = []
-    for k in range(FOLDS):
-        good, bad = (_dictionary([t for i, t in enumerate(by[y]) if i % FOLDS != k]) for y in (1, 0))
-        compressors = Compressors(good, bad)
-        rest += [(compressors.features(t.decode("utf-8", "ignore")), y) for y in (0, 1) for t in by[y][k::FOLDS]]
-    good, bad = _dictionary(by[1]), _dictionary(by[0])
+    fold_of = {i: nth % FOLDS for y in (0, 1) for nth, i in enumerate(by[y])}
+    sample = sample.where(F.col("id").isin([*fold_of]))
+    without = {y: [[i for i in by[y] if fold_of[i] != k] for k in range(FOLDS)] for y in (0, 1)}
+    share_of = {y: (_share([sizes[i] for i in by[y]]), min(_share([sizes[i] for i in w]) for w in without[y])) for y in (0, 1)}
+    parts = sample.mapInArrow(_excerpts(share_of, label_of), f"id {kind}, whole binary, part binary").collect()  # five DICTIONARY at most
+    whole, part = {r["id"]: bytes(r["whole"]) for r in parts}, {r["id"]: bytes(r["part"]) for r in parts}
+    pairs = [tuple(_dictionary([part[i] for i in without[y][k]]) for y in (1, 0)) for k in range(FOLDS)]
+    rows = sample.mapInArrow(_measured(pairs, fold_of), f"id {kind}, x array<double>").collect()
+    x_of = {r["id"]: r["x"] for r in rows}
+    rest = [(x_of[i], y) for y in (0, 1) for i in by[y]]
+    good, bad = (_dictionary([whole[i] for i in by[y]]) for y in (1, 0))
     w, mu, sd = _logistic(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
     # The sample is balanced where labels aren't: the intercept goes back to the share of good ones among all.
     n = known.groupBy("y").count().collect()

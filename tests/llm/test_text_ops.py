@@ -313,6 +313,31 @@ def test_classifier_on_held_out_rows(spark):
     assert docs.count() == queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").count()
 
 
+def test_dictionaries_take_from_every_text_and_all_of_it(spark):
+    rng = random.Random(3)
+    n = 1000
+    texts = [f"<{i:04d}>" + "".join(rng.choices("abcdefgh ", k=rng.choice([30, 9000]))) + f"[{i:04d}]" for i in range(2 * n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2 * n)], "doc_id long, quality int")
+    model = compression_classifier.fit(docs, labels)
+    for y, raw in ((1, model.good), (0, model.bad)):
+        own = range(y, 2 * n, 2)
+        assert len(raw) <= compression_classifier.DICTIONARY
+        assert all(b"<%04d>" % i in raw and b"[%04d]" % i in raw for i in own)
+
+
+def test_calibration_sees_whole_texts(spark):
+    # Heads say nothing; what is beyond the first 8192 bytes tells the classes apart.
+    rng = random.Random(4)
+    words = {y: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(60)] for y in (0, 1, 2)}
+    text = lambda y: " ".join(rng.choices(words[2], k=900)) + " " + " ".join(rng.choices(words[y], k=900))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = compression_classifier.fit(docs, labels)
+    got = compression_classifier.score_texts(docs.where("doc_id >= 80"), model, ["doc_id"]).collect()
+    assert len(got) == 40 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
 def test_classifier_without_labels_and_on_odd_texts(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
