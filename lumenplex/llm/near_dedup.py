@@ -281,11 +281,18 @@ def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text
 
 
 def keep_first(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input rows without those that near_groups() doesn't keep; rows that share an id count as one document."""
-    found = written(near_groups(docs, percent, doc_id, text), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named, none = left.where(F.col(f"`{doc_id}`").isNotNull()), left.where(F.col(f"`{doc_id}`").isNull())
-        left = named.dropDuplicates([doc_id]).unionByName(none)
-    return left
+    """The input rows without those that near_groups() doesn't keep.
+
+    Where ids repeat, each row is a document of its own, a group keeps its row of the least id and hash, and equal
+    rows count once. Rows without an id stay.
+    """
+    name = F.col(f"`{doc_id}`")
+    if docs.where(name.isNotNull()).groupBy(name).count().where("count > 1").isEmpty():
+        gone = written(near_groups(docs, percent, doc_id, text), "found").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, name == F.col("__gone"), "left_anti")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
+    named, none = docs.where(name.isNotNull()).withColumn("__row", F.xxhash64(*hashed)).dropDuplicates(["__row"]), docs.where(name.isNull())
+    found = written(near_groups(named, percent, "__row", text).select(F.col("doc_id").alias("__row"), "component_id"), "found")
+    of = named.select("__row", name.alias("id")).join(found, "__row")
+    kept = of.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__kept"))
+    return named.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row").unionByName(none)

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against its own input."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -32,3 +33,33 @@ def test_stages(spark):
 def test_run_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
+
+
+def kept_by_brute_force(rows, percent):
+    """Of each group of rows (id, text) linked by the exact similarity of their sets of five words, the least id."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [min(r for r, h, s in zip(rows, group, sets) if h == g) for g in sorted(set(group))]
+
+
+def test_dedup_stage_equals_brute_force(spark):
+    docs = table(spark, DATA, "documents").where("text is not null")
+    want = kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, DATA).collect()) == sorted(i for i, _ in want)
+
+
+def test_dedup_stage_keeps_unique_rows_of_repeated_ids(spark):
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, line(0)), (2, line(0)), (2, line(1)), (2, line(2)), (3, line(3)), (3, line(3)), (3, line(2)), (4, line(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.dedup(spark, docs, DATA).collect()))
+    assert got == sorted(kept_by_brute_force(rows, 80)) == [(1, line(0)), (2, line(1)), (2, line(2)), (3, line(3)), (4, line(4))]
