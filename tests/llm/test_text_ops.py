@@ -235,13 +235,18 @@ def exactly(x, queries):
     return {q: set(np.argsort(-s, kind="stable")[:20].tolist()) for q, s in zip(queries, scores)}
 
 
-def test_recall_holds_on_a_large_table(spark):
-    x = np.random.default_rng(5).normal(size=(200_000, 64))
+@pytest.mark.parametrize("n, every, uneven", [(50_000, 200, False), (50_000, 200, True), (200_000, 1000, False)])
+def test_recall_holds_on_large_tables(spark, n, every, uneven):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64))  # directions without any structure: the hard case
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    want = exactly(x, list(range(0, len(x), 1000)))
-    got = searched(vectors(spark, x), 1000)
+    if uneven:
+        x *= rng.lognormal(size=(n, 1))
+    want = exactly(x, list(range(0, n, every)))
+    got = searched(vectors(spark, x), every)
+    assert {len(g) for g in got.values()} == {20} and set(got) == set(want)
     recall = np.mean([len(got[q] & w) / 20 for q, w in want.items()])
-    print("recall at 200,000:", recall)
+    print("recall", n, uneven, recall)
     assert recall >= 0.9
 
 
@@ -257,23 +262,41 @@ def test_every_query_gets_its_rows(spark, long):
     assert np.mean([len(got[q] & w) / 20 for q, w in want.items()]) >= 0.9
 
 
-def test_clusters_are_searched_by_cell(spark):
+def test_clusters_are_searched_in_few_cells(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 32))[rng.integers(0, 300, 20_000)] + 0.02 * rng.normal(size=(20_000, 32))
-    got = {}
-    df = vectors(spark, x)
-    hasher = ann_search.Hasher(32, len(x), float(np.linalg.norm(x.astype(np.float32), axis=1).max()))
-    rows = ann_search.usable(df)
-    hashed = rows.mapInArrow(ann_search._keyed(hasher), "id long, vec array<double>, keys array<bigint>, range int").cache()
-    ranges = tuple(sorted(r["range"] for r in hashed.select("range").distinct().collect()))
-    asked = rows.where("id % 100 = 0").select("vec", "id")
-    probes = ann_search.enough_probes(hashed, asked, hasher, len(x), len(ranges), 20)
-    assert probes is not None
-    for r in ann_search.hashed_search(hashed, asked.select("id", "vec"), hasher, len(x), probes, ranges, 20).collect():
-        got.setdefault(r.query, []).append((-r.score, r.vec_id))
-    want = exactly(x, list(range(0, len(x), 100)))
-    found = {q: {v for _, v in sorted(set(g)) if v != q} for q, g in got.items()}
-    assert np.mean([len(found.get(q, set()) & w) / 20 for q, w in want.items()]) >= 0.9
+    rows = ann_search.usable(vectors(spark, x)).select("id", "vec").cache()
+    about = {"n": len(x), "dims": 32, "norm": float(np.linalg.norm(x.astype(np.float32), axis=1).max())}
+    ranges = {int(r) for r in ann_search.Hasher(32, about["norm"], 0, 0).ranges(x)}
+    dims, probes = ann_search.measured(rows, rows.where("id % 100 = 0"), about, len(ranges), 20)
+    hasher = ann_search.Hasher(32, about["norm"], dims, 0)
+    cells, visits = hasher.points(x)[1], hasher.probes(x[::500], probes)[1]
+    seen = [np.mean([np.isin(cells, hasher.moved(v, np.int64(r))).any(1).mean() for v in visits]) for r in ranges]
+    assert dims >= 4 and sum(seen) < 0.2  # of all points
+
+
+def test_searches_widen_until_rows_are_found(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 32)) * 0.01 + rng.normal(size=32)
+    x[::1000] = 5 * rng.normal(size=(4, 32))  # alone in their cells
+    want = exactly(x, [0, 1000, 2000, 3000])
+    got = searched(vectors(spark, x), 1000)
+    assert all(len(got[q]) == 20 for q in want)
+
+
+def test_best_keeps_the_best_of_all_offers():
+    rng = np.random.default_rng(10)
+    q, x = rng.normal(size=(40, 8)), rng.normal(size=(900, 8))
+    best = ann_search.Best(40, 5)
+    for a in range(0, 900, 90):
+        for _ in range(2):  # as two tables do
+            rows = rng.permutation(40)
+            best.offer(rows, q[rows], x[a : a + 90], np.arange(a, a + 90))
+        best.settle()
+    rows, ids, scores = best.settle()
+    want = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert rows.tolist() == np.repeat(np.arange(40), 5).tolist() and ids.tolist() == want.ravel().tolist()
+    assert np.allclose(scores, np.einsum("ij,ij->i", q[rows], x[ids]))
 
 
 def test_search_of_little(spark):
@@ -293,6 +316,16 @@ def test_probes_come_by_cost(k, n, rnd):
     assert len({tuple(s) for s in steps}) == n and all(a <= b + 1e-12 for a, b in zip(price, price[1:]))
 
 
+def test_probes_start_at_home_and_differ():
+    x = np.random.default_rng(11).normal(size=(30, 16))
+    hasher = ann_search.Hasher(16, float(np.linalg.norm(x, axis=1).max()), 4, 2)
+    at = hasher._project(np.c_[x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(30)])
+    areas, cells = hasher.probes(x, 3**4)
+    home = hasher.keys(np.floor(at))
+    assert (cells[:, :, 0] == home[1]).all() and (areas[:, :, 0] == home[0]).all()
+    assert all(len(set(t)) == 3**4 for q in cells for t in q) and all(len(set(t)) == 3**2 for q in areas for t in q)
+
+
 def test_recall_on_the_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
     want = brute_nearest(rows, 20)
