@@ -1,11 +1,20 @@
-"""License scans: a positional index of licence templates, looked up by their rarest words.
+"""License scans: a positional index of licence words, looked up by the rarest ones.
 
-Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` of the text with A-Z lower-cased, counted from 0. Templates are
-word sequences with mandatory key phrases. How many documents hold a template's word is counted over all
-documents; a word's postings name the templates that use it and where. In a text, the licence words with the
-highest inverse document frequency are looked up first: every posting proposes where its template would start
-(position less relative position); proposals that agree are intersected, and a template is found where its key
-phrase stands word for word. A phrase is found at all of its places: its rarest word is in each of them.
+Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` of the text with A-Z lower-cased, counted from 0. The index maps
+each licence word to its postings, (template, relative position). How many documents hold a licence word is counted
+over all documents, in the pass that also reads each text's licence words and their places; a second pass works on
+these alone, for the texts that hold all words of some phrase.
+
+Names of licences are found at all of their places: the places of a phrase's words, the rarest first, each less its
+relative position, are intersected; what is left are the places where all words stand consecutively.
+
+Licence texts: of the words of a text with the highest inverse document frequency, RARE at most, every place and
+posting propose where a template would start (place less relative position). Starts that AGREE different words
+propose are candidates. One is accepted where the template's mandatory phrases stand word for word within its reach
+and the words met, by weight, are LEAST of the template's: a word counts where it stands within SLACK words of its
+place. The score is the largest share met, of a template or of a name's sentence.
+
+A name that lies within a longer name gives way to it, unless it is a base phrase.
 
 Odd input: a text that is null or empty has no words, no places, empty labels and the score 0; rows are scanned
 each time they occur; other columns are ignored; an empty table gives an empty result.
@@ -15,143 +24,182 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+from lumenplex.llm.common import written
+from lumenplex.llm.license_texts import PHRASES, TEMPLATES, Phrase, Template
 
+RARE, AGREE, SLACK, LEAST = 24, 3, 24, 0.6
 
-@dataclass(frozen=True)
-class Template:
-    """A licence text's typical line; `key` must stand in the text word for word, `line` is what it is scored against."""
-
-    label: str
-    key: str
-    line: str
-    base: bool = False
-
-
-#: Base phrases, and the method's own labels.
-TEMPLATES = (
-    Template("mit", "mit license", "released under the mit license", base=True),
-    Template("apache", "apache license", "licensed under the apache license version 2 0", base=True),
-    Template("gpl", "general public license", "this work is licensed under the gnu general public license version 3", base=True),
-    Template("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
-    Template("agpl", "affero general public license", "licensed under the gnu affero general public license version 3"),
-    Template("mpl", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
-    Template("epl", "eclipse public license", "available under the terms of the eclipse public license 2 0"),
-    Template("bsd", "bsd license", "released under the bsd license"),
-    Template("isc", "isc license", "licensed under the isc license"),
-    Template("cc-by", "creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
-    Template("cc-by", "cc by", "licensed under cc by 4 0"),
-    Template("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    Template("cc0", "cc0", "dedicated to the public domain under cc0 1 0"),
-    Template("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-    Template("proprietary", "all rights reserved", "all rights reserved"),
-)
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_ASCII_LOWER))
 
 
+def vocabulary(phrases: tuple[Phrase, ...], templates: tuple[Template, ...]) -> list[str]:
+    """Every word of a licence's name, sentence or text, in order."""
+    return sorted({w for p in phrases for w in p.line.split()} | {w for t in templates for w in t.text.split()})
+
+
 class Index:
-    """Postings of the templates' lines: word to (template, relative position), with each word's weight."""
-
-    def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], n_docs: int):
-        self.templates = templates
-        self.lines = [t.line.split() for t in templates]
-        self.keys = [t.key.split() for t in templates]
-        self.at = [next(i for i in range(len(x)) if x[i : i + len(k)] == k) for x, k in zip(self.lines, self.keys)]
-        self.weight = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 0.01 for x in self.lines for w in x}
-        self.postings = defaultdict(list)
-        for t, x in enumerate(self.lines):
-            for i, w in enumerate(x):
-                self.postings[w].append((t, i))
-        #: The rarest word of each key phrase: every place of the phrase holds it.
-        self.anchor = [max(k, key=lambda w: (self.weight[w], w)) for k in self.keys]
-        self.anchors = set(self.anchor)
-        self.total = [sum(self.weight[w] for w in x) for x in self.lines]
-
-    def scan(self, own: list[str]) -> tuple[list[tuple[int, int]], float]:
-        """Places (template, start of the key phrase in words), and the best weighted share of a line that is met."""
-        held = self.anchors.intersection(own)
-        if not held:
-            return [], 0.0
-        where = defaultdict(list)
-        for p, w in enumerate(own):
-            if w in self.postings:
-                where[w].append(p)
-        places, best = set(), 0.0
-        # Rarest first: an anchor's postings propose starts, and the key phrase confirms them.
-        for w in sorted(held, key=lambda w: (-self.weight[w], w)):
-            for t, i in self.postings[w]:
-                if self.anchor[t] != w:
-                    continue
-                key, line = self.keys[t], self.lines[t]
-                for p in where[w]:
-                    start = p - i + self.at[t]
-                    if start < 0 or (t, start) in places or own[start : start + len(key)] != key:
-                        continue
-                    places.add((t, start))
-                    first = start - self.at[t]
-                    met = sum(self.weight[x] for k, x in enumerate(line) if 0 <= first + k < len(own) and own[first + k] == x)
-                    best = max(best, met / self.total[t])
-        # The method's own labels give way to a longer key phrase at the same place; base ones stay.
-        spans = {(s, s + len(self.keys[t])) for t, s in places}
-        inner = lambda a, b: any(x <= a and b <= y and y - x > b - a for x, y in spans)
-        return sorted((t, s) for t, s in places if self.templates[t].base or not inner(s, s + len(self.keys[t]))), best
-
-
-def _held(vocabulary: frozenset[str]):
+    """Postings of licence words and their weights."""
+
+    def __init__(self, frequency: dict[str, int], n_docs: int, phrases: tuple[Phrase, ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES):
+        self.phrases, self.templates = phrases, templates
+        self.weight = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 0.01 for w in vocabulary(phrases, templates)}
+        self.keys = [p.key.split() for p in phrases]
+        self.lines = [p.line.split() for p in phrases]
+        self.texts = [t.text.split() for t in templates]
+        self.needs = [[k.split() for k in t.keys] for t in templates]
+        self.postings: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
+        for t, own in enumerate(self.texts):
+            at = defaultdict(list)
+            for i, w in enumerate(own):
+                at[w].append(i)
+            for w, places in at.items():
+                self.postings[w].append((t, places))
+
+    def together(self, where: dict[str, np.ndarray], key: list[str]) -> np.ndarray:
+        """Where the words of a key stand consecutively, by intersecting their places less their relative positions."""
+        if not all(w in where for w in key):
+            return np.empty(0, np.int64)
+        out = None
+        for i in sorted(range(len(key)), key=lambda i: (-self.weight[key[i]], i)):
+            starts = where[key[i]] - i
+            out = starts if out is None else np.intersect1d(out, starts, assume_unique=True)
+            if not len(out):
+                break
+        return out[out >= 0]
+
+    def met(self, where: dict[str, list[int]], own: list[str], start: int, slack: int) -> float:
+        """The share, by weight, of a word sequence whose words stand within `slack` of their places."""
+        total = got = 0.0
+        for i, w in enumerate(own):
+            total += self.weight[w]
+            at = where.get(w, ())
+            k = bisect_left(at, start + i - slack)
+            if k < len(at) and at[k] <= start + i + slack:
+                got += self.weight[w]
+        return got / total
+
+    def scan(self, where: dict[str, np.ndarray]) -> tuple[list[tuple[str, bool, int, int]], float]:
+        """(label, base, first word, number of words) of what the places of a text's licence words show, and the score."""
+        listed = {w: p.tolist() for w, p in where.items()}
+        names, found, best = [], set(), 0.0
+        for phrase, key, line in zip(self.phrases, self.keys, self.lines):
+            ahead = next(i for i in range(len(line)) if line[i : i + len(key)] == key)
+            for start in self.together(where, key).tolist():
+                names.append((phrase.label, phrase.base, start, len(key)))
+                best = max(best, self.met(listed, line, start - ahead, 0))
+        # Longer names first where two start alike: a name ends within one that began before it or is hidden by none.
+        names.sort(key=lambda n: (n[2], -n[3]))
+        reach = (-1, -1)
+        for label, base, start, size in names:
+            if base or reach[1] < start + size or reach == (start, start + size):
+                found.add((label, base, start, size))
+            if start + size > reach[1]:
+                reach = (start, start + size)
+        rare = sorted(where, key=lambda w: (-self.weight[w], w))[:RARE]
+        proposed = defaultdict(list)
+        for w in rare:
+            for t, at in self.postings.get(w, ()):
+                starts = where[w] if len(at) == 1 and not at[0] else (where[w][:, None] - np.array(at)).ravel()
+                proposed[t].append(np.unique(starts))
+        for t, starts in proposed.items():
+            if len(starts) < AGREE:
+                continue
+            places, n = np.unique(np.concatenate(starts), return_counts=True)
+            places = places[n >= AGREE]
+            if not len(places):
+                continue
+            own = self.texts[t]
+            needs = [self.together(where, k) for k in self.needs[t]]
+            for start in places.tolist():
+                if all(self._within(at, start - SLACK, start + len(own) + SLACK) for at in needs):
+                    share = self.met(listed, own, start, SLACK)
+                    best = max(best, share)
+                    if share >= LEAST:
+                        found.add((self.templates[t].label, False, max(start, 0), len(own)))
+        return sorted(found, key=lambda s: (s[2], s[3], s[0], s[1])), min(best, 1.0)
+
+    @staticmethod
+    def _within(at: np.ndarray, low: int, high: int) -> bool:
+        k = np.searchsorted(at, low)
+        return bool(k < len(at) and at[k] <= high)
+
+
+_POSTED = "n_words long, word array<int>, at array<int>, held array<long>"
+
+
+def _posted(phrases: tuple[Phrase, ...], templates: tuple[Template, ...]):
+    """Per text its number of words and, if it holds all words of some key, the places of its licence words; then a row of counts."""
+    names = vocabulary(phrases, templates)
+    number = {w: i for i, w in enumerate(names)}
+    known = frozenset(names)
+    keys = {frozenset(k.split()) for k in [p.key for p in phrases] + [k for t in templates for k in t.keys]}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = Counter(), 0
+        counts, kind = np.zeros(len(names) + 1, np.int64), None
+        ints = pa.list_(pa.int32())
         for b in batches:
-            for t in b.column(0):
-                text = t.as_py()
-                n += 1
-                if text:
-                    counts.update(vocabulary.intersection(words(text)))
-        names = [*counts, None]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*counts.values(), n], pa.int64())], ["word", "n"])
+            kind, n, word, at = b.column(0).type, [], [], []
+            for t in b.column(1):
+                own = words(t.as_py())
+                held = known.intersection(own)
+                counts[[number[w] for w in held]] += 1
+                n.append(len(own))
+                places = [(number[w], p) for p, w in enumerate(own) if w in known] if any(k <= held for k in keys) else None
+                word.append(places and [w for w, _ in places])
+                at.append(places and [p for _, p in places])
+            counts[-1] += len(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(word, ints), pa.array(at, ints), pa.nulls(len(n), pa.list_(pa.int64()))], ["key", "n_words", "word", "at", "held"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([None], pa.int64()), pa.nulls(1, ints), pa.nulls(1, ints), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["key", "n_words", "word", "at", "held"])
 
     return run
 
 
-def frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> tuple[dict[str, int], int]:
-    """How many of all documents hold each word of the templates, and how many there are."""
-    vocabulary = frozenset(w for t in templates for w in t.line.split())
-    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_held(vocabulary), "word string, n long")
-    found = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per template word
-    return found, found.pop(None, 0)
-
-
 def _scanned(index: Index):
+    names = sorted(index.weight)
+    span = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("word", pa.int64()), ("words", pa.int32())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column(1):
-                own = words(t.as_py())
-                places, score = index.scan(own)
-                out.append((len(own), [{"label": index.templates[k].label, "base": index.templates[k].base, "word": p, "words": len(index.keys[k])} for k, p in places], score))
-            n, spans, score = zip(*out) if out else ((), (), ())
-            kind = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("word", pa.int64()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(score, pa.float64())], ["key", "n_words", "spans", "score"])
+            spans, scores = [], []
+            for word, at in zip(b.column("word"), b.column("at")):
+                found, score = [], 0.0
+                if word.is_valid:
+                    w, p = word.values.to_numpy(), at.values.to_numpy().astype(np.int64)
+                    order = np.argsort(w, kind="stable")
+                    w, p = w[order], p[order]
+                    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                    found, score = index.scan(dict(zip([names[i] for i in w[first].tolist()], np.split(p, first[1:]))))
+                spans.append([dict(zip(("label", "base", "word", "words"), s)) for s in found])
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n_words"), pa.array(spans, span), pa.array(scores, pa.float64())], ["key", "n_words", "spans", "score"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: tuple[Phrase, ...] = PHRASES, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, spans (label, base, first word, number of words) and score of every row."""
-    index = Index(templates, *frequencies(docs, templates, text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    posted = written(rows.mapInArrow(_posted(phrases, templates), f"key {kind}, {_POSTED}"), "license-postings")
+    names = vocabulary(phrases, templates)
+    counts = posted.where("held is not null").select(F.posexplode("held").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
+    held = {r["i"]: r["n"] for r in counts.collect()}  # a row per licence word
+    index = Index({w: held.get(i, 0) for i, w in enumerate(names)}, held.get(len(names), 0), phrases, templates)
     spans = "array<struct<label:string,base:boolean,word:bigint,words:int>>"
-    return rows.mapInArrow(_scanned(index), f"key {kind}, n_words long, spans {spans}, score double").withColumnRenamed("key", doc_id)
+    found = posted.where("held is null").select("key", "n_words", "word", "at").mapInArrow(_scanned(index), f"key {kind}, n_words long, spans {spans}, score double")
+    return found.withColumnRenamed("key", doc_id)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenplex.llm import ann_search, chat_format, compression_classifier, license_scan, near_dedup, quality_rules, queries
+from lumenplex.llm import ann_search, chat_format, compression_classifier, license_scan, license_texts, near_dedup, quality_rules, queries
 from lumenplex.llm.common import ROW
 
 DATA = "/root/testdata/sf0.001"
@@ -107,11 +107,75 @@ def test_license_places(spark):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         want = sorted((k, lab) for lab, p in phrases.items() for k in range(len(w)) if w[k : k + len(p)] == p)
         assert got[i].n_words == len(w) and sorted((s.word, s.label) for s in got[i].spans if s.base) == want
-        assert 0 <= got[i].score <= 1 and (got[i].score > 0) == bool(got[i].spans)
+        assert 0 <= got[i].score <= 1 and (got[i].score > 0) >= bool(got[i].spans)
     assert {s.label for s in got[5].spans} == {"cc-by-nc"}
     assert license_scan.scan_licenses(documents(spark).limit(0)).count() == 0
 
 
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_licenses(texts):
+    """Names by comparing every place, licence texts by trying every start; labels and scores."""
+    own = [license_words(t) for t in texts]
+    vocabulary = {w for p in license_texts.PHRASES for w in p.line.split()} | {w for t in license_texts.TEMPLATES for w in t.text.split()}
+    weight = {w: np.log((1 + len(own)) / (1 + sum(w in o for o in own))) + 0.01 for w in vocabulary}
+    out = []
+    for w in own:
+        stands = lambda key, i: i >= 0 and w[i : i + len(key)] == key
+        share = lambda seq, start, slack: sum(weight[x] for i, x in enumerate(seq) if x in w[max(start + i - slack, 0) : max(start + i + slack + 1, 0)]) / sum(weight[x] for x in seq)
+        names, scores = [], [0.0]
+        for p in license_texts.PHRASES:
+            key, line = p.key.split(), p.line.split()
+            ahead = next(i for i in range(len(line)) if line[i : i + len(key)] == key)
+            for i in range(len(w)):
+                if stands(key, i):
+                    names.append((p, i, i + len(key)))
+                    scores.append(share(line, i - ahead, 0))
+        labels = {p.label for p, a, b in names if p.base or not any(x <= a and b <= y and y - x > b - a for _, x, y in names)}
+        rare = set(sorted(vocabulary & set(w), key=lambda x: (-weight[x], x))[: license_scan.RARE])
+        for t in license_texts.TEMPLATES:
+            seq, slack = t.text.split(), license_scan.SLACK
+            for start in range(-len(seq), len(w)):
+                agree = {x for i, x in enumerate(seq) if x in rare and 0 <= start + i < len(w) and w[start + i] == x}
+                near = range(max(start - slack, 0), start + len(seq) + slack + 1)
+                if len(agree) >= license_scan.AGREE and all(any(stands(k.split(), i) for i in near) for k in t.keys):
+                    scores.append(share(seq, start, slack))
+                    if scores[-1] >= license_scan.LEAST:
+                        labels.add(t.label)
+        out.append((labels, min(max(scores), 1.0)))
+    return out
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(5)
+    prose = lambda n: [rng.choice("the of a house and river stone to software copy notice use any license mit".split()) for _ in range(n)]
+    texts = [None, "", " ".join(prose(300)), "cc by nc 4 0 cc by", "mozilla public license all rights reserved"]
+    for t in license_texts.TEMPLATES:
+        body = t.text.split()
+        texts.append(" ".join(prose(40) + body + prose(40)))
+        edited = [w for w in body if rng.random() > 0.04]
+        for _ in range(4):
+            edited.insert(rng.randrange(len(edited)), "inserted")
+        texts.append(" ".join(prose(10) + edited))
+        texts.append(" ".join(body[: len(body) // 4]))
+        texts.append(" ".join(rng.sample(body, len(body))))
+    texts.append(" ".join(license_texts.TEMPLATES[0].text.split() * 3))
+    want = brute_licenses(texts)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    for i, (labels, score) in enumerate(want):
+        assert {s.label for s in got[i].spans} == labels, (i, texts[i])
+        assert abs(got[i].score - score) < 1e-9, i
+    assert all(t.label in want[5 + 4 * k][0] for k, t in enumerate(license_texts.TEMPLATES))
+
+
+def test_license_scan_of_a_long_text_of_names(spark):
+    n = 200_000
+    r = license_scan.scan_licenses(documents(spark, ["bsd license mit license " * n])).first()
+    assert r.n_words == 4 * n and len(r.spans) == 2 * n and {s.label for s in r.spans} == {"bsd", "mit"}
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
