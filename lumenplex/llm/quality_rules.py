@@ -16,11 +16,12 @@ from lumenplex.llm.common import ROW, carried
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+BULLETS = ("-", "*", "•")
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-#: Frequent function words of the four languages that the rules know.
+#: Frequent function words of the languages that the rules know.
 STOP_WORDS = (
     "the of and to in is that for it as was with be by on not are this from "
     "de la le les des et un une du en que est pour dans qui sur par au "
@@ -42,8 +43,10 @@ class Rule:
 RULES = (
     Rule("mean_word_chars", 1.5, 14.0),
     Rule("symbol_ratio", None, 0.2),
-    Rule("stop_word_ratio", 0.02, None),
+    Rule("stop_word_ratio", 0.04, None),
     Rule("dup_line_ratio", None, 0.4),
+    Rule("bullet_line_ratio", None, 0.9),
+    Rule("ellipsis_line_ratio", None, 0.5),
     Rule("shout_ratio", None, 0.5),
 )
 
@@ -64,8 +67,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             F.length(F.translate(body, SPACE, "")).cast("long").alias("word_chars"),
             (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.filter(F.split(body, "\n"), has_word).alias("lines"),
-            F.regexp_count(body, F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long").alias("n_upper"),
-            F.regexp_count(body, F.lit("[a-zß-öø-ÿ]")).cast("long").alias("n_lower"),
+            F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+            F.regexp_count(body, F.lit(r"\p{Ll}")).cast("long").alias("n_lower"),
         )
     )
     two = one.select(
@@ -73,7 +76,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect("words", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_kinds"),
+        F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin(*BULLETS))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         F.when(
             F.size("words") > WINDOW,
             F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: _gram(F.col("words"), i)),
@@ -81,7 +86,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # Only texts that repeat a window at all pay for ordering their windows.
     three = two.select(
-        ROW, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop_kinds", "n_upper", "n_lower",
+        ROW, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines", "n_upper", "n_lower",
         F.when(
             F.size(F.array_distinct("grams")) < F.size("grams"),
             F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -91,14 +96,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     again = F.filter("ordered", lambda g, i: F.coalesce((near(i + 1) == g.getField("h")), F.lit(False)) | F.coalesce((near(i - 1) == g.getField("h")), F.lit(False)))
     four = three.withColumn("at", F.sort_array(F.transform(again, lambda g: g.getField("i")))).drop("ordered")
     reach = F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), i + 1) - p, F.lit(WINDOW))))
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    words, lines = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines"))
     measures = F.struct(
         "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long")).alias("n_repeat_words"),
         (F.col("word_chars") / words).alias("mean_word_chars"),
         (F.col("n_symbols") / words).alias("symbol_ratio"),
-        (F.col("n_stop_kinds") / F.least(words, F.lit(len(STOP_WORDS)))).alias("stop_word_ratio"),
-        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_ratio"),
+        (F.col("n_stop_words") / words).alias("stop_word_ratio"),
+        (F.col("n_dup_lines") / lines).alias("dup_line_ratio"),
+        (F.col("n_bullet_lines") / lines).alias("bullet_line_ratio"),
+        (F.col("n_ellipsis_lines") / lines).alias("ellipsis_line_ratio"),
         (F.col("n_upper") / F.greatest(F.col("n_upper") + F.col("n_lower"), F.lit(1))).alias("shout_ratio"),
     )
     # A filter on a measure stays above this generator; pushed below, it would measure each text several times.

@@ -113,11 +113,12 @@ again as (select doc_id, i from (select doc_id, i, count(*) over (partition by d
 c as (select doc_id, count(distinct i + k) as n_repeat_words from again cross join (select unnest(range(5)) as k) group by doc_id),
 m as (select w.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
   len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines, greatest(len(w), 1) as many,
-  len(list_distinct(list_filter(w, lambda y: list_contains({list(quality_rules.STOP_WORDS)}, y)))) as stops,
-  length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) as upper, length(regexp_replace(t, '[^a-zß-öø-ÿ]', '', 'g')) as lower
+  len(list_filter(w, lambda y: list_contains({list(quality_rules.STOP_WORDS)}, y))) as stops,
+  len(list_filter(l, lambda y: list_contains({list(quality_rules.BULLETS)}, ltrim(y, ' ')[1]))) as bullets, len(list_filter(l, lambda y: regexp_matches(rtrim(y, ' '), '(\.\.\.|…)$'))) as ellipses,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) as upper, length(regexp_replace(t, '\P{{Ll}}', '', 'g')) as lower
   from w left join c using (doc_id)),
 r as (select *, n_words < {quality_rules.MIN_WORDS} or 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words as base_failed, word_chars / many as mean_word_chars, n_symbols / many as symbol_ratio,
-  stops / least(many, {len(quality_rules.STOP_WORDS)}) as stop_word_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio, upper / greatest(upper + lower, 1) as shout_ratio from m)
+  stops / many as stop_word_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio, bullets / greatest(n_lines, 1) as bullet_line_ratio, ellipses / greatest(n_lines, 1) as ellipsis_line_ratio, upper / greatest(upper + lower, 1) as shout_ratio from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_rules_sql()} as kept from r
 """
 
