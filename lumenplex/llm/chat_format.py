@@ -90,8 +90,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     size = lambda k, s: F.coalesce(F.get(F.col("starts"), k + 1), F.size("heads")) - s
     roles = named.withColumn("roles", F.flatten(F.transform("starts", lambda s, k: F.array_repeat(role(F.get(F.col("heads"), s)), size(k, s)))))
     turns = roles.withColumn("turns", F.transform("roles", lambda r, i: F.struct(r.alias("role"), unescape(F.get(F.col("bodies"), i + 1)).alias("text"))))
-    learnt = F.filter("turns", lambda t, i: F.get(F.col("loss_runs"), 2 * i + 1).getField("loss"))
-    return turns.select("conv_id", "formatted_chars", "turns", F.transform(learnt, lambda t: t.getField("text")).alias("learnt"))
+    # What is learnt is cut from the output by the mask: a header and a text at a time, whose lengths must be the mask's.
+    part = lambda i: F.concat(F.get(F.col("heads"), i), F.get(F.col("bodies"), i + 1))
+    run = lambda k: F.get(F.col("loss_runs"), k)
+    cut = F.transform("heads", lambda h, i: F.struct(part(i).alias("text"), run(2 * i).alias("head"), run(2 * i + 1).alias("body")))
+    agrees = F.forall(cut, lambda c: F.length(c["text"]) == c["head"]["chars"] + c["body"]["chars"]) & (2 * F.size("heads") == F.size("loss_runs"))
+    masked = F.transform(F.filter(cut, lambda c: c["body"]["loss"]), lambda c: unescape(F.substr(c["text"], c["head"]["chars"] + 1, c["body"]["chars"])))
+    learnt = F.when(agrees, masked).otherwise(F.raise_error(F.lit("the mask doesn't fit the output")).cast("array<string>"))
+    return turns.select("conv_id", "formatted_chars", "turns", learnt.alias("learnt"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
