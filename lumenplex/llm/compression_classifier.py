@@ -1,14 +1,14 @@
 """Quality classifier by compression: does a text shrink more beside good text or beside bad text?
 
 Two zstandard dictionaries are built from good and from bad labelled text. A whole text is compressed in chunks
-with each; the normalised size difference and the two ratios go through a logistic calibration to a score.
+with each; the normalised size difference goes through a logistic calibration to a score.
 
 Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id. A dictionary
 of at most DICTIONARY bytes takes an equal share of every text, in pieces spread over the whole of it; what short
 texts leave of theirs goes to the longer ones. The calibration sees every sampled text, whole and inside tasks, beside
 dictionaries that were built without its fold. Scoring covers every text whole.
 
-Odd input: a null text is empty; empty texts get the calibrated score of equal sizes at ratio 1; labels that are
+Odd input: a null text is empty; empty texts get the calibrated score of equal sizes; labels that are
 null, of ids without a document or contradictory for one id are left out; without labels of both classes the score
 is the constant share of good ones (0.5 without any); repeated rows are scored each time.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumenplex.llm.common import written
+from lumenplex.llm.common import ROW, carried, written
 
 SAMPLE = 1500
 FOLDS = 4
@@ -32,7 +32,7 @@ DICTIONARY = 400_000
 CHUNK = 1024
 PIECE = 128
 TASKS = 16
-LEVEL = 3
+LEVEL = 9
 THRESHOLD = 0.3
 
 
@@ -52,15 +52,15 @@ class Compressors:
             d.precompute_compress(level=LEVEL)
             self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """(size with good - size with bad) / the larger size, and both sizes over the text's bytes."""
+    def difference(self, text: str | None) -> float:
+        """(size with good - size with bad) / size of the text, all in bytes."""
         raw = _raw(text)
         if not raw:
-            return 0.0, 1.0, 1.0
+            return 0.0
         good, bad = (c.compress for c in self.pair)
         chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
         g, b = sum(len(good(x)) for x in chunks), sum(len(bad(x)) for x in chunks)
-        return (g - b) / max(g, b), g / len(raw), b / len(raw)
+        return (g - b) / len(raw)
 
 
 @dataclass(frozen=True)
@@ -69,30 +69,28 @@ class Model:
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    shift: tuple[float, ...]
-    scale: tuple[float, ...]
+    slope: float
+    intercept: float
 
     def scorer(self):
         compressors = Compressors(self.good, self.bad)
-        w, mu, sd = (np.array(x) for x in (self.weights, self.shift, self.scale))
 
         def score(text: str | None) -> float:
-            x = (np.array(compressors.features(text)) - mu) / sd
-            return float(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))
+            return float(1 / (1 + np.exp(-np.clip(self.slope * compressors.difference(text) + self.intercept, -30, 30))))
 
         return score
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    mu, sd = x.mean(0), np.maximum(x.std(0), 1e-6)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve through (x, y), slightly ridged."""
+    mu, sd = x.mean(), max(x.std(), 1e-6)
     a = np.c_[(x - mu) / sd, np.ones(len(x))]
-    w = np.zeros(a.shape[1])
+    w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w))
+        curve = a.T @ (a * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
         w += np.linalg.solve(curve, a.T @ (y - p) - 1e-2 * w)
-    return w, mu, sd
+    return float(w[0] / sd), float(w[1] - w[0] * mu / sd)
 
 
 def _share(sizes: list[int]) -> int:
@@ -138,14 +136,14 @@ def _excerpts(share_of: dict[int, tuple[int, int]], y_of: dict[int, int]):
 
 
 def _measured(pairs: list[tuple[bytes, bytes]], fold_of: dict[int, int]):
-    """Features of whole texts beside the dictionaries without their fold."""
+    """Size differences of whole texts beside the dictionaries without their fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = [Compressors(*p) for p in pairs]
         for b in batches:
             ids = b.column("id").to_pylist()
-            rows = [compressors[fold_of[i]].features(t.as_py()) for i, t in zip(ids, b.column("t"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([list(r) for r in rows], pa.list_(pa.float64()))], ["id", "x"])
+            found = [compressors[fold_of[i]].difference(t.as_py()) for i, t in zip(ids, b.column("t"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.float64())], ["id", "x"])
 
     return run
 
@@ -172,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     by = {y: [r["id"] for r in ids if r["y"] == y and sizes.get(r["id"])] for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
         logit = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-        return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, 0.0, logit), (0.0,) * 3, (1.0,) * 3)
+        return Model(b"\n" * 8, b"\n" * 8, 0.0, logit)
     fold_of = {i: nth % FOLDS for y in (0, 1) for nth, i in enumerate(by[y])}
     sample = sample.where(F.col("id").isin([*fold_of]))
     without = {y: [[i for i in by[y] if fold_of[i] != k] for k in range(FOLDS)] for y in (0, 1)}
@@ -180,16 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     parts = sample.mapInArrow(_excerpts(share_of, label_of), f"id {kind}, whole binary, part binary").collect()  # five DICTIONARY at most
     whole, part = {r["id"]: bytes(r["whole"]) for r in parts}, {r["id"]: bytes(r["part"]) for r in parts}
     pairs = [tuple(_dictionary([part[i] for i in without[y][k]]) for y in (1, 0)) for k in range(FOLDS)]
-    rows = sample.mapInArrow(_measured(pairs, fold_of), f"id {kind}, x array<double>").collect()
+    rows = sample.mapInArrow(_measured(pairs, fold_of), f"id {kind}, x double").collect()
     x_of = {r["id"]: r["x"] for r in rows}
     rest = [(x_of[i], y) for y in (0, 1) for i in by[y]]
     good, bad = (_dictionary([whole[i] for i in by[y]]) for y in (1, 0))
-    w, mu, sd = _logistic(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
+    slope, intercept = _logistic(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
     # The sample is balanced where labels aren't: the intercept goes back to the share of good ones among all.
     n = known.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in n}
-    w[-1] += np.log(n[1] / n[0]) - np.log(len(by[1]) / len(by[0]))
-    return Model(good, bad, *(tuple(map(float, x)) for x in (w, mu, sd)))
+    return Model(good, bad, slope, float(intercept + np.log(n[1] / n[0]) - np.log(len(by[1]) / len(by[0]))))
 
 
 def training_rows(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -221,6 +218,6 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The input rows, with their own columns, whose texts score at least the threshold."""
-    # The score needs a copy of the text beside the row; rows themselves pass through untouched.
-    both = docs.withColumn("__scored", F.col(f"`{text}`"))
-    return score_texts(both, model, docs.columns, "__scored", "__score").where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row travels as one struct, so no column of it can clash.
+    both = carried(docs, F.col(f"`{text}`").alias("text"))
+    return score_texts(both, model, [ROW]).where(F.col("score") >= threshold).select(f"{ROW}.*")
