@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenplex.llm.common import groups, written
+from lumenplex.llm.common import ROW, carried, groups, written
 
 SHINGLE = 5
 BINS, BAND = 128, 4
@@ -286,13 +286,14 @@ def keep_first(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text:
     Where ids repeat, each row is a document of its own, a group keeps its row of the least id and hash, and equal
     rows count once. Rows without an id stay.
     """
-    name = F.col(f"`{doc_id}`")
-    if docs.where(name.isNotNull()).groupBy(name).count().where("count > 1").isEmpty():
-        gone = written(near_groups(docs, percent, doc_id, text), "found").where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, name == F.col("__gone"), "left_anti")
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
-    named, none = docs.where(name.isNotNull()).withColumn("__row", F.xxhash64(*hashed)).dropDuplicates(["__row"]), docs.where(name.isNull())
-    found = written(near_groups(named, percent, "__row", text).select(F.col("doc_id").alias("__row"), "component_id"), "found")
-    of = named.select("__row", name.alias("id")).join(found, "__row")
-    kept = of.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__kept"))
-    return named.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row").unionByName(none)
+    rows = carried(docs, F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    named, none = rows.where("id is not null"), rows.where("id is null")
+    if named.groupBy("id").count().where("count > 1").isEmpty():
+        gone = written(near_groups(named, percent, "id").where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+        return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(f"{ROW}.*")
+    hashed = [F.col(f"{ROW}.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
+    named = named.withColumn("row", F.xxhash64(*hashed)).dropDuplicates(["row"])
+    found = written(near_groups(named, percent, "row").select("doc_id", "component_id"), "found")
+    of = named.select("row", "id").join(found, F.col("row") == F.col("doc_id"))
+    kept = of.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
+    return named.join(kept, F.col("row") == F.col("kept"), "left_semi").select(f"{ROW}.*").unionByName(none.select(f"{ROW}.*"))

@@ -92,6 +92,14 @@ def test_chats_read_back(spark, roles):
         assert len(back) == found[r.conv_id].loss_chars and r.formatted[at:] == chat_format.END
 
 
+def test_a_mask_that_does_not_fit_is_no_result(spark):
+    made = chat_format.format_chats(spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "assistant", "yes")], "conv_id long, turn long, role string, text string"))
+    assert chat_format.read_back(made).first().learnt == ["yes"]
+    wrong = made.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct((r["chars"] + 1).alias("chars"), r["loss"].alias("loss"))))
+    with pytest.raises(Exception, match="mask"):
+        chat_format.read_back(wrong).collect()
+
+
 def test_chats_of_nothing_and_ties(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat_format.digests(chat_format.format_chats(spark.createDataFrame([], schema))).count() == 0
@@ -404,7 +412,7 @@ def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.quality for r in got]) > 0.9
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.93
     good = [r.score for r in got if r.quality == 1]
     bad = [r.score for r in got if r.quality == 0]
     assert np.mean([g > b for g in good for b in bad]) > 0.9
@@ -436,6 +444,33 @@ def test_calibration_sees_whole_texts(spark):
     assert len(got) == 40 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in got)
 
 
+def test_scores_equal_an_independent_computation(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = compression_classifier.training_rows(spark.read.parquet(f"{DATA}/labels.parquet"))
+    model = compression_classifier.fit(docs, labels)
+
+    def size(raw, dictionary):
+        c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        return sum(len(c.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in compression_classifier.score_texts(docs, model, ["doc_id"]).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        g, b = size(raw, model.good), size(raw, model.bad)
+        x = (g - b) / len(raw) if raw else 0.0
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * x + model.intercept)))) < 1e-9
+    assert model.slope < 0  # what shrinks more beside good text scores higher
+
+
+def test_filters_keep_rows_of_any_names(spark):
+    docs = spark.createDataFrame([(1, "some words of text", 5, 6, 7), (2, None, 5, 6, 7)], "doc_id long, text string, __score int, __gone int, score int")
+    model = compression_classifier.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert sorted(map(tuple, compression_classifier.keep_good(docs, model).collect())) == sorted(map(tuple, docs.collect()))
+    assert sorted(map(tuple, near_dedup.keep_first(docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_classifier_without_labels_and_on_odd_texts(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
