@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share; a local one only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -43,6 +45,12 @@ def carried(df: DataFrame, *extra: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *extra)
 
 
+def numbered(docs: DataFrame, doc_id: str) -> DataFrame:
+    """id and number (long) of every distinct id, numbered in their order; written, so numbers stay as they are."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("id")).where("id is not null").distinct().orderBy("id")
+    return written(ids.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Consecutive slices of sorted batches that share their keys, as (key, slice); a key may come in several slices."""
     import numpy as np

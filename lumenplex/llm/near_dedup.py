@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from lumenplex.llm.common import ROW, carried, groups, written
+from lumenplex.llm.common import ROW, carried, groups, numbered, written
 
 SHINGLE = 5
 BINS, BAND = 128, 4
@@ -243,7 +244,17 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row."""
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row.
+
+    Ids that are no integers are numbered in their order first, and named again in the result.
+    """
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        numbers = numbered(docs, doc_id)
+        found = near_groups(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(numbers, "id", "left").select("number", "text"), percent, "number")
+        name = lambda c: numbers.select(F.col("number").alias(c), F.col("id").alias(f"{c}_named"))
+        found = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+        return found.select(F.col("doc_id_named").alias("doc_id"), "n_shingles", F.col("component_id_named").alias("component_id"), "kept")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = written(sign(docs, doc_id, text), "signed")
     # One class per distinct set, named by its least id.

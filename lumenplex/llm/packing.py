@@ -101,6 +101,8 @@ def _cut(path: str, end_id: int, capacity: int):
         encode, part = encoder(WordBpe, path).encode, TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for b in batches:
+            if not b.num_rows:
+                continue
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(text.as_py()) + end
@@ -109,7 +111,7 @@ def _cut(path: str, end_id: int, capacity: int):
                     n = len(own) // 4
                     rows.append((doc, k, a // 4, n, own, part, seen[n]))
                     seen[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+            kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 
     return run
@@ -121,8 +123,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     part is the task, nth the count of pieces of the same length before it there. Write the pieces before they
     are placed, so that they are cut once.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary, part int, nth long")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_cut(tokenizer, end_id, capacity), f"doc_id {kind}, piece int, start long, length long, ids binary, part int, nth long")
 
 
 #: Ranks below 2^44 beside lengths below 2^19 in one sortable number.

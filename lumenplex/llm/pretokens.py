@@ -1,9 +1,10 @@
 """Encoders that look whole pre-tokens up and leave the rest to the tokenizers' own libraries.
 
 A pre-token's ids don't depend on its neighbours, so each distinct one is merged once per worker and kept in
-a bounded table. Texts with characters for which the pre-token pattern here isn't proven equal to the
-library's (all beyond ASCII and the Latin-1 letters), or with a special token's opening, are encoded whole
-by the library.
+a bounded table. Characters for which the pre-token pattern here isn't proven equal to the library's (all beyond
+ASCII and the Latin-1 letters), and a special token's opening, go to the library with what stands around them up to
+the next single spaces between printable ASCII characters: no pre-token of any of these tokenizers crosses such a
+space, and neither does Unicode normalisation. The rest of the text is looked up.
 """
 
 from __future__ import annotations
@@ -11,12 +12,43 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 #: Pre-tokens kept at once in one worker; the table restarts when it is full.
 TABLE_LIMIT = 400_000
 
 _UNUSUAL = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
+#: A space that no pre-token crosses; one begins with it or after it.
+_SEAM = re.compile(r"(?<=[!-~]) (?=[!-~])")
+
+
+def stretches(text: str, odd: re.Pattern) -> list[tuple[bool, str]]:
+    """The text cut at seams into stretches that hold something odd (True) and stretches that don't, each with its leading space."""
+    found = [m.start() for m in odd.finditer(text)]
+    if not found:
+        return [(False, text)]
+    cuts = [0, *(m.start() for m in _SEAM.finditer(text)), len(text)]
+    out, done = [], 0
+    for p in found:
+        if p < done:
+            continue
+        k = bisect_right(cuts, p)
+        start, stop = cuts[k - 1], cuts[min(k, len(cuts) - 1)]
+        if start > done:
+            out.append((False, text[done:start]))
+        if out and out[-1][0]:
+            out[-1] = (True, out[-1][1] + text[start:stop])
+        else:
+            out.append((True, text[start:stop]))
+        done = stop
+    if done < len(text):
+        out.append((False, text[done:]))
+    return out
+
+
+#: What the library may segment otherwise than word by word.
+_ODD_PIECES = re.compile(_UNUSUAL.pattern + "|<|^ | $|  ")
 _UPPER, _LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 
 #: What word_bpe tokenizers do before merging, as their file states it: fixed values.
@@ -66,10 +98,18 @@ class WordBpe:
                 table[w] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if not self.known or _UNUSUAL.search(text):
-            import numpy as np
+        if not self.known:
+            return self._whole(text)
+        if _UNUSUAL.search(text):
+            return b"".join(self._whole(x) if odd else self._looked_up(x) for odd, x in stretches(text, _UNUSUAL))
+        return self._looked_up(text)
 
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _looked_up(self, text: str) -> bytes:
         words = _WORD.findall(text.lower())
         try:
             return b"".join(map(self.table.__getitem__, words))
@@ -114,8 +154,16 @@ class ByteBpe:
         return out
 
     def count(self, text: str) -> int:
-        if not self.known or _UNUSUAL.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+        if not self.known:
+            return self._whole(text)
+        if _UNUSUAL.search(text):
+            return sum(self._whole(x) if odd else self._looked_up(x) for odd, x in stretches(text, _UNUSUAL))
+        return self._looked_up(text)
+
+    def _whole(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _looked_up(self, text: str) -> int:
         words = _BYTE.findall(text)
         try:
             return sum(map(self.counts.__getitem__, words))
@@ -151,9 +199,19 @@ class Pieces:
         """The ids, and the same in decimal, joined by commas."""
         if not text:
             return [], ""
-        if not self.known or text[0] == " " or text[-1] == " " or "  " in text or _UNUSUAL.search(text) or "<" in text:
-            ids = self.library.encode(text, num_threads=1)
-            return ids, ",".join(map(str, ids))
+        if not self.known:
+            return self._whole(text)
+        if _ODD_PIECES.search(text):
+            # A stretch's marker is its first word's own, which the library adds: the space at the seam goes.
+            parts = [(self._whole if odd else self._looked_up)(x[1:] if i else x) for i, (odd, x) in enumerate(stretches(text, _ODD_PIECES))]
+            return [i for ids, _ in parts for i in ids], ",".join(shown for _, shown in parts if shown)
+        return self._looked_up(text)
+
+    def _whole(self, text: str) -> tuple[list[int], str]:
+        ids = self.library.encode(text, num_threads=1)
+        return ids, ",".join(map(str, ids))
+
+    def _looked_up(self, text: str) -> tuple[list[int], str]:
         words = text.split(" ")
         if not self.ids.keys() >= (distinct := set(words)):
             if len(self.ids) > self.limit:

@@ -7,7 +7,7 @@ so any block can be decoded alone, a selector at a time. Blocks are rows of a Pa
 folder: Spark's commit makes each shard appear whole or not at all, on any file system that Spark writes.
 
 Odd input: a null text is empty, and holds only the end id; documents with a null id come first; rows with
-the same id are ordered by text and each kept; other columns are ignored; an empty table has no rows.
+the same id are ordered by their text's hash and each kept; other columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ ESCAPE = 15
 #: Selector: ids in a word, bits of each. Fixed values of the format.
 PACKING = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
-BLOCK_SCHEMA = "shard int, block int, first_id long, n_ids long, doc_ids array<bigint>, doc_n array<bigint>, payload binary"
+BLOCK_SCHEMA = "shard int, block int, first_id long, n_ids long, doc_ids array<{kind}>, doc_n array<bigint>, payload binary"
 
 
 def pack_words(values: np.ndarray) -> np.ndarray:
@@ -100,10 +100,10 @@ def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-
         encode = encoder(WordBpe, path).encode
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        docs: list[int | None] = []
+        docs: list = []
+        kind = pa.int64()
         counts: list[int] = []
         parts: list[bytes] = []
 
@@ -115,7 +115,7 @@ def _blocks(path: str, end_id: int):
                     "block": pa.array([block], pa.int32()),
                     "first_id": pa.array([first], pa.int64()),
                     "n_ids": pa.array([len(ids)], pa.int64()),
-                    "doc_ids": pa.array([docs], pa.list_(pa.int64())),
+                    "doc_ids": pa.array([docs], pa.list_(kind)),
                     "doc_n": pa.array([counts], pa.list_(pa.int64())),
                     "payload": pa.array([pack_words(ids).tobytes()], pa.binary()),
                 }
@@ -123,6 +123,7 @@ def _blocks(path: str, end_id: int):
 
         held = 0
         for batch in batches:
+            kind = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 docs.append(doc)
@@ -141,13 +142,17 @@ def _blocks(path: str, end_id: int):
 
 def write_blocks(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts, append end_id to each, and write them as blocks in ascending id order."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(_blocks(tokenizer, end_id), BLOCK_SCHEMA), "token-blocks")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"))
+    # The hash is a range key too: rows that share an id, or have none, are spread over tasks.
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return written(ordered.mapInArrow(_blocks(tokenizer, end_id), BLOCK_SCHEMA.format(kind=kind)), "token-blocks")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        kind = batch.column("doc_ids").type.value_type
         for row in batch.to_pylist():
             ids = unpack_words(np.frombuffer(row["payload"], "<u8"), row["n_ids"]).astype("<u4")
             n = np.array(row["doc_n"], np.int64)
@@ -156,7 +161,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["shard"]] * len(n), pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["doc_ids"], kind),
                     pa.array(row["first_id"] + ends - n, pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist())], pa.binary()),
@@ -169,11 +174,12 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian 32-bit) of every document in the blocks.
 
     A shard's first id follows from the sums of the shards before it: one row per shard is gathered, and shards
-    are as many as the writing job had tasks.
+    are as many as the writing job had tasks. They are a written table, so Spark knows its size when it chooses the join.
     """
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-    shards = F.broadcast(shards)  # a number for each task of the writing job, so ids stay where they are decoded
-    docs = blocks.mapInArrow(_decoded, "shard int, doc_id long, within long, n_tokens long, ids binary")
+    shards = written(shards, "shards")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    docs = blocks.mapInArrow(_decoded, f"shard int, doc_id {kind}, within long, n_tokens long, ids binary")
     return docs.join(shards, "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")

@@ -1,5 +1,6 @@
 """Token operators against the tokenizers' own libraries on whole texts, and exact round trips."""
 
+import re
 import zlib
 
 import numpy as np
@@ -8,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenplex.llm import packing, piece_codec, queries, token_counts, token_files
-from lumenplex.llm.pretokens import ByteBpe, Pieces, WordBpe
+from lumenplex.llm import near_dedup, packing, piece_codec, queries, token_counts, token_files
+from lumenplex.llm.common import written
+from lumenplex.llm.pretokens import ByteBpe, Pieces, WordBpe, stretches
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
@@ -80,6 +82,19 @@ def test_encoders_equal_the_libraries_on_any_text(libraries, encoders, text):
     same(text, libraries, encoders)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["word", "It's", "x", "’", "don’t", "“quoted”", "—", "日本", "a日", "e\u0301", "\u0301", "<|endoftext|>", "<s>", "<", "...", "…", "🙂", "\u3000", "\u200b", "Straße", " ", "", "\n", "\t", "7", "ǅ"]), max_size=14))
+def test_encoders_equal_the_libraries_around_odd_signs(libraries, encoders, parts):
+    same(" ".join(parts), libraries, encoders)
+    same("plain words before " + " ".join(parts) + " and plain words after", libraries, encoders)
+
+
+def test_only_what_is_around_an_odd_sign_goes_to_the_library():
+    text = "one two three’s four five <| six seven"
+    parts = stretches(text, re.compile(r"’|<\|"))
+    assert parts == [(False, "one two"), (True, " three’s"), (False, " four five"), (True, " <|"), (False, " six seven")]
+
+
 def test_proven_tokens_are_single(libraries, encoders):
     whole = encoders[1].whole
     assert len(whole) > 30000
@@ -107,7 +122,8 @@ def test_simple8b_packs_small_ids_densely():
 def test_token_files(spark, odd, libraries):
     blocks = token_files.write_blocks(odd, queries.tokenizer("word_bpe_49k.json"), 1)
     got = token_files.read_blocks(blocks).orderBy("start").collect()
-    order = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    hashed = odd.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text or ""))
     start = 0
     assert len(got) == len(order)
     for g, r in zip(got, order):
@@ -191,3 +207,16 @@ def test_registered_queries(spark, libraries):
     assert len({r.sequence_id for r in rows}) <= 1.03 * sum(w[1] for w in want.values()) / 2048 + 1
     counts = queries.op6_token_counts(spark, DATA)
     assert counts.where(F.col("over_limit") != (F.col("n_tokens") > 512)).isEmpty() and counts.count() == len(docs)
+
+
+def test_ids_of_any_kind(spark):
+    rows = [(f"doc-{i:02d}", t) for i, t in enumerate(["one two", "three", None, "four five six", "one two"])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    path = queries.tokenizer("word_bpe_49k.json")
+    read = token_files.read_blocks(token_files.write_blocks(docs, path, 1)).orderBy("start").collect()
+    assert [r.doc_id for r in read] == [i for i, _ in rows]
+    placed = packing.place(written(packing.cut_pieces(docs, path, 0), "pieces")).collect()
+    assert sorted(r.doc_id for r in placed) == [i for i, _ in rows]
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert groups == {"doc-00": "doc-00", "doc-01": "doc-01", "doc-02": "doc-02", "doc-03": "doc-03", "doc-04": "doc-00"}
+    assert sorted(r.doc_id for r in near_dedup.keep_first(docs).collect()) == ["doc-00", "doc-01", "doc-02", "doc-03"]
