@@ -42,9 +42,12 @@ def label_color(label: Column, limit: int) -> Column:
 CHANNEL_RGB = ((1, 2, 4), (1, 4, 2), (3, 3, 1), (4, 2, 1))
 
 
-def channels_to_rgb(channels: list[Column], scale: float = 0.5, top: list[Column] | None = None) -> list[Column]:
-    """Three 0..255 integers from four channels, each divided by its entry in top (none: as it is)."""
-    parts = [c / t for c, t in zip(channels, top)] if top else channels
+def channels_to_rgb(channels: list[Column], scale: float = 0.5, low: list[Column] | None = None, high: list[Column] | None = None) -> list[Column]:
+    """Three 0..255 integers from four channels, each less its least value and over its span (no bounds: as they are).
+
+    Bounds of each channel normalise each; the same bounds for all normalise them together.
+    """
+    parts = [(c - lo) / (hi - lo) for c, lo, hi in zip(channels, low, high)] if low and high else channels
     out = []
     for k in range(3):
         mixed = sum((p * (w[k] * scale) for p, w in zip(parts[1:], CHANNEL_RGB[1:])), parts[0] * (CHANNEL_RGB[0][k] * scale))

@@ -185,8 +185,7 @@ def evidence_default_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_E.replace('LOW', '0.05')} select m0, (case when max(e) < 0.2 then -1 else arg_max(j, e) end)::int as j, {_r('max(e)')} as e from e group by m0")
 def labelled_density(spark: SparkSession, d: str) -> DataFrame:
-    e = evidence.evidence(vector_stack(spark, d), vector_codes(spark, d), 0.05)
-    return _out(evidence.label(e, ["m0"], 0.2), "m0", "j", v="e")
+    return _out(evidence.best_code(vector_stack(spark, d), vector_codes(spark, d), 0.05, 0.2), "m0", "j", v="e")
 
 
 @query(f"with {_E.replace('LOW', '0.05')} select m0, j, {_r('e')} as e from e where e > 0.5 * (select max(e) from e)")
@@ -351,7 +350,9 @@ def seek_codes(spark: SparkSession, d: str) -> DataFrame:
     return discovery.seek(_positive(spark, d), 4, 1.6, 0.9)
 
 
-_SHARE = f"{_ROUNDS.format(s=2.0)}, v as (select m0, string_agg(ch::varchar, ',' order by r) as code, sum(case when ch >= 0 then top else 0 end) / (sum(total) + 0.01) as share from picked group by m0)"
+_SCALED = "topv as (select max(list_max(list_transform(embedding, lambda w: abs(w::double)))) as t from embeddings), " + _ROUNDS.replace("abs(y::double)) as o from embeddings", "abs(y::double) / t) as o from embeddings cross join topv")
+_SHARE = f"{_SCALED.format(s=2.0)}, v as (select m0, string_agg(ch::varchar, ',' order by r) as code, sum(case when ch >= 0 then top else 0 end) / (sum(total) + 0.01) as share from picked group by m0)"
+_SQUARES = f"{_SCALED.format(s=2.0)}, w as (select m0, list_sum(list_transform(o, lambda t: t * t)) as s from x where r = 0), v as (select m0, string_agg(ch::varchar, ',' order by r) as code, sum(case when ch >= 0 then top * top else 0 end) / (any_value(s) + 0.001) as share from picked join w using (m0) group by m0)"
 
 
 @query(f"with {_SHARE} select m0, {_r('share')} as share, code from v")
@@ -360,11 +361,16 @@ def signal_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.select("m0", tidy(F.col("share")).alias("share"), "code")
 
 
-@query(f"with {_SHARE} select code, count(*) as n_voxels from v where share > 0.8 * (select max(share) from v) group by code")
+@query(f"with {_SQUARES} select code, count(*) as n_voxels from v where share / (select max(share) from v) >= 0.8 group by code")
 def seek_codes_by_share(spark: SparkSession, d: str) -> DataFrame:
     return discovery.seek_by_share(_positive(spark, d), 4, 0.8, stand_out=2.0)
 
 
+@query(f"with {_SQUARES} select code, count(*) as n_voxels from v where share / (select max(share) from v) >= 1 group by code")
+def seek_codes_by_top_share(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.seek_by_share(_positive(spark, d), 4, 1.0, stand_out=2.0)
+
+
 # Rectangles and tiles.
 
 
@@ -403,12 +409,12 @@ _T = "(0.3 + 0.7 * n)"
 _TAKE = "coalesce({x}, 0.0)"
 
 
-@query(f"with {_LINE}, s as (select n, m0, floor{_T}::int as f, {_T} - floor{_T} as p from line) select s.n, s.m0, {_r('(1 - p) * coalesce(a.v, 0) + p * coalesce(b.v, 0)')} as v from s left join line a on a.n = s.n and a.m0 = s.m0 + f left join line b on b.n = s.n and b.m0 = s.m0 + f + 1 where s.m0 < 1400")
+@query(f"with {_LINE}, s as (select n, m0, floor{_T}::int as f, {_T} - floor{_T} as p from line) select s.n, s.m0, {_r('(1 - p) * coalesce(a.v, 0) + p * coalesce(b.v, 0)')} as v from s left join line a on a.n = s.n and a.m0 = s.m0 + f left join line b on b.n = s.n and b.m0 = s.m0 + f + 1")
 def shift_linear(spark: SparkSession, d: str) -> DataFrame:
     return _shifted(spark, d, "linear")
 
 
-@query(f"with {_LINE} select s.n, s.m0, {_r('coalesce(a.v, 0)')} as v from line s left join line a on a.n = s.n and a.m0 = s.m0 + round_even({_T.replace('n', 's.n')}, 0)::int where s.m0 < 1400")
+@query(f"with {_LINE} select s.n, s.m0, {_r('coalesce(a.v, 0)')} as v from line s left join line a on a.n = s.n and a.m0 = s.m0 + round_even({_T.replace('n', 's.n')}, 0)::int")
 def shift_nearest(spark: SparkSession, d: str) -> DataFrame:
     return _shifted(spark, d, "nearest")
 
@@ -417,15 +423,15 @@ def shift_nearest(spark: SparkSession, d: str) -> DataFrame:
     f"""with {_LINE}, g as (select n, m0, v, case when m0 = 0 then lead(v) over w - v when m0 = 1439 then v - lag(v) over w else (lead(v) over w - lag(v) over w) / 2 end as g from line window w as (partition by n order by m0)),
 s as (select n, m0, floor{_T}::int as f, {_T} - floor{_T} as p from line)
 select s.n, s.m0, {_r('(1 + 2 * p) * (1 - p) * (1 - p) * coalesce(a.v, 0) + p * (1 - p) * (1 - p) * coalesce(a.g, 0) + p * p * (3 - 2 * p) * coalesce(b.v, 0) - p * p * (1 - p) * coalesce(b.g, 0)')} as v
-from s left join g a on a.n = s.n and a.m0 = s.m0 + f left join g b on b.n = s.n and b.m0 = s.m0 + f + 1 where s.m0 < 1400"""
+from s left join g a on a.n = s.n and a.m0 = s.m0 + f left join g b on b.n = s.n and b.m0 = s.m0 + f + 1"""
 )
 def shift_hermite(spark: SparkSession, d: str) -> DataFrame:
     return _shifted(spark, d, "hermite")
 
 
 def _shifted(spark: SparkSession, d: str, method: str) -> DataFrame:
-    moved = grids.shift(_line(spark, d), "m0", 0.3 + 0.7 * F.col("n"), 1440, method, 1440).where(F.col("m0") < 1400)
-    every = _line(spark, d).where(F.col("m0") < 1400).select("n", "m0")
+    moved = grids.shift(_line(spark, d), "m0", 0.3 + 0.7 * F.col("n"), 1440, method, 1440)
+    every = _line(spark, d).select("n", "m0")
     return _out(every.join(moved, ["n", "m0"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), "n", "m0")
 
 
@@ -489,14 +495,15 @@ def _rgb_sql(w: tuple[int, ...]) -> str:
 
 
 @query(
-    f"""with {_DENSE}, top as (select n, max(v) as t from dense group by n), x as (select m0, m1, max(v / t) filter (n = 0) as a, max(v / t) filter (n = 1) as b, max(v / t) filter (n = 2) as c, max(v / t) filter (n = 3) as e from dense join top using (n) group by m0, m1)
+    f"""with {_DENSE}, top as (select n, min(v) as l, max(v) - min(v) as t from dense group by n), x as (select m0, m1, max((v - l) / t) filter (n = 0) as a, max((v - l) / t) filter (n = 1) as b, max((v - l) / t) filter (n = 2) as c, max((v - l) / t) filter (n = 3) as e from dense join top using (n) group by m0, m1)
 select m0, m1, {_rgb_sql((1, 1, 3, 4))} as red, {_rgb_sql((2, 4, 3, 2))} as green, {_rgb_sql((4, 2, 1, 1))} as blue from x"""
 )
 def four_channel_rgb(spark: SparkSession, d: str) -> DataFrame:
     g = _dense(spark, d)
-    top = g.groupBy("n").agg(F.max("v").alias("t"))
-    x = g.join(top, "n").groupBy("m0", "m1").agg(*[F.max(F.when(F.col("n") == k, F.col("v") / F.col("t"))).alias(f"c{k}") for k in range(4)])
-    red, green, blue = channels_to_rgb([F.col(f"c{k}") for k in range(4)], 0.25)
+    bounds = g.where("n < 4").groupBy("n").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = g.join(bounds, "n").groupBy("m0", "m1").agg(*[F.max(F.when(F.col("n") == k, F.struct("v", "lo", "hi"))).alias(f"c{k}") for k in range(4)])
+    part = lambda f: [F.col(f"c{k}.{f}") for k in range(4)]
+    red, green, blue = channels_to_rgb(part("v"), 0.25, part("lo"), part("hi"))
     return x.select("m0", "m1", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
@@ -529,14 +536,13 @@ def lines_in_box(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with {_XYZ}, t as (select k, e[1] as ax, e[2] as ay, e[3] - e[1] as dx, e[4] - e[2] as dy, e[5] - e[1] as cx, e[6] - e[2] as cy from x), u as (select *, 2 * (dx * cy - dy * cx) as w from t),
-c as (select k, ax, ay, (cy * (dx*dx + dy*dy) - dy * (cx*cx + cy*cy)) / w as ux, (dx * (cx*cx + cy*cy) - cx * (dx*dx + dy*dy)) / w as uy, w from u)
-select k, round(ax + ux, 3) + 0.0 as x, round(ay + uy, 3) + 0.0 as y, round(sqrt(ux * ux + uy * uy), 3) + 0.0 as radius from c where abs(w) > 1e-4"""
+c as (select k, ax, ay, (cy * (dx*dx + dy*dy) - dy * (cx*cx + cy*cy)) / nullif(w, 0) as ux, (dx * (cx*cx + cy*cy) - cx * (dx*dx + dy*dy)) / nullif(w, 0) as uy from u)
+select k, round(ax + ux, 3) + 0.0 as x, round(ay + uy, 3) + 0.0 as y, round(sqrt(ux * ux + uy * uy), 3) + 0.0 as radius from c"""
 )
 def circumcircles(spark: SparkSession, d: str) -> DataFrame:
     v, e = _components(spark, d)
     x, y, r = circumcircle([(e[0], e[1]), (e[2], e[3]), (e[4], e[5])])
-    w = 2 * ((e[2] - e[0]) * (e[5] - e[1]) - (e[3] - e[1]) * (e[4] - e[0]))
-    return v.where(F.abs(w) > 1e-4).select(F.col("m0").alias("k"), tidy(x, 3).alias("x"), tidy(y, 3).alias("y"), tidy(r, 3).alias("radius"))
+    return v.select(F.col("m0").alias("k"), tidy(x, 3).alias("x"), tidy(y, 3).alias("y"), tidy(r, 3).alias("radius"))
 
 
 @query(

@@ -29,19 +29,23 @@ def seek(voxels: DataFrame, n_channels: int, stand_out: float, share_of_rounds:
     return x.where(good).select(F.concat_ws(",", F.transform("ch", lambda c: c.cast("string"))).alias("code")).groupBy("code").agg(F.count("*").alias("n_voxels"))
 
 
-def signal_share(voxels: DataFrame, n_channels: int, stand_out: float = 1.0, low: float = 0.01, squares: bool = False) -> DataFrame:
-    """Per voxel the share of its signal that the chosen channels hold: sum of their values / (low + sum of all)."""
-    if squares:
-        voxels = voxels.withColumn("obs", F.transform("obs", lambda v: v * v))
-    x = choices(voxels, n_channels, stand_out)
-    keys = [c for c in x.columns if c != "rounds"]
-    chosen = F.aggregate(F.transform("rounds", lambda r: F.when(r["ch"] >= 0, r["top"]).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
-    total = F.aggregate(F.transform("rounds", lambda r: r["total"]), F.lit(0.0), lambda s, v: s + v)
-    return x.select(*keys, (chosen / (total + low)).alias("share"), F.concat_ws(",", F.transform("rounds", lambda r: r["ch"].cast("string"))).alias("code"))
-
-
-def seek_by_share(voxels: DataFrame, n_channels: int, least: float, **how) -> DataFrame:
-    """Distinct codes of voxels whose share is above `least` of the largest share anywhere; and how many."""
-    x = signal_share(voxels, n_channels, **how)
+def signal_share(voxels: DataFrame, n_channels: int, stand_out: float = 1.0, low: float = 0.01, squares: bool = False, scaled: bool = True) -> DataFrame:
+    """Per voxel the share of its signal that the chosen channels hold: sum of their values / (low + sum of all).
+
+    scaled divides all values by the largest one anywhere first; squares sums squared values.
+    """
+    if scaled:
+        top = F.broadcast(voxels.agg(F.max(F.array_max("obs")).alias("__top")))  # one row
+        voxels = voxels.crossJoin(top).withColumn("obs", F.transform("obs", lambda v: v / F.col("__top"))).drop("__top")
+    power = (lambda v: v * v) if squares else (lambda v: v)
+    keys = [c for c in voxels.columns if c not in ("obs", "j")]
+    x = choices(voxels.withColumn("__all", F.aggregate("obs", F.lit(0.0), lambda s, v: s + power(v))), n_channels, stand_out)
+    chosen = F.aggregate("rounds", F.lit(0.0), lambda s, r: s + F.when(r["ch"] >= 0, power(r["top"])).otherwise(0.0))
+    return x.select(*keys, (chosen / (F.col("__all") + low)).alias("share"), F.concat_ws(",", F.transform("rounds", lambda r: r["ch"].cast("string"))).alias("code"))
+
+
+def seek_by_share(voxels: DataFrame, n_channels: int, least: float, stand_out: float = 1.0, squares: bool = True, low: float = 0.001) -> DataFrame:
+    """Distinct codes of voxels whose share, over the largest share anywhere, is at least `least`; and how many."""
+    x = signal_share(voxels, n_channels, stand_out, low, squares)
     top = F.broadcast(x.agg(F.max("share").alias("__top")))  # one row
-    return x.crossJoin(top).where(F.col("share") > least * F.col("__top")).groupBy("code").agg(F.count("*").alias("n_voxels"))
+    return x.crossJoin(top).where(F.col("share") / F.col("__top") >= least).groupBy("code").agg(F.count("*").alias("n_voxels"))

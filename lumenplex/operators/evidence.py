@@ -17,13 +17,8 @@ def _one_row(codes: DataFrame) -> DataFrame:
     return filled.agg(F.sort_array(F.collect_list(F.struct("j", "code", norm("code").alias("size")))).alias("codes"))
 
 
-def evidence(voxels: DataFrame, codes: DataFrame, floor: float | None = None, factor: float = 0.0005) -> DataFrame:
-    """Columns of voxels without obs, j and e = <obs, code> / ((|obs| + floor) |code|), for every voxel and code.
-
-    The VOXEL layout keeps a voxel's frames in one row, so nothing is shuffled: the codebook, of checked size, is
-    broadcast as one row. Unknown entries count as 0; an all-zero code has NULL. Without a floor it is
-    max(obs) * factor * frames, from one aggregate over the voxels.
-    """
+def _valued(voxels: DataFrame, codes: DataFrame, floor: float | None, factor: float) -> tuple[DataFrame, list[str]]:
+    """Voxels with `all`: ARRAY<STRUCT<j, e>>, an entry per code; and the voxels' own columns."""
     book = F.broadcast(_one_row(codes))
     if floor is None:
         top = voxels.agg((F.max(F.array_max("obs")) * factor * F.max(F.size("obs"))).alias("__floor"))
@@ -33,8 +28,31 @@ def evidence(voxels: DataFrame, codes: DataFrame, floor: float | None = None, fa
     keys = [c for c in voxels.columns if c not in ("obs", "j")]
     seen = voxels.select(*keys, "obs", norm("obs").alias("__size")).crossJoin(book)
     value = lambda c: F.when(c["size"] > 0, dot("obs", c["code"]) / ((F.col("__size") + F.col("__floor")) * c["size"]))
-    rows = seen.select(*keys, F.explode(F.transform("codes", lambda c: F.struct(c["j"].alias("j"), value(c).alias("e")))).alias("x"))
-    return rows.select(*keys, "x.j", "x.e")
+    return seen.select(*keys, F.transform("codes", lambda c: F.struct(c["j"].alias("j"), value(c).alias("e"))).alias("all")), keys
+
+
+def evidence(voxels: DataFrame, codes: DataFrame, floor: float | None = None, factor: float = 0.0005, above: float | None = None) -> DataFrame:
+    """Columns of voxels without obs, j and e = <obs, code> / ((|obs| + floor) |code|), for every voxel and code.
+
+    The VOXEL layout keeps a voxel's frames in one row, so nothing is shuffled: the codebook, of checked size, is
+    broadcast as one row. Unknown entries count as 0; an all-zero code has NULL. Without a floor it is
+    max(obs) * factor * frames, from one aggregate over the voxels. above: only rows with a larger e leave the voxel.
+    """
+    seen, keys = _valued(voxels, codes, floor, factor)
+    held = "all" if above is None else F.filter("all", lambda x: x["e"] > above)
+    return seen.select(*keys, F.explode(held).alias("x")).select(*keys, "x.j", "x.e")
+
+
+def best_code(voxels: DataFrame, codes: DataFrame, floor: float | None = None, threshold: float | None = None, factor: float = 0.0005) -> DataFrame:
+    """Per voxel the code of the largest evidence, the least j among equals; -1 below the threshold. Map-only.
+
+    Voxels without evidence of any code have no row.
+    """
+    seen, keys = _valued(voxels, codes, floor, factor)
+    best = F.array_min(F.transform(F.filter("all", lambda x: x["e"].isNotNull()), lambda x: F.struct((-x["e"]).alias("v"), x["j"].alias("j"))))
+    found = seen.select(*keys, best.alias("b")).where("b is not null")
+    low = F.lit(False) if threshold is None else -F.col("b.v") < threshold
+    return found.select(*keys, F.when(low, F.lit(-1)).otherwise(F.col("b.j")).alias("j"), (-F.col("b.v")).alias("e"))
 
 
 def label(density: DataFrame, keys: list[str], threshold: float | None = None, value: str = "e") -> DataFrame:

@@ -20,6 +20,14 @@ def _cells(points: DataFrame, axes: list[str], radius: float, spread: bool) -> D
     return points.select("*", F.explode(steps).alias("__s")).withColumn("__cell", F.zip_with(cell, "__s", lambda c, s: c + s)).drop("__s")
 
 
+def _placed(axes: list[str]):
+    ok = F.lit(True)
+    for a in axes:
+        x = F.col(a).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return ok
+
+
 def _near(axes: list[str], radius: float):
     d2 = sum(((F.col(f"a.{x}") - F.col(f"b.{x}")) * (F.col(f"a.{x}") - F.col(f"b.{x}")) for x in axes[1:]), (F.col(f"a.{axes[0]}") - F.col(f"b.{axes[0]}")) ** 2)
     return (F.col("a.j") == F.col("b.j")) & (F.col("a.__cell") == F.col("b.__cell")) & (d2 <= radius * radius)
@@ -61,7 +69,9 @@ def meanmin_divergence(points: DataFrame, others: DataFrame, axes: list[str], st
 
     0 without points, infinity without others. The nearest one is looked for in grid cells of a width that doubles
     until every point has one that near, so a point meets others of its surroundings and not all of its colour.
+    Points with a coordinate that is null or not finite take no part.
     """
+    points, others = (df.where(_placed(axes)) for df in (points, others))
     same = others.select("j").distinct()
     left = cut(points.select("j", *axes, F.monotonically_increasing_id().alias("__id")))
     lonely = left.join(same, "j", "left_anti").select("j", F.lit(float("inf")).alias("d"))

@@ -14,27 +14,34 @@ def centred(pairs: DataFrame) -> DataFrame:
     return pairs.join(of_f2, ["f2", "axis"]).groupBy(F.col("f1").alias("n"), "axis").agg(F.avg(F.col("d") - F.col("m")).alias("t"))
 
 
-def products_at_offsets(x: DataFrame, y: DataFrame, axes: list[str], reach: int | None = None) -> DataFrame:
-    """Summed products of x[m + t] y[m] for every offset t; both sparse, with columns axes and v.
+def _meeting(x: DataFrame, y: DataFrame, axes: list[str], reach: int | dict[str, int] | None, by: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Summed products of x[m + t] y[m] by offset t_<axis> and the columns `by` (x's name, y's name).
 
-    Every pair of voxels counts once, so inputs are peaks or small crops; reach keeps offsets within a distance, and
-    then voxels meet by grid cell only.
+    Voxels meet by grid cells as wide as the reach, so no pair of far ones is looked at.
     """
-    a = x.select(*[F.col(c).alias(f"a_{c}") for c in axes], F.col("v").alias("a_v"))
-    b = y.select(*[F.col(c).alias(f"b_{c}") for c in axes], F.col("v").alias("b_v"))
     if reach is None:
-        both = a.crossJoin(b)
-    else:
-        cell = lambda c, s: (F.floor(F.col(c) / (reach + 1)) + s).cast("long")
-        a = a.select("*", *[cell(f"a_{c}", 0).alias(f"k_{c}") for c in axes])
-        for c in axes:
-            b = b.select("*", F.explode(F.array(*[cell(f"b_{c}", s) for s in (-1, 0, 1)])).alias(f"k_{c}"))
-        near = F.lit(True)
-        for c in axes:
-            near = near & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= reach)
-        both = a.join(b, [f"k_{c}" for c in axes]).where(near)
+        spans = x.select(*axes).unionByName(y.select(*axes)).agg(*[F.max(c).alias(f"hi_{c}") for c in axes], *[F.min(c).alias(f"lo_{c}") for c in axes]).first()
+        reach = {c: int((spans[f"hi_{c}"] or 0) - (spans[f"lo_{c}"] or 0)) for c in axes}
+    reach = reach if isinstance(reach, dict) else dict.fromkeys(axes, reach)
+    a = x.select(*[F.col(n) for n, _ in by], *[F.col(c).alias(f"a_{c}") for c in axes], F.col("v").alias("a_v"))
+    b = y.select(*[F.col(n) for _, n in by], *[F.col(c).alias(f"b_{c}") for c in axes], F.col("v").alias("b_v"))
+    cell = lambda c, side, s: (F.floor(F.col(f"{side}_{c}") / (reach[c] + 1)) + s).cast("long")
+    a = a.select("*", *[cell(c, "a", 0).alias(f"k_{c}") for c in axes])
+    near = F.lit(True)
+    for c in axes:
+        b = b.select("*", F.explode(F.array(*[cell(c, "b", s) for s in (-1, 0, 1)])).alias(f"k_{c}"))
+        near = near & (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= reach[c])
     offset = [(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"t_{c}") for c in axes]
-    return both.groupBy(*offset).agg(F.sum(F.col("a_v") * F.col("b_v")).alias("product"))
+    names = [n for pair in by for n in pair]
+    return a.join(b, [f"k_{c}" for c in axes]).where(near).groupBy(*names, *offset).agg(F.sum(F.col("a_v") * F.col("b_v")).alias("product"))
+
+
+def products_at_offsets(x: DataFrame, y: DataFrame, axes: list[str], reach: int | dict[str, int] | None = None) -> DataFrame:
+    """Summed products of x[m + t] y[m] for every offset t; both sparse, with columns axes and v.
+
+    reach keeps offsets within a distance, by axis or one for all; without one every pair counts, which is for few voxels.
+    """
+    return _meeting(x, y, axes, reach)
 
 
 def best_offset(products: DataFrame, axes: list[str]) -> DataFrame:
@@ -49,13 +56,11 @@ def demeaned(stack: DataFrame, n_voxels: int) -> DataFrame:
     return stack.join(mean, "n").withColumn("v", F.col("v") - F.col("__m")).drop("__m")
 
 
-def pair_offsets(stack: DataFrame, axes: list[str]) -> DataFrame:
-    """f1, f2, axis, d for every two frames: the best offset of f1 against f2, for sparse frames."""
-    a = stack.select(F.col("n").alias("f1"), *[F.col(c).alias(f"a_{c}") for c in axes], F.col("v").alias("a_v"))
-    b = stack.select(F.col("n").alias("f2"), *[F.col(c).alias(f"b_{c}") for c in axes], F.col("v").alias("b_v"))
+def pair_offsets(stack: DataFrame, axes: list[str], reach: int | dict[str, int] | None = None) -> DataFrame:
+    """f1, f2, axis, d for every two frames: the best offset of f1 against f2 within the reach."""
     names = [f"t_{c}" for c in axes]
-    sums = a.crossJoin(b).groupBy("f1", "f2", *[(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(n) for c, n in zip(axes, names)]).agg(F.sum(F.col("a_v") * F.col("b_v")).alias("p"))
-    best = sums.groupBy("f1", "f2").agg(F.min(F.struct((-F.col("p")).alias("p"), *names)).alias("b"))
+    sums = _meeting(stack.withColumnRenamed("n", "f1"), stack.withColumnRenamed("n", "f2"), axes, reach, (("f1", "f2"),))
+    best = sums.groupBy("f1", "f2").agg(F.min(F.struct((-F.col("product")).alias("p"), *names)).alias("b"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.col(f"b.{n}").cast("double").alias("d")) for k, n in enumerate(names)]))
     return best.select("f1", "f2", each.alias("x")).select("f1", "f2", "x.axis", "x.d")
 
@@ -129,3 +134,14 @@ def fit_affines(points: DataFrame, axes: list[str]) -> DataFrame:
             yield pd.DataFrame(out, columns=["n", "axis", "coefficients"])
 
     return x.groupBy("n", "axis").agg(*sums).mapInPandas(solve, "n int, axis int, coefficients array<double>")
+
+
+def resample_affine(stack: DataFrame, affine: list[list[float]], sizes: dict[str, int], constant: float = 0.0) -> DataFrame:
+    """Frames on a grid of any sizes: at m the nearest voxel to m + A m + b, a constant where there is none.
+
+    Only places of the grid are made; voxels come by one equi-join on rounded coordinates.
+    """
+    grid = stack.select("n").distinct()
+    for axis, size in sizes.items():
+        grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(axis))
+    return sample(stack, affine_coordinates(grid, affine, list(sizes)), list(sizes), constant).select("n", *sizes, "v")

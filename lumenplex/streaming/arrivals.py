@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lumenplex.operators.evidence import evidence, label
+from lumenplex.operators.evidence import best_code
 
 
 def label_arrivals(spark: SparkSession, source: str, schema: str, codes: DataFrame, out: str, checkpoint: str, floor: float = 0.05, threshold: float = 0.2) -> StreamingQuery:
@@ -15,10 +15,9 @@ def label_arrivals(spark: SparkSession, source: str, schema: str, codes: DataFra
     A batch is written under its number, in overwrite mode, so a repeated batch replaces itself: exactly once.
     """
     voxels = spark.readStream.schema(schema).parquet(source)
-    keys = [c for c in voxels.columns if c not in ("obs", "j")]
 
     def one(batch: DataFrame, number: int) -> None:
-        label(evidence(batch, codes, floor), keys, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        best_code(batch, codes, floor, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return voxels.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
