@@ -1,8 +1,9 @@
 """Stacks in LONG layout: normalisation, blocks, blur, neighbourhoods, fractional shifts.
 
-Absent rows are zeros for sums; operators that need rows present say so. A kernel or a table of offsets is a
-literal of a few entries. Values scatter to their neighbours' keys and are summed or maximised there, so
-partial aggregation meets most of a neighbourhood before anything is shuffled, where rows are stored by place.
+Absent rows are zeros for sums; operators that need rows present say so. Blur, sharpening and background work on
+tiles with halos, all axes at once. Elsewhere a table of offsets is a literal of a few entries: values scatter to their
+neighbours' keys and are summed or maximised there, so partial aggregation meets most of a neighbourhood before
+anything is shuffled, where rows are stored by place.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from __future__ import annotations
 import math
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenplex.operators.tiled import blurred, gaussian_step, kernel, over_tiles
+
 
 def dense(stack: DataFrame, sizes: dict[str, int], frames: DataFrame | None = None) -> DataFrame:
     """Every voxel of every frame, zeros where rows are absent. frames: the frames n, those with rows if None."""
@@ -29,15 +33,6 @@ def minmax(stack: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return stack.join(bounds, by).withColumn(value, F.when(span > 0, (F.col(value) - F.col("__lo")) / span)).drop("__lo", "__hi")
 
 
-def kernel(sigma: float, truncate: float = 3.0) -> list[tuple[int, float]]:
-    """A normalised Gaussian on the integers up to ceil(truncate * sigma)."""
-    if sigma <= 0:
-        return [(0, 1.0)]
-    r = math.ceil(truncate * sigma)
-    w = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-r, r + 1)]
-    return [(d, x / sum(w)) for d, x in zip(range(-r, r + 1), w)]
-
-
 def convolve(stack: DataFrame, axis: str, size: int, weights: list[tuple[int, float]], value: str = "v") -> DataFrame:
     """Sums of weighted neighbours along an axis of 0..size - 1, zeros beyond; only reached voxels have rows."""
     if weights == [(0, 1.0)]:
@@ -49,32 +44,79 @@ def convolve(stack: DataFrame, axis: str, size: int, weights: list[tuple[int, fl
     return moved.where(F.col(axis).between(0, size - 1)).groupBy(*keys, axis).agg(F.sum(value).alias(value)).select(*stack.columns)
 
 
-def gaussian(stack: DataFrame, sizes: dict[str, int], sigmas: dict[str, float], value: str = "v", truncate: float = 3.0) -> DataFrame:
-    """Separable blur over the named axes; a sigma of 0 leaves its axis alone."""
-    for axis, sigma in sigmas.items():
-        stack = convolve(stack, axis, sizes[axis], kernel(sigma, truncate), value)
-    return stack
-
+def gaussian(stack: DataFrame, sizes: dict[str, int], sigmas: dict[str, float], value: str = "v", truncate: float = 3.0, border: str = "zero") -> DataFrame:
+    """Separable blur over the named axes; a sigma of 0 leaves its axis alone.
 
-def _beside(stack: DataFrame, other: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    return stack.join(other.withColumnRenamed(value, "__other"), keys, "left").withColumn("__other", F.coalesce("__other", F.lit(0.0)))
+    border "zero": nothing beyond the edges, only reached voxels have rows. "reflect": the stack mirrored at its
+    edges, the kernel ending at the integer nearest to truncate * sigma (4 is usual); an axis must be as long as that.
+    """
+    if border not in ("zero", "reflect"):
+        raise ValueError(border)
+    kernels = {a: kernel(s, truncate, border == "reflect") for a, s in sigmas.items() if s > 0}
+    if not kernels:
+        return stack
+    return over_tiles(stack, sizes, {a: k[-1][0] for a, k in kernels.items()}, gaussian_step(list(kernels.values()), border == "reflect"), value)
 
 
 def sharpen(stack: DataFrame, sizes: dict[str, int], sigmas: dict[str, float], levels: dict[str, float]) -> DataFrame:
-    """x + level * (x - blurred x), one axis after the other."""
-    for axis, sigma in sigmas.items():
-        keys = [c for c in stack.columns if c != "v"]
-        both = _beside(stack, gaussian(stack, sizes, {axis: sigma}), keys)
-        stack = both.withColumn("v", F.col("v") + levels[axis] * (F.col("v") - F.col("__other"))).drop("__other")
-    return stack
+    """x + level * (x - blurred x), one axis after the other; rows stay as they are."""
+    kernels = {a: kernel(s) for a, s in sigmas.items()}
+
+    def step(x, held, at_edge):
+        for i, a in enumerate(kernels):
+            x = np.where(held, x + levels[a] * (x - blurred(x, i + 1, kernels[a])), 0.0)
+        return x, held
+
+    return over_tiles(stack, sizes, {a: k[-1][0] for a, k in kernels.items()}, step)
 
 
 def subtract_background(stack: DataFrame, sizes: dict[str, int], sigmas: dict[str, float], last_axis_only: bool = False) -> DataFrame:
-    """max(x - blurred x, 0). last_axis_only blurs along the last axis alone."""
+    """max(x - blurred x, 0); rows stay as they are. last_axis_only blurs along the last axis alone."""
     if last_axis_only:
         sigmas = dict([list(sigmas.items())[-1]])
-    keys = [c for c in stack.columns if c != "v"]
-    return _beside(stack, gaussian(stack, sizes, sigmas), keys).withColumn("v", F.greatest(F.col("v") - F.col("__other"), F.lit(0.0))).drop("__other")
+    kernels = {a: kernel(s) for a, s in sigmas.items()}
+    blur = gaussian_step(list(kernels.values()))
+    step = lambda x, held, at_edge: (np.maximum(x - blur(x, held, at_edge)[0], 0.0), held)
+    return over_tiles(stack, sizes, {a: k[-1][0] for a, k in kernels.items()}, step)
+
+
+def doublenorm(stack: DataFrame, sizes: dict[str, int], low: float = 1.0, sigma: float = 5.0) -> DataFrame:
+    """Values over the largest one anywhere, then each over low + its blurred surroundings; rows stay as they are."""
+    top = F.broadcast(stack.agg(F.max("v").alias("__top")))  # one row
+    scaled = stack.crossJoin(top).withColumn("v", F.col("v") / F.col("__top")).drop("__top")
+    weights = kernel(sigma)
+    blur = gaussian_step([weights] * len(sizes))
+    step = lambda x, held, at_edge: (x / (low + blur(x, held, at_edge)[0]), held)
+    return over_tiles(scaled, sizes, dict.fromkeys(sizes, weights[-1][0]), step)
+
+
+def crop(stack: DataFrame, start: dict[str, int], stop: dict[str, int], fill: float | None = 0.0) -> DataFrame:
+    """Every voxel of the box [start, stop), counted from its start; `fill` where the stack has no row (None: no row)."""
+    inside = F.lit(True)
+    for a in start:
+        inside = inside & (F.col(a) >= start[a]) & (F.col(a) < stop[a])
+    own = stack.where(inside).withColumns({a: F.col(a) - start[a] for a in start})
+    if fill is None:
+        return own
+    grid = stack.select("n").distinct()
+    for a in start:
+        grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(stop[a] - start[a] - 1))).alias(a))
+    return grid.join(own, ["n", *start], "left").select("n", *start, F.coalesce("v", F.lit(float(fill))).alias("v"))
+
+
+def overwrite(stack: DataFrame, updates: DataFrame, sizes: dict[str, int], order: str) -> DataFrame:
+    """The stack with the values of updates in their voxels, the last by `order` among several; those beyond the sizes are ignored."""
+    inside = F.lit(True)
+    for a, size in sizes.items():
+        inside = inside & F.col(a).between(0, size - 1)
+    last = updates.where(inside).groupBy("n", *sizes).agg(F.max_by("v", order).alias("__new"))
+    return stack.join(last, ["n", *sizes], "full").select("n", *sizes, F.coalesce("__new", "v").alias("v"))
+
+
+def log_counts(pairs: DataFrame, x: str, y: str, width: float, weight: str | None = None) -> DataFrame:
+    """bin_x, bin_y and the logarithm of how many pairs (or of 1 + the sum of a weight) fall into square bins."""
+    total = F.log(F.count("*")) if weight is None else F.log(1 + F.sum(weight))
+    return pairs.groupBy(F.floor(F.col(x) / width).alias("bin_x"), F.floor(F.col(y) / width).alias("bin_y")).agg(total.alias("log_n"))
 
 
 def block_mean(stack: DataFrame, blocks: dict[str, int], sizes: dict[str, int] | None = None, trim: bool = True) -> DataFrame:

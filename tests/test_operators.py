@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenplex.functions import columns, rectangles
-from lumenplex.operators import codebooks, density, evidence, geometry, grids, pointclouds, registration, tiling
+from lumenplex.operators import codebooks, density, evidence, geometry, grids, pointclouds, registration, tiled, tiling
 
 
 def stack(spark, x, axes=("m0", "m1", "m2")):
@@ -59,6 +59,59 @@ def test_tiled_blur_equals_untiled(spark):
     assert np.allclose(array(own, x.shape, ("n", "m0", "m1")), whole)
 
 
+def convolved(df, sizes, sigmas):
+    for axis, sigma in sigmas.items():
+        df = grids.convolve(df, axis, sizes[axis], tiled.kernel(sigma))
+    return df
+
+
+def test_blur_of_small_tiles_equals_scattered_sums(spark):
+    rng = np.random.default_rng(31)
+    rows = [(int(n), int(a), int(b), float(rng.normal())) for n, a, b in {tuple(x) for x in rng.integers(0, (20, 50, 37), size=(400, 3))}]
+    df, sizes, sigmas = spark.createDataFrame(rows, "n int, m0 int, m1 int, v double"), {"m0": 50, "m1": 37}, {"m0": 1.3, "m1": 0.8}
+    kernels = [tiled.kernel(s) for s in sigmas.values()]
+    got = tiled.over_tiles(df, sizes, {"m0": 4, "m1": 3}, tiled.gaussian_step(kernels), inner={"m0": 9, "m1": 11})
+    want = {(r.n, r.m0, r.m1): r.v for r in convolved(df, sizes, sigmas).collect()}
+    found = {(r.n, r.m0, r.m1): r.v for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_reflecting_blur(spark):
+    x = np.random.default_rng(32).normal(size=(2, 30, 25))
+    got = array(grids.gaussian(stack(spark, x, ("m0", "m1")), {"m0": 30, "m1": 25}, {"m0": 1.5, "m1": 0.7}, truncate=4.0, border="reflect"), x.shape, ("n", "m0", "m1"))
+    want = x
+    for axis, sigma in ((1, 1.5), (2, 0.7)):
+        r = int(4 * sigma + 0.5)
+        w = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma**2))
+        pad = np.pad(want, [(r, r) if k == axis else (0, 0) for k in range(3)], mode="symmetric")
+        want = sum(wk / w.sum() * np.take(pad, range(k, k + x.shape[axis]), axis) for k, wk in enumerate(w))
+    assert np.allclose(got, want)
+
+
+def test_a_blur_reads_its_source_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select((F.col("event_id") % 3).cast("int").alias("n"), (F.col("user_id") % 50).cast("int").alias("m0"), F.hour("ts").alias("m1"), F.col("value").alias("v"))
+    plan = grids.subtract_background(df, {"m0": 50, "m1": 24}, {"m0": 2.0, "m1": 1.0})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange ") == 1
+
+
+def test_crop_pads_and_overwrite_ignores_what_is_beyond(spark):
+    df = stack(spark, np.arange(6.0).reshape(1, 2, 3), ("m0", "m1"))
+    got = array(grids.crop(df, {"m0": 1, "m1": -1}, {"m0": 3, "m1": 2}, 9.0), (1, 2, 3), ("n", "m0", "m1"))
+    assert got.tolist() == [[[9, 3, 4], [9, 9, 9]]]
+    new = spark.createDataFrame([(0, 0, 0, 7.0, 1), (0, 0, 0, 8.0, 2), (0, 5, 0, 1.0, 3)], "n int, m0 int, m1 int, v double, k int")
+    assert array(grids.overwrite(df, new, {"m0": 2, "m1": 3}, "k"), (1, 2, 3), ("n", "m0", "m1")).tolist() == [[[8, 1, 2], [3, 4, 5]]]
+
+
+def test_doublenorm(spark):
+    x = np.abs(np.random.default_rng(33).normal(size=(1, 20, 20)))
+    got = array(grids.doublenorm(stack(spark, x, ("m0", "m1")), {"m0": 20, "m1": 20}, 1.0, 1.0), x.shape, ("n", "m0", "m1"))
+    y = x / x.max()
+    blur = y
+    for axis in (1, 2):
+        blur = tiled.blurred(blur, axis, tiled.kernel(1.0))
+    assert np.allclose(got, y / (1 + blur))
+
+
 def test_peaks_of_three_impulses(spark):
     x = np.zeros((3, 5, 6, 7))
     x[0, 1, 2, 3], x[1, 2, 3, 4], x[2, 3, 4, 5] = 1, 1.5, 0.001
