@@ -565,7 +565,7 @@ def distance_to_signal(spark: SparkSession, d: str) -> DataFrame:
     return geometry.distance_transform(one, "m1", 24, ["n", "m0"], 25).select("n", "m0", "m1", "g")
 
 
-# Iterative fits: no SQL; held against numpy in the tests.
+# Iterative fits: no SQL; tests hold them against loops in numpy.
 
 
 @query()

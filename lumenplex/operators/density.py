@@ -75,53 +75,78 @@ def _step(x: np.ndarray, f: np.ndarray, a: np.ndarray, g: np.ndarray, b: np.ndar
     return best
 
 
-def fit(voxels: DataFrame, codes: DataFrame, iterations: int = 10, penalty: float = 0.0, gains: bool = True, every: int = 4) -> Fit:
-    """Alternate densities, gains and backgrounds. voxels: keys and obs; lineage is cut after every few passes."""
+def fit(voxels: DataFrame, codes: DataFrame, iterations: int = 10, penalty: float = 0.0, gains: bool = True) -> Fit:
+    """Per iteration densities, then gains, then voxels' and then frames' backgrounds. voxels: keys and obs.
+
+    An iteration writes the densities once and reads them for two rounds of sums: of the gains, and of the frames'
+    backgrounds with the loss. A voxel's background follows from its densities and the parameters before it.
+    """
     names, book = codebook_matrix(codes)
     n, j = book.shape
     start = voxels.select(*[c for c in voxels.columns if c != "j"], F.array_repeat(F.lit(0.0), j).alias("f"), F.lit(0.0).alias("a"))
     schema: StructType = start.schema
     out = Fit(start, names, book, np.ones(n), np.zeros(n))
 
-    def sums(df: DataFrame) -> dict[str, np.ndarray]:
-        g, b = out.gains[:, None] * out.codes, out.offsets
-        code = out.codes
+    def summed(df: DataFrame, of, width: int) -> np.ndarray:
+        """Sums over all voxels of what `of` makes of a batch's arrays: `width` numbers."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((4, n + 1))
+            total = np.zeros(width)
             for pdf in batches:
                 if len(pdf):
-                    x, f, a = _arrays(pdf)
-                    load, left = f @ code.T, x - a[:, None] - b
-                    total[0, :n] += (load * (left - penalty)).sum(0)
-                    total[1, :n] += (load**2).sum(0)
-                    total[2, :n] += (x - a[:, None] - f @ g.T).sum(0)
-                    total[3, :2] += len(x), 0.5 * ((left - f @ g.T) ** 2).sum() + penalty * (f @ g.sum(0)).sum()
-            yield pd.DataFrame({"k": np.arange(4), "x": list(total)})
-
-        per_frame = df.select("obs", "f", "a").mapInPandas(run, "k int, x array<double>").select("k", F.posexplode("x").alias("i", "v"))
-        got = {(r["k"], r["i"]): r["v"] for r in per_frame.groupBy("k", "i").agg(F.sum("v").alias("v")).collect()}  # 4 (N + 1) numbers
-        return {name: np.array([got.get((k, i), 0.0) for i in range(n + 1)]) for k, name in enumerate(("num", "den", "left", "loss"))}
-
-    for i in range(iterations):
+                    total += of(*_arrays(pdf))
+            yield pd.DataFrame({"x": [total]})
+
+        each = df.select("obs", "f", "a").mapInPandas(run, "x array<double>").select(F.posexplode("x").alias("i", "v"))
+        got = {r["i"]: r["v"] for r in each.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # `width` numbers
+        return np.array([got.get(i, 0.0) for i in range(width)])
+
+    def loss(g: np.ndarray, b: np.ndarray):
+        return lambda x, f, a: np.array([0.5 * ((x - a[:, None] - b - f @ g.T) ** 2).sum() + penalty * (f @ g.sum(0)).sum()])
+
+    for _ in range(iterations):
         g, b = out.gains[:, None] * out.codes, out.offsets.copy()
 
-        def run(batches: Iterator[pd.DataFrame], g=g, b=b) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pd.DataFrame], g=g, b=b) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    x, f, a = _arrays(pdf)
-                    f = _step(x, f, a, g, b, penalty)
-                    yield pdf.assign(f=list(f), a=np.maximum((x - b - f @ g.T).mean(1), 0))
-
-        out.voxels = out.voxels.mapInPandas(run, schema)
-        if i % every == every - 1:
-            out.voxels = cut(out.voxels)
-        s = sums(out.voxels)
-        out.losses.append(float(s["loss"][1]))
+                    yield pdf.assign(f=list(_step(*_arrays(pdf), g, b, penalty)))
+
+        out.voxels = cut(out.voxels.mapInPandas(step, schema))
+        code = out.codes
+
+        def gain_sums(x, f, a, code=code, g=g, b=b):
+            load, left = f @ code.T, x - a[:, None] - b
+            return np.concatenate(((load * (left - penalty)).sum(0), (load**2).sum(0), loss(g, b)(x, f, a)))
+
+        s = summed(out.voxels, gain_sums, 2 * n + 1)
+        out.losses.append(float(s[-1]))
         if gains:
-            ok = s["den"][:n] > 1e-10
-            out.gains = np.where(ok, np.maximum(s["num"][:n] / np.where(ok, s["den"][:n], 1), 1e-10), out.gains)
-            s = sums(out.voxels)
-        out.offsets = np.maximum(s["left"][:n] / max(s["loss"][0], 1), 0)
-    out.losses.append(float(sums(out.voxels)["loss"][1]))
+            ok = s[n : 2 * n] > 1e-10
+            out.gains = np.where(ok, np.maximum(s[:n] / np.where(ok, s[n : 2 * n], 1), 1e-10), out.gains)
+        g = out.gains[:, None] * out.codes
+
+        def background(batches: Iterator[pd.DataFrame], g=g, b=b) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x, f, _ = _arrays(pdf)
+                    yield pdf.assign(a=np.maximum((x - b - f @ g.T).mean(1), 0))
+
+        out.voxels = out.voxels.mapInPandas(background, schema)
+        s = summed(out.voxels, lambda x, f, a, g=g: np.append((x - a[:, None] - f @ g.T).sum(0), len(x)), n + 1)
+        out.offsets = np.maximum(s[:n] / max(s[n], 1), 0)
+    out.losses.append(float(summed(out.voxels, loss(out.gains[:, None] * out.codes, out.offsets), 1)[0]))
     return out
+
+
+def reconstructed(density: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
+    """LONG of what densities (keys, j, v) make the codes show: sums over j of v times the code's entry; zeros left out."""
+    lit = codes.where(F.col("c") != 0).select("n", "j", "c")
+    return density.join(lit, "j").groupBy("n", *keys).agg(F.sum(F.col("v") * F.col("c")).alias("v"))
+
+
+def left_over(stack: DataFrame, explained: DataFrame, keys: list[str]) -> DataFrame:
+    """LONG with v, explained and left = v - explained, for every row of either."""
+    both = stack.select("n", *keys, "v").join(explained.select("n", *keys, F.col("v").alias("explained")), ["n", *keys], "full")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return both.select("n", *keys, zero("v").alias("v"), zero("explained").alias("explained"), (zero("v") - zero("explained")).alias("left"))

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its history, in the session's checkpoint folder (one of its own only where none is set and the session runs on one machine)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of its own only where none is set and the session runs on one machine."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        context.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its history, as a Parquet table in the shared folder: computed once, and kept if executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def every_few(df: DataFrame, i: int, k: int) -> DataFrame:

@@ -273,6 +273,63 @@ def test_density_loss_never_rises_and_finds_codes(spark):
     assert got.losses[-1] < 0.2 * 0.5 * (x**2).sum()
 
 
+def fitted(x, g0, iterations, penalty):
+    """The fit of density.fit(), voxel by voxel."""
+    n, j = g0.shape
+    f, a, b, gain, losses = np.zeros((len(x), j)), np.zeros(len(x)), np.zeros(n), np.ones(n), []
+    for _ in range(iterations):
+        g = gain[:, None] * g0
+        for m in range(len(x)):
+            value = lambda y: 0.5 * np.sum((x[m] - a[m] - b - g @ y) ** 2) + penalty * np.sum(g @ y)  # noqa: B023, E731
+            down = g.T @ (x[m] - a[m] - b - penalty - g @ f[m])
+            down[(f[m] <= 0) & (down <= 0)] = 0
+            curve = np.sum((g @ down) ** 2)
+            size = np.sum(down**2) / curve if curve > 1e-12 else 0
+            for _ in range(10 if size > 0 else 0):
+                y = np.maximum(f[m] + size * down, 0)
+                if value(y) < value(f[m]):
+                    f[m] = y
+                    break
+                size *= 0.9
+        losses.append(0.5 * ((x - a[:, None] - b - f @ g.T) ** 2).sum() + penalty * (f @ g.sum(0)).sum())
+        load = f @ g0.T
+        gain = np.where((load**2).sum(0) > 1e-10, np.maximum((load * (x - a[:, None] - b - penalty)).sum(0) / np.maximum((load**2).sum(0), 1e-300), 1e-10), gain)
+        g = gain[:, None] * g0
+        a = np.maximum((x - b - f @ g.T).mean(1), 0)
+        b = np.maximum((x - a[:, None] - f @ g.T).mean(0), 0)
+    return f, a, b, gain, losses
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.05])
+def test_density_fit_equals_a_loop(spark, penalty):
+    rng = np.random.default_rng(12)
+    book = rng.uniform(0, 1, size=(6, 4))
+    x = rng.uniform(0, 1, size=(30, 4)) @ book.T + rng.uniform(0, 0.3, size=(30, 6))
+    voxels = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "m0 int, obs array<double>").repartition(3)
+    codes = spark.createDataFrame([(n, j, float(book[n, j])) for n in range(6) for j in range(4)], "n int, j int, c double")
+    got = density.fit(voxels, codes, 5, penalty)
+    f, a, b, gain, losses = fitted(x, book, 5, penalty)
+    rows = {r.m0: r for r in got.voxels.collect()}
+    assert np.allclose([rows[i].f for i in range(30)], f, atol=1e-8) and np.allclose([rows[i].a for i in range(30)], a, atol=1e-8)
+    assert np.allclose(got.offsets, b) and np.allclose(got.gains, gain) and np.allclose(got.losses[:-1], losses)
+
+
+def test_deconvolution_equals_a_loop(spark):
+    x = np.abs(np.random.default_rng(13).normal(size=(2, 20, 15))) + 0.1
+    sizes, sigmas = {"m0": 20, "m1": 15}, {"m0": 1.0, "m1": 0.7}
+    got = array(grids.lucy_richardson(stack(spark, x, ("m0", "m1")), sizes, sigmas, 4), x.shape, ("n", "m0", "m1"))
+
+    def blur(y):
+        for axis, s in ((1, 1.0), (2, 0.7)):
+            y = tiled.blurred(y, axis, tiled.kernel(s))
+        return y
+
+    y = np.ones_like(x)
+    for _ in range(4):
+        y = y * blur(x / blur(y)) / blur(np.ones_like(x))
+    assert np.allclose(got, y)
+
+
 def test_surface_of_two_tetrahedra(spark):
     s = spark.createDataFrame([(0, 1, 2, 3), (1, 2, 3, 4)], "p0 int, p1 int, p2 int, p3 int")
     assert geometry.boundary_faces(s).count() == 6
