@@ -150,8 +150,9 @@ def block_sums(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_GRID} select floor(a.v / 20)::bigint as a, floor(b.v / 20)::bigint as b, {_r('ln(count(*))')} as log_n from grid a join grid b using (m0, m1) where a.n = 0 and b.n = 1 group by 1, 2")
 def colour_bleed(spark: SparkSession, d: str) -> DataFrame:
     g = event_grid(spark, d)
-    a, b = (g.where(F.col("n") == k).select("m0", "m1", F.floor(F.col("v") / 20).alias(x)) for k, x in enumerate("ab"))
-    return a.join(b, ["m0", "m1"]).groupBy("a", "b").agg(tidy(F.log(F.count("*"))).alias("log_n"))
+    a, b = (g.where(F.col("n") == k).select("m0", "m1", F.col("v").alias(x)) for k, x in enumerate("ab"))
+    found = grids.log_counts(a.join(b, ["m0", "m1"]), "a", "b", 20)
+    return found.select(F.col("bin_x").alias("a"), F.col("bin_y").alias("b"), tidy(F.col("log_n")).alias("log_n"))
 
 
 _MIX = [[1.1, -0.2, 0.0, 0.05], [-0.1, 1.2, -0.1, 0.0], [0.0, -0.15, 1.05, -0.1], [0.02, 0.0, -0.2, 1.1]]

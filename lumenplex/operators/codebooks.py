@@ -107,6 +107,24 @@ def merge_codebooks(ours: DataFrame, theirs: DataFrame, tolerance: float = 0.0)
     return deduplicate(ours.select("n", "j", "c").unionByName(moved), tolerance)
 
 
+def decoys(channels: DataFrame, n_rounds: int, n_channels: int, distance: int, n: int, tries: int | None = None) -> DataFrame:
+    """decoy, r, ch: the first n codes, in a fixed order of all codes, at a Hamming distance of `distance` or more from every code.
+
+    channels: j, r, ch, of a checked size, held by each task as one row. tries bounds how many codes are looked at.
+    """
+    if channels.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
+        raise ValueError(f"a codebook of more than {MAX_ENTRIES} entries doesn't go into one row")
+    total = n_channels**n_rounds
+    own = channels.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("r", "ch"))).alias("c")).agg(F.collect_list(F.transform("c", lambda x: x["ch"])).alias("book"))
+    k = F.col("k")
+    number = F.pmod(k * 7919 + 104729, F.lit(total))
+    digits = F.array(*[F.floor(number / n_channels ** (n_rounds - 1 - r)).cast("int") % n_channels for r in range(n_rounds)])
+    tried = channels.sparkSession.range(min(tries or total, total)).withColumnRenamed("id", "k").select("k", digits.alias("code")).crossJoin(F.broadcast(own))  # one row
+    apart = lambda c: F.aggregate(F.zip_with(c, "code", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x) >= distance
+    good = tried.where(F.forall("book", apart)).select("k", "code").orderBy("k").limit(n)
+    return good.select(F.col("k").alias("decoy"), F.posexplode("code").alias("r", "ch"))
+
+
 def argmax(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
     """Per group the order columns of the largest value, the first in order among equals."""
     best = F.min(F.struct((-F.col(value)).alias("__v"), *order)).alias("__b")

@@ -92,6 +92,22 @@ def meanmin_divergence(points: DataFrame, others: DataFrame, axes: list[str], st
     return points.select("j").union(others.select("j")).distinct().join(means, "j", "left").select("j", F.coalesce("divergence", F.lit(0.0)).alias("divergence"))
 
 
+def voxel_divergences(voxels: DataFrame, found: DataFrame, axes: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """Per colour j of voxels: ours (how far our voxels are from found ones), theirs (the other way), and unmatched.
+
+    pairs (i, j) say which of our colours j a found colour i stands for; without them colours have the same names.
+    """
+    names = voxels.select("j").distinct()
+    if pairs is not None:
+        found = found.withColumnRenamed("j", "i").join(pairs, "i").select("j", *axes)
+    found = found.join(names, "j", "left_semi")
+    ours = meanmin_divergence(voxels, found, axes).select("j", F.col("divergence").alias("ours"))
+    theirs = meanmin_divergence(found, voxels, axes).select("j", F.col("divergence").alias("theirs"))
+    matched = names if pairs is None else pairs.select("j").distinct()
+    out = names.join(ours, "j", "left").join(theirs, "j", "left").join(matched.withColumn("__m", F.lit(True)), "j", "left")
+    return out.select("j", "ours", "theirs", F.col("__m").isNull().alias("unmatched"))
+
+
 def voxel_labels(points: DataFrame, axes: list[str], reach: int = 0) -> DataFrame:
     """Voxels within reach steps along one axis each (a cross) of a point, with the largest j of those that reach them."""
     steps = [(0,) * len(axes)]

@@ -69,9 +69,36 @@ def owned(rows: DataFrame, axes: list[str]) -> DataFrame:
 
 
 def neighbours(tiled: DataFrame, axes: list[str], what: str = "look") -> DataFrame:
-    """Pairs of tiles (tile, other) whose boxes overlap."""
-    a, b = tiled.alias("a"), tiled.alias("b")
-    meet = F.col("a.tile") != F.col("b.tile")
+    """Pairs of tiles (tile, other) whose boxes overlap.
+
+    Boxes meet in grid cells as wide as the widest box; a pair counts in the cell where what they share begins.
+    """
+    widest = tiled.agg(*[F.max(F.col(f"{what}_stop_{x}") - F.col(f"{what}_start_{x}")).alias(x) for x in axes]).first()
+    width = {x: max(int(widest[x] or 1), 1) for x in axes}
+
+    def side(name: str) -> DataFrame:
+        out = tiled.select(F.col("tile").alias(name), *[F.col(f"{what}_{end}_{x}").alias(f"{name}_{end}_{x}") for x in axes for end in ("start", "stop")])
+        for x in axes:
+            first, last = (F.floor(F.col(f"{name}_{end}_{x}") - off).cast("long") for end, off in (("start", 0), ("stop", 1)))
+            out = out.where(first <= last).select("*", F.explode(F.sequence(F.floor(first / width[x]), F.floor(last / width[x]))).alias(f"cell_{x}"))
+        return out
+
+    meet = F.col("tile") != F.col("other")
     for x in axes:
-        meet = meet & (F.col(f"a.{what}_start_{x}") < F.col(f"b.{what}_stop_{x}")) & (F.col(f"b.{what}_start_{x}") < F.col(f"a.{what}_stop_{x}"))
-    return a.join(b, meet).select(F.col("a.tile").alias("tile"), F.col("b.tile").alias("other"))
+        low, high = F.greatest(f"tile_start_{x}", f"other_start_{x}"), F.least(f"tile_stop_{x}", f"other_stop_{x}")
+        meet = meet & (low < high) & (F.floor(low / width[x]) == F.col(f"cell_{x}"))
+    return side("tile").join(side("other"), [f"cell_{x}" for x in axes]).where(meet).select("tile", "other")
+
+
+def simple_tiles(start: int, stop: int, size: int, drop_last: bool = True) -> list[tuple[int, int]]:
+    """Boxes of one size along an axis, without halos; the last one, whole or not, is dropped unless told otherwise."""
+    edges = list(range(start, stop, size))
+    if not edges:
+        raise ValueError("an empty axis")
+    return list(zip(edges, edges[1:] if drop_last else [*edges[1:], stop]))
+
+
+def downsampled(tiled: DataFrame, d: dict[str, int]) -> DataFrame:
+    """Tiles with every bound divided by the axis' factor, rounded down."""
+    bounds = [f"{what}_{end}_{a}" for a in d for what in ("look", "grab", "put") for end in ("start", "stop")]
+    return tiled.withColumns({b: F.floor(F.col(b) / d[b.rsplit("_", 1)[1]]).cast("int") for b in bounds})
