@@ -83,12 +83,12 @@ def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with t as (select distinct l_suppkey % 9 as p0, 9 + l_linenumber as p1, 20 + l_quantity::int % 7 as p2, 30 + l_partkey % 11 as p3 from lineitem where l_orderkey % 3 = 0),
+    """with t as (select distinct l_orderkey % 5 as p0, 10 + l_suppkey % 7 as p1, 20 + l_linenumber as p2, 30 + l_partkey as p3 from lineitem),
 f as (select unnest([[p1, p2, p3], [p0, p2, p3], [p0, p1, p3], [p0, p1, p2]]) as f from t) select f[1]::bigint as a, f[2]::bigint as b, f[3]::bigint as c from f group by f having count(*) = 1"""
 )
 def surface_of_tetrahedra(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "lineitem").where("l_orderkey % 3 = 0")
-    points = (F.col("l_suppkey") % 9, 9 + F.col("l_linenumber"), 20 + F.col("l_quantity").cast("int") % 7, 30 + F.col("l_partkey") % 11)
+    x = read(spark, d, "lineitem")
+    points = (F.col("l_orderkey") % 5, 10 + F.col("l_suppkey") % 7, 20 + F.col("l_linenumber"), 30 + F.col("l_partkey"))
     return geometry.boundary_faces(x.select(*[p.cast("long").alias(f"p{i}") for i, p in enumerate(points)]).distinct())
 
 

@@ -220,9 +220,9 @@ def match_missed(spark: SparkSession, d: str) -> DataFrame:
     return _clouds(spark, d)["fn"]
 
 
-@query(f"with {_PC} select m0, m1, j from b p where not {_NEAR.format(o='a')}")
+@query(f"with {_PC} select m0, m1, j from b p where not {_NEAR.format(o='a').replace('<= 9', '<= 1')}")
 def match_false(spark: SparkSession, d: str) -> DataFrame:
-    return _clouds(spark, d)["fp"]
+    return pointclouds.match(event_points(spark, d, 0, 60.0), event_points(spark, d, 2, 100.0), 1.0, ["m0", "m1"])["fp"]
 
 
 @query(f"with {_PC} select m0, m1, j from b p where {_NEAR.format(o='a')}")
