@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenplex.operators.lineage import cut
+
 #: A codebook of more entries than this isn't held in one row of a broadcast.
 MAX_ENTRIES = 2_000_000
 
@@ -66,38 +68,113 @@ def merge_entries(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return theirs.join(a, ["n", "j"], "left").select("n", "j", F.coalesce("c", "__a").alias("c"))
 
 
-def deduplicate(codes: DataFrame, tolerance: float = 0.0, limit: int = 20_000) -> DataFrame:
-    """Greedy, in order of j: a code joins the first nearest kept one within the tolerance, filling its unknown
-    entries; repeated until nothing changes. The order is the definition, so one task does it, over a codebook of at
-    most `limit` codes (checked).
+def _pattern(code):
+    """Which entries of a code are known, as a string of 1 and 0."""
+    return F.concat_ws("", F.transform(code, lambda x: F.when(x.isNull(), "0").otherwise("1")))
+
+
+def _meetings(book: DataFrame) -> DataFrame:
+    """j, code, own, other, shared: a row per pattern of known entries that the book holds, with the code's entries known in both."""
+    every = book.select(_pattern("code").alias("p")).agg(F.collect_set("p").alias("__p"))  # one row: patterns, not codes
+    rows = book.select("j", "code", _pattern("code").alias("own")).crossJoin(every)
+    rows = rows.select("j", "code", "own", F.explode("__p").alias("other"))
+    both = F.filter("code", lambda x, i: x.isNotNull() & (F.substring("other", i + 1, F.lit(1)) == "1"))
+    return rows.withColumn("shared", F.transform(both, lambda x: x + F.lit(0.0)))
+
+
+def _links(book: DataFrame, tolerance: float) -> DataFrame:
+    """a, b: links whose connected classes are those of all pairs of distinct codes within the tolerance.
+
+    Without a tolerance, codes of two patterns that agree on what both know are all at distance 0, so each points to
+    its group's smallest. With one, pairs meet in cells of two signed sums of entries, which differ by no more than
+    the distance, and are measured.
     """
+    met = _meetings(book)
+    pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
+    if tolerance <= 0:
+        group = met.groupBy(*pair, "shared").agg(F.min("j").alias("a"), (F.min("own") != F.max("own")).alias("linked"))
+        return met.select(*pair, "shared", F.col("j").alias("b")).join(group.where("linked"), ["p", "q", "shared"]).where("a <> b").select("a", "b").distinct()
+
+    def cell(k: int):
+        signed = F.transform("shared", lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(k)), F.lit(2)) == 0, x).otherwise(-x))
+        return F.floor(F.aggregate(signed, F.lit(0.0), lambda s, x: s + x) / (tolerance * (1 + 1e-6) + 1e-9))
+
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    placed = met.select("j", "own", "other", "shared", cell(1).alias("x"), cell(2).alias("y"))
+    a = placed.withColumn("__s", near).withColumn("x", F.col("x") + F.col("__s")).withColumn("__t", near).withColumn("y", F.col("y") + F.col("__t")).drop("__s", "__t").alias("a")
+    meets = (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    apart = F.aggregate(F.zip_with("a.shared", "b.shared", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda s, x: s + x)
+    return a.join(placed.alias("b"), meets & (F.col("a.j") < F.col("b.j"))).where(apart <= tolerance).select(F.col("a.j").alias("a"), F.col("b.j").alias("b")).distinct()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """j, first: the smallest name reachable over links a, b, for every name in a link."""
+    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    label = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")))
+    while True:
+        seen = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("__m"))
+        lower = label.join(seen, "u").select("u", F.col("l").alias("old"), F.least("l", "__m").alias("l"))
+        jump = label.select(F.col("u").alias("l"), F.col("l").alias("__far"))
+        new = cut(lower.join(jump, "l").select("u", "old", F.least("l", "__far").alias("l")))
+        label = new.select("u", "l")
+        if new.where("old <> l").isEmpty():
+            return label.select(F.col("u").alias("j"), F.col("l").alias("first"))
+
+
+def _greedy(pdf):
+    """Greedy in order of j over one class of linked codes, until nothing changes."""
     import numpy as np
-    import pandas as pd
-
-    one = packed(codes)
-    if one.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} codes")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("j")
-        book = [np.array([np.nan if x is None else x for x in c], float) for c in pdf["code"]]
-        names = pdf["j"].tolist()
-        while True:
-            kept: list[np.ndarray] = []
-            of: list[int] = []
-            for name, code in zip(names, book):
-                d = [np.nansum(np.abs(k - code)) for k in kept]
-                if d and min(d) <= tolerance:
-                    at = int(np.argmin(d))
-                    kept[at] = np.where(np.isnan(code), kept[at], code)
-                else:
-                    kept.append(code)
-                    of.append(name)
-            if len(kept) == len(book):
-                return pd.DataFrame([(n, j, None if np.isnan(c) else float(c)) for j, code in zip(of, kept) for n, c in enumerate(code)], columns=["n", "j", "c"])
-            book, names = kept, of
-
-    return one.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, f"n int, j {codes.schema['j'].dataType.simpleString()}, c double")
+
+    pdf = pdf.sort_values("j")
+    tolerance = pdf["tolerance"].iloc[0]
+    book = [np.array([np.nan if x is None else x for x in c], float) for c in pdf["code"]]
+    names = pdf["j"].tolist()
+    while True:
+        kept = np.empty((len(book), len(book[0])))
+        of: list = []
+        for name, code in zip(names, book):
+            d = np.nansum(np.abs(kept[: len(of)] - code), axis=1)
+            if len(d) and d.min() <= tolerance:
+                at = int(d.argmin())
+                kept[at] = np.where(np.isnan(code), kept[at], code)
+            else:
+                kept[len(of)] = code
+                of.append(name)
+        done, book, names = len(of) == len(book), list(kept[: len(of)]), of
+        if done:
+            return type(pdf)({"j": names, "code": [[None if np.isnan(x) else float(x) for x in c] for c in book]})
+
+
+def deduplicate(codes: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Greedy, in order of j: a code joins the first nearest kept one within the tolerance, filling its unknown
+    entries; repeated until nothing changes.
+
+    Codes that hang together by links within the tolerance are one class; classes are independent, so each is a group
+    of its own, and codes without a link are kept as they are. Without a tolerance equal codes are taken together
+    first and the result is that of one pass over the whole book. With one, a merged code that comes near another
+    class joins it in a next round. Entries that are NaN count as unknown.
+    """
+    name, value = codes.schema["j"].dataType.simpleString(), F.col("c").cast("double")
+    book = cut(packed(codes.select("n", "j", F.when(~F.isnan(value), value).alias("c"))))
+    while True:
+        plain = book.select("j", F.transform("code", lambda x: x + F.lit(0.0)).alias("code"))
+        first = plain.groupBy("code").agg(F.min("j").alias("j")).select("j", "code")
+        links = _links(cut(first), tolerance)
+        if tolerance > 0:
+            equal = plain.join(first.withColumnRenamed("j", "a"), "code").where("a <> j").select("a", F.col("j").alias("b"))
+            links = links.union(equal)
+        else:
+            plain = first
+        links = cut(links)
+        if links.isEmpty():
+            return plain.select(F.posexplode("code").alias("n", "c"), "j").select("n", "j", "c")
+        of = connected(links)
+        each = plain.join(of, "j").withColumn("tolerance", F.lit(float(tolerance)))
+        merged = each.groupBy("first").applyInPandas(_greedy, f"j {name}, code array<double>")
+        new = cut(plain.join(of, "j", "left_anti").unionByName(merged))
+        if tolerance <= 0 or new.count() == book.count():
+            return new.select(F.posexplode("code").alias("n", "c"), "j").select("n", "j", "c")
+        book = new
 
 
 def merge_codebooks(ours: DataFrame, theirs: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -247,6 +247,40 @@ def test_deduplication_is_greedy_in_order(spark):
     assert sorted((r.j, r.n, r.c) for r in got.collect()) == [(0, 0, 1.0), (0, 1, 1.0), (0, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
 
 
+def one_pass_after_another(book, tolerance):
+    names = list(range(len(book)))
+    while True:
+        kept, of = [], []
+        for name, code in zip(names, book):
+            d = [np.nansum(np.abs(k - code)) for k in kept]
+            if d and min(d) <= tolerance:
+                at = d.index(min(d))
+                kept[at] = np.where(np.isnan(code), kept[at], code)
+            else:
+                kept.append(code)
+                of.append(name)
+        if len(kept) == len(book):
+            return dict(zip(of, kept))
+        book, names = kept, of
+
+
+@pytest.mark.parametrize("tolerance, unknown", [(0.0, 0.0), (0.0, 0.2), (1.0, 0.0), (0.25, 0.1)])
+def test_deduplication_by_classes_equals_a_loop(spark, tolerance, unknown):
+    rng = np.random.default_rng(5)
+    book = [np.where(rng.random(9) < unknown, np.nan, c) for c in rng.integers(0, 2, (60, 9)).astype(float)]
+    book += book[:5]
+    rows = [(n, j, None if np.isnan(c) else float(c)) for j, code in enumerate(book) for n, c in enumerate(code)]
+    got: dict = {}
+    for r in codebooks.deduplicate(spark.createDataFrame(rows, "n int, j int, c double"), tolerance).collect():
+        got.setdefault(r.j, [None] * 9)[r.n] = np.nan if r.c is None else r.c
+    want = one_pass_after_another(book, tolerance)
+    assert got.keys() == want.keys() and all(np.array_equal(got[j], want[j], equal_nan=True) for j in want)
+
+
+def test_deduplication_of_an_empty_book(spark):
+    assert codebooks.deduplicate(spark.createDataFrame([], "n int, j int, c double")).isEmpty()
+
+
 def test_divergence_of_empty_sets(spark):
     a = spark.createDataFrame([(0, 0, 1)], "m0 int, m1 int, j int")
     b = spark.createDataFrame([(0, 3, 2)], "m0 int, m1 int, j int")
