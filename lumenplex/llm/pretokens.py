@@ -12,13 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from bisect import bisect_right
 from functools import lru_cache
 
 #: Pre-tokens kept at once in one worker; the table restarts when it is full.
 TABLE_LIMIT = 400_000
 
-_UNUSUAL = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
+_BEYOND = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+_UNUSUAL = re.compile(_BEYOND.pattern + r"|<\|")
 #: A space that no pre-token crosses; one begins with it or after it.
 _SEAM = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -56,7 +58,7 @@ _WORD_STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 }
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\s{_LOWER}0-9]+")
+_WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LOWER}]+|[0-9]|[^\s{_LOWER}0-9]+")
 _LETTERS = _UPPER + _LOWER
 _BYTE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
@@ -77,6 +79,21 @@ def _spelling() -> dict[int, str]:
     return {c: spell.pre_tokenize_str(chr(c))[0][0] for c in (*range(9, 14), *range(32, 127), *range(0xC0, 0x100))}
 
 
+class _Merged(dict):
+    """Words to their ids as bytes; a word that isn't there yet is merged. A full table starts again."""
+
+    def __init__(self, merge, limit: int):
+        super().__init__()
+        self.merge, self.limit, self.spelling = merge, limit, _spelling()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.spelling))]
+        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class WordBpe:
     """ids of whole texts as little-endian 32-bit bytes, for lower-casing BPE with word ends."""
 
@@ -84,23 +101,12 @@ class WordBpe:
         self.library, spec = _load(path)
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.known = spec["normalizer"] == _WORD_STEPS["normalizer"] and split[0].get("pattern") == {"Regex": _WORD_STEPS["split"]}
-        self.spelling, self.limit, self.table = _spelling(), limit, {}
-
-    def _merge(self, words: set[str]) -> None:
-        import struct
-
-        if len(self.table) > self.limit:
-            self.table.clear()  # before the text's words are looked up again, all of them
-        merge, table, spelling = self.library.model.tokenize, self.table, self.spelling
-        for w in words:
-            if w not in table:
-                ids = [t.id for t in merge(w if w.isascii() else w.translate(spelling))]
-                table[w] = struct.pack(f"<{len(ids)}I", *ids)
+        self.table = _Merged(self.library.model.tokenize, limit)
 
     def encode(self, text: str) -> bytes:
         if not self.known:
             return self._whole(text)
-        if _UNUSUAL.search(text):
+        if "<|" in text or _BEYOND.search(text):
             return b"".join(self._whole(x) if odd else self._looked_up(x) for odd, x in stretches(text, _UNUSUAL))
         return self._looked_up(text)
 
@@ -110,12 +116,7 @@ class WordBpe:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _looked_up(self, text: str) -> bytes:
-        words = _WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.table.__getitem__, words))
-        except KeyError:
-            self._merge(set(words))
-            return b"".join(map(self.table.__getitem__, words))
+        return b"".join(map(self.table.__getitem__, _WORD.findall(text.lower())))
 
 
 class ByteBpe:
