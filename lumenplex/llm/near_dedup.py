@@ -38,6 +38,8 @@ BANDS = BINS // BAND
 SLOTS = 1 << 18
 #: Members whose texts are compared with one copy of their centre's text.
 CHUNK = 200
+#: A centre's members meet its number of chunks in so many parts; only centres of several chunks are repeated.
+SALTS = 64
 TABLE_LIMIT = 300_000
 
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=16, dtype=np.uint64) | np.uint64(1)
@@ -160,8 +162,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     A centre's members are dealt into chunks, each with one copy of the centre's text, so a centre with many
     members is spread over tasks and a task holds one member's set at a time. texts: doc_id, text.
     """
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks"))
-    members = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("member"), F.col("chunks")).alias("chunk"), "member")
+    spread = F.xxhash64("member")
+    large = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("chunks")).where("chunks > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pairs.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(large, ["centre", "salt"], "left")
+    members = dealt.select("centre", F.pmod(spread, F.coalesce("chunks", F.lit(1))).alias("chunk"), "member")
     heads = members.select("centre", "chunk").distinct()
     needs = members.select(F.col("member").alias("doc_id"), "centre", "chunk", F.lit(1).alias("kind"), "member").unionByName(
         heads.select(F.col("centre").alias("doc_id"), "centre", "chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("member"))
