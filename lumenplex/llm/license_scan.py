@@ -8,13 +8,16 @@ these alone, for the texts that hold all words of some phrase.
 Names of licences are found at all of their places: the places of a phrase's words, the rarest first, each less its
 relative position, are intersected; what is left are the places where all words stand consecutively.
 
-Licence texts: of the words of a text with the highest inverse document frequency, RARE at most, every place and
-posting propose where a template would start (place less relative position). Starts that AGREE different words
-propose are candidates. One is accepted where the template's mandatory phrases stand word for word within its reach
-and the words met, by weight, are LEAST of the template's: a word counts where it stands within SLACK words of its
-place. The score is the largest share met, of a template or of a name's sentence.
+Licence texts: a template's rarest words, by inverse document frequency, are those without which the rest can't reach
+the share that is asked for, even with AGREE - 1 of them (so their number is the template's own, whatever else a text
+holds). A text that holds AGREE of them is looked at: where the mandatory phrases stand, every word's places less its
+postings' relative positions propose where a copy would start, and starts that AGREE different words propose are
+candidates. One is accepted where all mandatory phrases stand word for word within its reach and the words met, by
+weight, are LEAST of the template's: a word counts where it stands within SLACK words of its place. What else a text
+holds can thus add copies, never hide one. The score is the largest share met, of an accepted template or of a name's sentence.
 
-A name that lies within a longer name gives way to it, unless it is a base phrase.
+A name that lies within a longer name gives way to it, unless it is a base phrase. A copy gives way to one of a longer
+template that has all its words in order (a third clause added), where that one covers half of it.
 
 Odd input: a text that is null or empty has no words, no places, empty labels and the score 0; rows are scanned
 each time they occur; other columns are ignored; an empty table gives an empty result.
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from lumenplex.llm.common import written
 from lumenplex.llm.license_texts import PHRASES, TEMPLATES, Phrase, Template
 
-RARE, AGREE, SLACK, LEAST = 24, 3, 24, 0.6
+AGREE, SLACK, LEAST = 3, 24, 0.6
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -61,13 +63,30 @@ class Index:
         self.lines = [p.line.split() for p in phrases]
         self.texts = [t.text.split() for t in templates]
         self.needs = [[k.split() for k in t.keys] for t in templates]
-        self.postings: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
-        for t, own in enumerate(self.texts):
+        self.postings: list[dict[str, np.ndarray]] = []
+        for own in self.texts:
             at = defaultdict(list)
             for i, w in enumerate(own):
                 at[w].append(i)
-            for w, places in at.items():
-                self.postings[w].append((t, places))
+            self.postings.append({w: np.array(x) for w, x in at.items()})
+        self.rare = [self._rarest(t) for t in range(len(self.texts))]
+        self.longer = [[u for u, other in enumerate(self.texts) if len(other) > len(own) and self._in_order(own, other)] for own in self.texts]
+
+    def _rarest(self, t: int) -> list[str]:
+        """The fewest rarest words of which a copy that meets LEAST of the weight must hold AGREE."""
+        held = {w: self.weight[w] * len(at) for w, at in self.postings[t].items()}
+        order = sorted(held, key=lambda w: (-self.weight[w], w))
+        rest = total = sum(held.values())
+        for n, w in enumerate(order, 1):
+            rest -= held[w]
+            if rest + sum(sorted((held[x] for x in order[:n]), reverse=True)[: AGREE - 1]) < LEAST * total and n >= AGREE:
+                return order[:n]
+        return order
+
+    @staticmethod
+    def _in_order(own: list[str], other: list[str]) -> bool:
+        left = iter(other)
+        return all(w in left for w in own)
 
     def together(self, where: dict[str, np.ndarray], key: list[str]) -> np.ndarray:
         """Where the words of a key stand consecutively, by intersecting their places less their relative positions."""
@@ -81,26 +100,51 @@ class Index:
                 break
         return out[out >= 0]
 
-    def met(self, where: dict[str, list[int]], own: list[str], start: int, slack: int) -> float:
-        """The share, by weight, of a word sequence whose words stand within `slack` of their places."""
-        total = got = 0.0
+    def shares(self, where: dict[str, np.ndarray], own: list[str], starts: np.ndarray, slack: int) -> np.ndarray:
+        """For each start the share, by weight, of a word sequence whose words stand within `slack` of their places."""
+        total, got = 0.0, np.zeros(len(starts))
         for i, w in enumerate(own):
             total += self.weight[w]
-            at = where.get(w, ())
-            k = bisect_left(at, start + i - slack)
-            if k < len(at) and at[k] <= start + i + slack:
-                got += self.weight[w]
+            if w in where:
+                got += self.weight[w] * self._within(where[w], starts + i - slack, starts + i + slack)
         return got / total
 
+    @staticmethod
+    def _within(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a place lies from low to high, for each of these."""
+        k = np.searchsorted(at, low)
+        return (k < len(at)) & (at[np.minimum(k, len(at) - 1)] <= high)
+
+    def copies(self, where: dict[str, np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates for the start of a copy of template t, and their shares."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if sum(w in where for w in self.rare[t]) < AGREE:
+            return none
+        needs = [self.together(where, k) for k in self.needs[t]]
+        if not all(map(len, needs)):
+            return none
+        size, proposed = len(self.texts[t]), []
+        for w, at in self.postings[t].items():
+            if w in where:
+                p = where[w]
+                p = p[self._within(needs[0], p - size - SLACK, p + size + SLACK)]
+                starts = np.unique((p[:, None] - at).ravel())
+                for need in needs:
+                    starts = starts[self._within(need, starts - SLACK, starts + size + SLACK)]
+                proposed.append(starts)
+        starts, n = np.unique(np.concatenate(proposed), return_counts=True)
+        starts = starts[n >= AGREE]
+        return starts, self.shares(where, self.texts[t], starts, SLACK)
+
     def scan(self, where: dict[str, np.ndarray]) -> tuple[list[tuple[str, bool, int, int]], float]:
         """(label, base, first word, number of words) of what the places of a text's licence words show, and the score."""
-        listed = {w: p.tolist() for w, p in where.items()}
         names, found, best = [], set(), 0.0
         for phrase, key, line in zip(self.phrases, self.keys, self.lines):
-            ahead = next(i for i in range(len(line)) if line[i : i + len(key)] == key)
-            for start in self.together(where, key).tolist():
-                names.append((phrase.label, phrase.base, start, len(key)))
-                best = max(best, self.met(listed, line, start - ahead, 0))
+            starts = self.together(where, key)
+            if len(starts):
+                ahead = next(i for i in range(len(line)) if line[i : i + len(key)] == key)
+                names += [(phrase.label, phrase.base, start, len(key)) for start in starts.tolist()]
+                best = max(best, float(self.shares(where, line, starts - ahead, 0).max()))
         # Longer names first where two start alike: a name ends within one that began before it or is hidden by none.
         names.sort(key=lambda n: (n[2], -n[3]))
         reach = (-1, -1)
@@ -109,34 +153,23 @@ class Index:
                 found.add((label, base, start, size))
             if start + size > reach[1]:
                 reach = (start, start + size)
-        rare = sorted(where, key=lambda w: (-self.weight[w], w))[:RARE]
-        proposed = defaultdict(list)
-        for w in rare:
-            for t, at in self.postings.get(w, ()):
-                starts = where[w] if len(at) == 1 and not at[0] else (where[w][:, None] - np.array(at)).ravel()
-                proposed[t].append(np.unique(starts))
-        for t, starts in proposed.items():
-            if len(starts) < AGREE:
-                continue
-            places, n = np.unique(np.concatenate(starts), return_counts=True)
-            places = places[n >= AGREE]
-            if not len(places):
-                continue
-            own = self.texts[t]
-            needs = [self.together(where, k) for k in self.needs[t]]
-            for start in places.tolist():
-                if all(self._within(at, start - SLACK, start + len(own) + SLACK) for at in needs):
-                    share = self.met(listed, own, start, SLACK)
-                    best = max(best, share)
-                    if share >= LEAST:
-                        found.add((self.templates[t].label, False, max(start, 0), len(own)))
+        accepted = {}
+        for t in range(len(self.texts)):
+            starts, share = self.copies(where, t)
+            if (share >= LEAST).any():
+                best = max(best, float(share.max()))
+                accepted[t] = starts[share >= LEAST], share[share >= LEAST]
+        for t, (starts, share) in accepted.items():
+            size = len(self.texts[t])
+            for u in self.longer[t]:  # covered by half: the longer one's start lies so far before and behind
+                if u in accepted:
+                    shown = ~self._within(accepted[u][0], starts + (size + 1) // 2 - len(self.texts[u]), starts + size // 2)
+                    starts, share = starts[shown], share[shown]
+            # Starts that lie within SLACK of each other are one copy: the best of them, the first among equals.
+            groups = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts) > SLACK) + 1) if len(starts) else []
+            found |= {(self.templates[t].label, False, max(int(starts[g[share[g].argmax()]]), 0), size) for g in groups}
         return sorted(found, key=lambda s: (s[2], s[3], s[0], s[1])), min(best, 1.0)
 
-    @staticmethod
-    def _within(at: np.ndarray, low: int, high: int) -> bool:
-        k = np.searchsorted(at, low)
-        return bool(k < len(at) and at[k] <= high)
-
 
 _POSTED = "n_words long, word array<int>, at array<int>, held array<long>"
 
