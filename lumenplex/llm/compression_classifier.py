@@ -1,12 +1,12 @@
 """Quality classifier by compression: does a text shrink more beside good text or beside bad text?
 
-Two zstandard dictionaries are built from good and from bad labelled text. A whole text is compressed in chunks
-with each; the normalised size difference goes through a logistic calibration to a score.
+Two zstandard dictionaries are built from good and from bad labelled text, whole texts one after the other; the window
+is as long as a dictionary, so nothing of it is out of reach. A whole text is compressed in chunks with each; the
+normalised size difference goes through a logistic calibration to a score.
 
-Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id. A dictionary
-of at most DICTIONARY bytes takes an equal share of every text, in pieces spread over the whole of it; what short
-texts leave of theirs goes to the longer ones. The calibration sees every sampled text, whole and inside tasks, beside
-dictionaries that were built without its fold. Scoring covers every text whole.
+Fitting uses a bounded sample: the SAMPLE labelled rows of each class with the least hash of their id, in that order,
+and of these whole texts as long as they fit SAMPLE_BYTES. The calibration sees every sampled text, whole and inside
+tasks, beside dictionaries that were built without its fold. Scoring covers every text whole.
 
 Odd input: a null text is empty; empty texts get the calibrated score of equal sizes; labels that are
 null, of ids without a document or contradictory for one id are left out; without labels of both classes the score
@@ -26,16 +26,24 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lumenplex.llm.common import ROW, carried, written
 
-SAMPLE = 1500
-FOLDS = 4
-DICTIONARY = 400_000
-CHUNK = 1024
-PIECE = 128
-TASKS = 16
-LEVEL = 9
+#: Bounds of the labelled sample: rows of a class, and bytes of their texts, which are taken whole or not at all.
+SAMPLE, SAMPLE_BYTES = 1500, 8_000_000
+FOLDS, TASKS = 4, 16
+CHUNK, LEVEL = 1024, 12
 THRESHOLD = 0.3
 
 
+def _compressor(dictionary: bytes):
+    """A compressor whose window holds the whole dictionary and a chunk."""
+    import zstandard
+
+    size = len(dictionary) + CHUNK
+    shape = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=size, window_log=max(size.bit_length(), 10), write_content_size=False, write_checksum=False, write_dict_id=False)
+    ready = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    ready.precompute_compress(compression_params=shape)
+    return zstandard.ZstdCompressor(dict_data=ready, compression_params=shape)
+
+
 @dataclass
 class Compressors:
     """The two dictionaries, ready to compress."""
@@ -44,17 +52,13 @@ class Compressors:
     bad: bytes
 
     def __post_init__(self) -> None:
-        import zstandard
-
-        self.pair = []
-        for raw in (self.good, self.bad):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.pair.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.pair = [_compressor(raw) for raw in (self.good, self.bad)]
 
     def difference(self, text: str | None) -> float:
         """(size with good - size with bad) / size of the text, all in bytes."""
-        raw = _raw(text)
+        return self.difference_of(_raw(text))
+
+    def difference_of(self, raw: bytes) -> float:
         if not raw:
             return 0.0
         good, bad = (c.compress for c in self.pair)
@@ -65,7 +69,7 @@ class Compressors:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and calibration; small (under 1 MB), so it goes to the tasks with their code."""
+    """Dictionaries (of SAMPLE_BYTES at most, and line ends) and calibration; it goes to the tasks with their code."""
 
     good: bytes
     bad: bytes
@@ -93,27 +97,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / sd), float(w[1] - w[0] * mu / sd)
 
 
-def _share(sizes: list[int]) -> int:
-    """The most bytes that each of these texts may give to one dictionary, a line break after each included."""
-    room, left = DICTIONARY - len(sizes), sorted(sizes)
-    for i, n in enumerate(left):
-        if n * (len(left) - i) > room:
-            return max(room // (len(left) - i), 0)
-        room -= n
-    return left[-1] if left else 0
-
-
-def _spread(raw: bytes, share: int) -> bytes:
-    """The text if it fits the share, else the share in even pieces from its first byte to its last."""
-    if len(raw) <= share:
-        return raw
-    n = max(-(-share // PIECE), 1)
-    ends = [share * i // n for i in range(n + 1)]
-    gap = len(raw) - share
-    starts = [ends[i] + (gap * i // (n - 1) if n > 1 else 0) for i in range(n)]
-    return b"".join(raw[a : a + ends[i + 1] - ends[i]] for i, a in enumerate(starts))
-
-
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -123,33 +106,36 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(_raw(t.as_py())) for t in b.column("t")], pa.int64())], ["id", "size"])
 
 
-def _excerpts(share_of: dict[int, tuple[int, int]], y_of: dict[int, int]):
-    """Each text's part in the dictionary of all texts and in those that leave a fold out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, raws = b.column("id").to_pylist(), [_raw(t.as_py()) for t in b.column("t")]
-            parts = [[_spread(r, share_of[y_of[i]][k]) for i, r in zip(ids, raws)] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x, pa.binary()) for x in parts]], ["id", "whole", "part"])
+def _dictionary(texts: list[bytes]) -> bytes:
+    return b"\n".join(texts) or b"\n" * 8
 
-    return run
 
+def _measured(sample):
+    """Size differences of sampled texts beside the dictionaries without their fold; a task takes a share of one fold.
 
-def _measured(pairs: list[tuple[bytes, bytes]], fold_of: dict[int, int]):
-    """Size differences of whole texts beside the dictionaries without their fold."""
+    sample: a broadcast list of (class, fold, text).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = [Compressors(*p) for p in pairs]
         for b in batches:
-            ids = b.column("id").to_pylist()
-            found = [compressors[fold_of[i]].difference(t.as_py()) for i, t in zip(ids, b.column("t"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.float64())], ["id", "x"])
+            for task in b.column(0).to_pylist():
+                fold, share = task % FOLDS, task // FOLDS
+                compressors = Compressors(*(_dictionary([t for c, f, t in sample.value if c == y and f != fold]) for y in (1, 0)))
+                own = [i for i, (_, f, _) in enumerate(sample.value) if f == fold][share :: TASKS // FOLDS]
+                found = [compressors.difference_of(sample.value[i][2]) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.float64())], ["i", "x"])
 
     return run
 
 
-def _dictionary(parts: list[bytes]) -> bytes:
-    return b"\n".join(parts) or b"\n" * 8
+def _fitting(sized: list[tuple]) -> list:
+    """The ids, in order, whose texts fit what those before them leave of SAMPLE_BYTES."""
+    out, left = [], SAMPLE_BYTES
+    for i, n in sized:
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
@@ -167,22 +153,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample = written(wanted.groupBy("id").agg(F.min("t").alias("t")).repartition(TASKS, "id"), "sample")
         kind = wanted.schema["id"].dataType.simpleString()
         sizes = {r["id"]: r["size"] for r in sample.mapInArrow(_sized, f"id {kind}, size long").collect()}
-    by = {y: [r["id"] for r in ids if r["y"] == y and sizes.get(r["id"])] for y in (0, 1)}
+    by = {y: _fitting([(r["id"], sizes[r["id"]]) for r in ids if r["y"] == y and sizes.get(r["id"])]) for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 4:
         logit = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
         return Model(b"\n" * 8, b"\n" * 8, 0.0, logit)
-    fold_of = {i: nth % FOLDS for y in (0, 1) for nth, i in enumerate(by[y])}
-    sample = sample.where(F.col("id").isin([*fold_of]))
-    without = {y: [[i for i in by[y] if fold_of[i] != k] for k in range(FOLDS)] for y in (0, 1)}
-    share_of = {y: (_share([sizes[i] for i in by[y]]), min(_share([sizes[i] for i in w]) for w in without[y])) for y in (0, 1)}
-    parts = sample.mapInArrow(_excerpts(share_of, label_of), f"id {kind}, whole binary, part binary").collect()  # five DICTIONARY at most
-    whole, part = {r["id"]: bytes(r["whole"]) for r in parts}, {r["id"]: bytes(r["part"]) for r in parts}
-    pairs = [tuple(_dictionary([part[i] for i in without[y][k]]) for y in (1, 0)) for k in range(FOLDS)]
-    rows = sample.mapInArrow(_measured(pairs, fold_of), f"id {kind}, x double").collect()
-    x_of = {r["id"]: r["x"] for r in rows}
-    rest = [(x_of[i], y) for y in (0, 1) for i in by[y]]
-    good, bad = (_dictionary([whole[i] for i in by[y]]) for y in (1, 0))
-    slope, intercept = _logistic(np.array([x for x, _ in rest]), np.array([y for _, y in rest], float))
+    text_of = {r["id"]: _raw(r["t"]) for r in sample.where(F.col("id").isin(by[0] + by[1])).collect()}  # 2 * SAMPLE_BYTES at most
+    chosen = [(y, nth % FOLDS, text_of[i]) for y in (0, 1) for nth, i in enumerate(by[y])]
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(chosen)
+    found = spark.range(0, TASKS, 1, TASKS).mapInArrow(_measured(shared), "i long, x double").collect()
+    x_of = {r["i"]: r["x"] for r in found}
+    good, bad = (_dictionary([t for c, _, t in chosen if c == y]) for y in (1, 0))
+    slope, intercept = _logistic(np.array([x_of[i] for i in range(len(chosen))]), np.array([float(y) for y, _, _ in chosen]))
     # The sample is balanced where labels aren't: the intercept goes back to the share of good ones among all.
     n = known.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in n}
