@@ -16,7 +16,8 @@ Jaccard similarity of at least `percent` / 100; groups are what links connect.
    a large family of copies each one's own edits come first, so only copies that share edits are compared.
 
 Odd input: a text that is null or has no words has an empty set, is linked with nothing and is its own group;
-rows with a null id are linked with nothing, have no group and are kept; repeated rows share their id's group.
+rows with a null id are linked with nothing, have no group and are kept; repeated rows share their id's group; long
+texts have all their shingles; other columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -230,21 +231,33 @@ def across_groups(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return pairs.select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("member")).distinct()
 
 
+def _beside_least(edges: DataFrame, itself: bool) -> DataFrame:
+    """Edges u, v with m, the least v of each u (or u itself, if that counts and is less).
+
+    A node with more than CHUNK edges meets them in SALTS parts; each of the others meets its own in one.
+    """
+    m = F.least("u", "near") if itself else F.col("near")
+    least = edges.groupBy("u").agg(F.min("v").alias("near"), F.count("*").alias("n")).select("u", m.alias("m"), "n")
+    hubs = least.where(F.col("n") > CHUNK).select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    around = dealt.join(hubs, ["u", "salt"]).select("u", "v", "m")
+    rest = dealt.join(hubs, ["u", "salt"], "left_anti").join(least.where(F.col("n") <= CHUNK).select("u", "m"), "u").select("u", "v", "m")
+    return around.unionByName(rest)
+
+
 def connect(links: DataFrame) -> DataFrame:
     """node, group (the least node reachable) for every node of links a, b, by alternating star contraction."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("near")).select("u", F.least("u", "near").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every larger neighbour now hangs on the least node near it; then each node's smaller ones do.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(_beside_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
+        small = _beside_least(large, False).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = written(small, "edges")
         # Done when there are stars only: each leaf has one centre, and no centre is a leaf.
         twice = edges.groupBy("u").count().where("count > 1").select("u")
-        if twice.unionByName(edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")).isEmpty():
-            centres = edges.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct()
+        centres = edges.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct()
+        if twice.unionByName(centres.join(edges, F.col("node") == F.col("u"), "left_semi").select(F.col("node").alias("u"))).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(centres)
 
 
@@ -299,17 +312,19 @@ def near_groups(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text
 def keep_first(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows without those that near_groups() doesn't keep.
 
-    Where ids repeat, each row is a document of its own, a group keeps its row of the least id and hash, and equal
-    rows count once. Rows without an id stay.
+    Where ids repeat, each row is a document of its own, and a group keeps its row of the least id, among those the one
+    of the least hash of its text; equal rows are near each other like any, so they count once unless they have no
+    words. Columns may be of any type, maps included. Rows without an id stay.
     """
     rows = carried(docs, F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     named, none = rows.where("id is not null"), rows.where("id is null")
     if named.groupBy("id").count().where("count > 1").isEmpty():
         gone = written(near_groups(named, percent, "id").where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
         return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(f"{ROW}.*")
-    hashed = [F.col(f"{ROW}.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # Spark hashes no maps
-    named = named.withColumn("row", F.xxhash64(*hashed)).dropDuplicates(["row"])
-    found = written(near_groups(named, percent, "row").select("doc_id", "component_id"), "found")
-    of = named.select("row", "id").join(found, F.col("row") == F.col("doc_id"))
-    kept = of.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("kept"))
+    # Written with their numbers, so that these stay as they are.
+    named = written(named.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_groups(named.select("row", "text"), percent, "row").select("doc_id", "component_id")
+    of = named.select("row", "id", F.xxhash64("text").alias("hash")).join(found, F.col("row") == F.col("doc_id"))
+    first = of.groupBy("component_id").agg(F.min(F.struct("id", "hash", "row")).alias("first")).select(F.col("first.row").alias("kept"))
+    kept = written(first, "kept")
     return named.join(kept, F.col("row") == F.col("kept"), "left_semi").select(f"{ROW}.*").unionByName(none.select(f"{ROW}.*"))

@@ -2,10 +2,15 @@
 
 import re
 from collections import Counter
+from zlib import crc32
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenplex.llm import near_dedup
-from lumenplex.llm.common import table
+from lumenplex.llm import compression_classifier, near_dedup, quality_rules
+from lumenplex.llm.common import ROW, table
+from lumenplex.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,8 +36,47 @@ def test_stages(spark):
 
 
 def test_run_equals_its_stages(spark):
+    """The documents that brute force keeps, cut and packed as the library and one-by-one best fit do it."""
     rows = corpus_pipeline.run(spark, DATA)
-    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    docs = table(spark, DATA, "documents")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        left = corpus_pipeline.written(stage(spark, left, DATA), name)
+    good = quality_rules.apply_rules(docs).where("kept").select(f"{ROW}.*")
+    labels = compression_classifier.training_rows(table(spark, DATA, "labels"))
+    score = compression_classifier.fit(docs, labels).scorer()
+    texts = {r.doc_id: r.text for r in good.collect() if score(r.text) >= 0.3}
+    assert {r.doc_id: r.text for r in left.collect()} == texts
+    kept = kept_by_brute_force([(i, t or "") for i, t in texts.items()], 80)
+
+    encode = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    want = {}
+    for i, text in kept:
+        ids = [*encode.encode(text, add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[i, piece] = (start, len(part), crc32(np.array(part, "<u4").tobytes()))
+    found = rows.collect()
+    assert len(found) == len(want) and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
+    room = []  # best fit decreasing, one by one
+    for n in sorted((n for _, n, _ in want.values()), reverse=True):
+        fits = [k for k, x in enumerate(room) if x >= n]
+        k = min(fits, key=lambda k: room[k], default=None)
+        if k is None:
+            room.append(2048 - n)
+        else:
+            room[k] -= n
+    filled = {}
+    for r in found:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(filled) == len(room)
+    for own in filled.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
 
 
 def kept_by_brute_force(rows, percent):
@@ -63,3 +107,9 @@ def test_dedup_stage_keeps_unique_rows_of_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.dedup(spark, docs, DATA).collect()))
     assert got == sorted(kept_by_brute_force(rows, 80)) == [(1, line(0)), (2, line(1)), (2, line(2)), (3, line(3)), (4, line(4))]
+
+
+def test_dedup_stage_keeps_rows_that_differ_in_a_map(spark):
+    docs = spark.sql("select 1L as doc_id, '' as text, map('a', 1) as m union all select 1L, '', map('a', 2) union all select 2L, 'x y', map('b', 1) union all select 2L, 'x y', map('b', 2)")
+    got = sorted((r.doc_id, r.text, str(r.m)) for r in corpus_pipeline.dedup(spark, docs, DATA).collect())
+    assert [g[:2] for g in got] == [(1, ""), (1, ""), (2, "x y")] and got[0][2] != got[1][2]

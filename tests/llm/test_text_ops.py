@@ -125,10 +125,16 @@ def license_words(text):
 
 
 def brute_licenses(texts):
-    """Names by comparing every place, licence texts by trying every start; labels and scores."""
+    """Names by comparing every place, licence texts by trying every start with all their words; labels and scores."""
     own = [license_words(t) for t in texts]
     vocabulary = {w for p in license_texts.PHRASES for w in p.line.split()} | {w for t in license_texts.TEMPLATES for w in t.text.split()}
     weight = {w: np.log((1 + len(own)) / (1 + sum(w in o for o in own))) + 0.01 for w in vocabulary}
+    slack = license_scan.SLACK
+
+    def inside(short, long):
+        left = iter(long.split())
+        return len(short.split()) < len(long.split()) and all(w in left for w in short.split())
+
     out = []
     for w in own:
         stands = lambda key, i: i >= 0 and w[i : i + len(key)] == key
@@ -142,16 +148,20 @@ def brute_licenses(texts):
                     names.append((p, i, i + len(key)))
                     scores.append(share(line, i - ahead, 0))
         labels = {p.label for p, a, b in names if p.base or not any(x <= a and b <= y and y - x > b - a for _, x, y in names)}
-        rare = set(sorted(vocabulary & set(w), key=lambda x: (-weight[x], x))[: license_scan.RARE])
+        copies = []
         for t in license_texts.TEMPLATES:
-            seq, slack = t.text.split(), license_scan.SLACK
-            for start in range(-len(seq), len(w)):
-                agree = {x for i, x in enumerate(seq) if x in rare and 0 <= start + i < len(w) and w[start + i] == x}
-                near = range(max(start - slack, 0), start + len(seq) + slack + 1)
-                if len(agree) >= license_scan.AGREE and all(any(stands(k.split(), i) for i in near) for k in t.keys):
-                    scores.append(share(seq, start, slack))
-                    if scores[-1] >= license_scan.LEAST:
-                        labels.add(t.label)
+            seq = t.text.split()
+            places = [[i for i in range(len(w)) if stands(k.split(), i)] for k in t.keys]
+            for start in range(-len(seq), len(w)) if all(places) else ():
+                if all(any(start - slack <= i <= start + len(seq) + slack for i in own) for own in places):
+                    agree = {x for i, x in enumerate(seq) if 0 <= start + i < len(w) and w[start + i] == x}
+                    if len(agree) >= license_scan.AGREE:
+                        met = share(seq, start, slack)
+                        if met >= license_scan.LEAST:
+                            scores.append(met)
+                            copies.append((t, start, start + len(seq)))
+        half = lambda a, b, x, y: 2 * (min(b, y) - max(a, x)) >= b - a
+        labels |= {t.label for t, a, b in copies if not any(inside(t.text, u.text) and half(a, b, x, y) for u, x, y in copies)}
         out.append((labels, min(max(scores), 1.0)))
     return out
 
@@ -170,6 +180,7 @@ def test_license_labels_and_scores_equal_brute_force(spark):
         texts.append(" ".join(body[: len(body) // 4]))
         texts.append(" ".join(rng.sample(body, len(body))))
     texts.append(" ".join(license_texts.TEMPLATES[0].text.split() * 3))
+    texts += [f"{license_texts.TEMPLATES[a].text} {license_texts.TEMPLATES[b].text}" for a, b in ((0, 2), (1, 2), (2, 1), (3, 0), (4, 2), (9, 10))]
     want = brute_licenses(texts)
     got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
     for i, (labels, score) in enumerate(want):
@@ -178,6 +189,24 @@ def test_license_labels_and_scores_equal_brute_force(spark):
     assert all(t.label in want[5 + 4 * k][0] for k, t in enumerate(license_texts.TEMPLATES))
 
 
+@pytest.mark.parametrize("skew", [0, 1, 2])
+def test_licenses_found_alone_are_found_together(spark, skew):
+    rng = random.Random(skew)
+    bodies = [t.text for t in license_texts.TEMPLATES]
+    sets = [[k] for k in range(len(bodies))] + [[a, b] for a in range(len(bodies)) for b in range(len(bodies)) if a != b]
+    sets += [rng.sample(range(len(bodies)), len(bodies)) for _ in range(8)]
+    texts = [" plain prose of a file ".join(bodies[k] for k in s) for s in sets]
+    # Some licences much commoner than others, so that their words weigh less.
+    texts += [bodies[(0, 1, 7)[skew]]] * (0, 150, 400)[skew] + ["no licence here, only words of prose and of a file"] * 60
+    got = {r.doc_id: {s.label for s in r.spans} for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    alone = [got[k] for k in range(len(bodies))]
+    assert all(t.label in own for t, own in zip(license_texts.TEMPLATES, alone))
+    assert "bsd-2-clause" not in alone[2] and "bsd-3-clause" not in alone[1]
+    for i, s in enumerate(sets):
+        assert got[i] >= set().union(*(alone[k] for k in s)), [license_texts.TEMPLATES[k].label for k in s]
+        assert not got[i] & {t.label for t in license_texts.TEMPLATES} - {license_texts.TEMPLATES[k].label for k in s} - set().union(*(alone[k] for k in s))
+
+
 def test_license_scan_of_a_long_text_of_names(spark):
     n = 200_000
     r = license_scan.scan_licenses(documents(spark, ["bsd license mit license " * n])).first()
@@ -245,6 +274,21 @@ def test_near_groups_without_links_ids_or_rows(spark):
     assert sorted(str(r.doc_id) for r in near_dedup.keep_first(df).collect()) == ["1", "3", "None"]
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 200])
+def test_connected_nodes_share_their_least(spark, chunk, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(7, k) for k in range(400, 450)] + [(k, 999) for k in range(440, 460)]
+    links += [(k, k + 1) for k in range(2000, 2040)]
+    group = {x: x for link in links for x in link}
+    for _ in range(len(links)):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r.node: r.group for r in near_dedup.connect(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {x for x in group if all(a == b for a, b in links if x in (a, b))}
+    assert got == {x: g for x, g in group.items() if x not in alone}
+
+
 def test_buckets_follow_similarity():
     rng = np.random.default_rng(0)
     hit = []
@@ -419,17 +463,59 @@ def test_classifier_on_held_out_rows(spark):
     assert docs.count() == queries.op10_quality_classifier(spark, "/root/testdata/sf0.01").count()
 
 
-def test_dictionaries_take_from_every_text_and_all_of_it(spark):
+def test_dictionaries_hold_whole_texts_within_the_sample(spark, monkeypatch):
     rng = random.Random(3)
-    n = 1000
+    n = 400
     texts = [f"<{i:04d}>" + "".join(rng.choices("abcdefgh ", k=rng.choice([30, 9000]))) + f"[{i:04d}]" for i in range(2 * n)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(2 * n)], "doc_id long, quality int")
     model = compression_classifier.fit(docs, labels)
     for y, raw in ((1, model.good), (0, model.bad)):
-        own = range(y, 2 * n, 2)
-        assert len(raw) <= compression_classifier.DICTIONARY
-        assert all(b"<%04d>" % i in raw and b"[%04d]" % i in raw for i in own)
+        assert sorted(raw.decode().split("\n")) == sorted(texts[y::2])
+    monkeypatch.setattr(compression_classifier, "SAMPLE_BYTES", 50_000)
+    small = compression_classifier.fit(docs, labels)
+    for y, raw in ((1, small.good), (0, small.bad)):
+        own = raw.decode().split("\n")
+        assert 40_000 < len(raw) <= 50_000 + len(own) and set(own) <= set(texts[y::2])
+
+
+def test_what_a_dictionary_began_with_is_not_out_of_reach():
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)).encode() for _ in range(2500)]
+    compressor = compression_classifier._compressor(b"\n".join(texts))
+    assert max(len(compressor.compress(t[:1000])) for t in (texts[0], texts[1250], texts[-1])) < 60
+
+
+def test_fit_equals_an_independent_computation(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = compression_classifier.training_rows(spark.read.parquet(f"{DATA}/labels.parquet"))
+    model = compression_classifier.fit(docs, labels)
+    order = labels.where("quality is not null").orderBy(F.xxhash64("doc_id", F.lit(17))).select("doc_id", "quality").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by = {y: [texts[r.doc_id].encode() for r in order if r.quality == y and texts.get(r.doc_id)] for y in (0, 1)}
+    assert [model.bad, model.good] == [b"\n".join(by[y]) for y in (0, 1)]
+
+    def size(raw, c):
+        return sum(len(c.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+
+    xs, ys = [], []
+    for fold in range(4):
+        pair = [compression_classifier._compressor(b"\n".join(t for k, t in enumerate(by[y]) if k % 4 != fold)) for y in (1, 0)]
+        for y in (0, 1):
+            for t in by[y][fold::4]:
+                xs.append((size(t, pair[0]) - size(t, pair[1])) / len(t))
+                ys.append(y)
+    x, y = np.array(xs), np.array(ys)
+    z = (x - x.mean()) / x.std()
+    shift = np.log(len(by[1]) / len(by[0])) - np.log(sum(r.quality for r in order) / sum(1 - r.quality for r in order))
+    w = [model.slope * x.std(), model.intercept + shift + model.slope * x.mean()]
+
+    def loss(a, b):
+        m = a * z + b
+        return (np.logaddexp(0, m) - y * m).sum() + 0.5e-2 * (a * a + b * b)
+
+    least = loss(*w)
+    assert all(least <= loss(w[0] + da, w[1] + db) for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
 
 
 def test_calibration_sees_whole_texts(spark):
@@ -445,14 +531,12 @@ def test_calibration_sees_whole_texts(spark):
 
 
 def test_scores_equal_an_independent_computation(spark):
-    import zstandard
-
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels = compression_classifier.training_rows(spark.read.parquet(f"{DATA}/labels.parquet"))
     model = compression_classifier.fit(docs, labels)
 
     def size(raw, dictionary):
-        c = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        c = compression_classifier._compressor(dictionary)
         return sum(len(c.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
 
     texts = {r.doc_id: r.text for r in docs.collect()}
