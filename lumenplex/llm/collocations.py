@@ -43,6 +43,8 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = 1
 _KIND[list(_BREAKS)] = 2
+#: Bits of a fingerprint: fewer bytes to shuffle; what collides is told apart by its text.
+FINGERPRINT_BITS = 48
 _BASE, _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -108,7 +110,8 @@ class Words:
         return at, self.of(at, k)
 
     def of(self, at: np.ndarray, k: int) -> np.ndarray:
-        return _mixed(((self.total[at + k] - self.total[at]) * self.down[at]) ^ self.lang[self.doc[at]] + np.uint64(k))
+        whole = _mixed(((self.total[at + k] - self.total[at]) * self.down[at]) ^ self.lang[self.doc[at]] + np.uint64(k))
+        return whole >> np.uint64(64 - FINGERPRINT_BITS)
 
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join(self.data[self.start[at] : self.end[at + k - 1]].split())
@@ -169,7 +172,7 @@ class Filter:
     """Two bits for each fingerprint among a power of two of bits."""
 
     def __init__(self, bits: np.ndarray, size: int):
-        self.bits, self.low, self.high = bits, np.uint64(size - 1), np.uint64(65 - size.bit_length())
+        self.bits, self.low, self.high = bits, np.uint64(size - 1), np.uint64(FINGERPRINT_BITS + 1 - size.bit_length())
 
     def holds(self, fp: np.ndarray) -> np.ndarray:
         a, b = fp & self.low, fp >> self.high
@@ -180,7 +183,7 @@ class Filter:
 def filter_of(frequent: DataFrame) -> Filter:
     """The Bloom filter of a written table's fingerprints: FILTER_KEY_BITS a key, FILTER_BITS at most, summed up by Spark."""
     size = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (FILTER_KEY_BITS * frequent.count()).bit_length()))
-    spots = F.array(F.col("fp").bitwiseAND(size - 1), F.shiftrightunsigned("fp", 65 - size.bit_length()))
+    spots = F.array(F.col("fp").bitwiseAND(size - 1), F.shiftrightunsigned("fp", FINGERPRINT_BITS + 1 - size.bit_length()))
     words = frequent.select(F.explode(spots).alias("spot")).groupBy(F.shiftrightunsigned("spot", 6).alias("word"))
     found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(size // 64, np.uint64)
