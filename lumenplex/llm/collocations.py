@@ -296,7 +296,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     sums = written(counted.groupBy("lang", "phrase", "k", "fp").agg(F.sum("n").alias("f")).where(f"k = 0 or f >= {least}"), "frequent-phrases")
     places = functools.reduce(DataFrame.unionByName, pointers).select("fp", "doc_id", "at")
     phrases = sums.where("k > 0").join(places, "fp").drop("fp")
-    return written(phrases, "phrases"), sums.where("k = 0").select("lang", F.col("f").alias("n"))
+    # A table of its own: a row a language, so small that Spark can tell.
+    return written(phrases, "phrases"), written(sums.where("k = 0").select("lang", F.col("f").alias("n")), "languages")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
