@@ -72,6 +72,19 @@ def blur_all(x: np.ndarray, sigmas: list[int]) -> np.ndarray:
     return x
 
 
+def gains_from(with_left: np.ndarray, own: np.ndarray, gains: np.ndarray, mixing: np.ndarray) -> np.ndarray:
+    """Each frame's best gain, from the sums of `Model._products`; as it was where its codes show nothing."""
+    up, down = np.einsum("ck,rck->rc", mixing, with_left), np.einsum("ck,rkl,cl->rc", mixing, own, mixing)
+    good = down > LEAST_GAIN
+    return np.maximum(np.where(good, up / np.where(good, down, 1), gains), LEAST_GAIN)
+
+
+def mixing_from(with_left: np.ndarray, own: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """Each channel's best non-negative mix of the channels' codes."""
+    each = [(g, with_left[:, c]) for c, g in enumerate(gains.T)]
+    return np.array([nonnegative(np.einsum("r,rkl->kl", g**2, own), np.einsum("r,rk->k", g, left)) for g, left in each])
+
+
 @dataclass(frozen=True)
 class Frame:
     """How a stack is cut: sizes, tiles' own widths and blur levels by axis."""
@@ -297,16 +310,10 @@ class Model:
         return self._sums
 
     def _update_gains(self) -> None:
-        with_left, own = self._products()
-        up, down = np.einsum("ck,rck->rc", self.mixing, with_left), np.einsum("ck,rkl,cl->rc", self.mixing, own, self.mixing)
-        good = down > LEAST_GAIN
-        self.gains = np.maximum(np.where(good, up / np.where(good, down, 1), self.gains), LEAST_GAIN)
+        self.gains = gains_from(*self._products(), self.gains, self.mixing)
 
     def _update_mixing(self) -> None:
-        with_left, own = self._products()
-        for c in range(len(self.mixing)):
-            g = self.gains[:, c]
-            self.mixing[c] = nonnegative(np.einsum("r,rkl->kl", g**2, own), np.einsum("r,rk->k", g, with_left[:, c]))
+        self.mixing = mixing_from(*self._products(), self.gains)
 
     def _update_voxels(self) -> None:
         shown, offsets, n = self._shown(), self.offsets, len(self.offsets)
@@ -430,3 +437,41 @@ def fit(stack: DataFrame, codes: DataFrame, sizes: dict[str, int], iterations: i
         for what in ["F", *["gains"] * gains, *["mixing"] * mixing, "a", "b"]:
             m.update(what)
     return m
+
+
+def fit_block(x: np.ndarray, book: np.ndarray, sigmas: list[int], penalty: float, plan: list[str]) -> np.ndarray:
+    """A tile's scaled densities (*axes, codes) from its own voxels x (*axes, frames) alone: the updates of plan, in order."""
+    space, (r, c, j) = x.shape[:-1], book.shape
+    codes = book.reshape(r * c, j)
+    f, a, b, gains, mixing = np.zeros((*space, j)), np.zeros(space), np.zeros(r * c), np.ones((r, c)), np.eye(c)
+    z = np.zeros(x.shape)
+    for what in plan:
+        loads = np.einsum("rc,ck,rkj->rcj", gains, mixing, book).reshape(r * c, j)
+        allowed = x - a[..., None] - b - penalty
+        shown = (np.einsum("mrk,ck->mrc", z.reshape(-1, r, c), mixing) * gains).reshape(x.shape)
+        if what == "F":
+            e = allowed - shown
+            down = blur_all(e, sigmas) @ loads
+            down[(f <= 0) & (down <= 0)] = 0
+            along = blur_all(down @ loads.T, sigmas)
+            curve = (along**2).sum()
+            if (down**2).sum() > LEAST_STEP and curve > 0:
+                for i in range(TRIES):
+                    y = np.maximum(f + (e * along).sum() / curve * BACK**i * down, 0)
+                    more = blur_all((y - f) @ loads.T, sigmas)
+                    if 0.5 * (more**2).sum() < (e * more).sum():
+                        f = y
+                        break
+            z = blur_all(f @ codes.T, sigmas)
+        elif what == "a":
+            a = np.maximum((x - shown - b).mean(-1), 0)
+        elif what == "b":
+            b = np.maximum((x - shown - a[..., None]).reshape(-1, r * c).mean(0), 0)
+        else:
+            zs, left = z.reshape(-1, r, c), allowed.reshape(-1, r, c)
+            with_left, own = np.einsum("mrc,mrk->rck", left, zs), np.einsum("mrc,mrk->rck", zs, zs)
+            if what == "gains":
+                gains = gains_from(with_left, own, gains, mixing)
+            else:
+                mixing = mixing_from(with_left, own, gains)
+    return f * np.einsum("rc,ck,rkj->j", gains, mixing, book)

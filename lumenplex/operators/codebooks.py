@@ -211,3 +211,17 @@ def argmax(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFr
 def ranked_codes(df: DataFrame, value: str) -> DataFrame:
     """Rows with their rank by a value, within j."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("j").orderBy(value)))
+
+
+def phased(codes: DataFrame, channels: int, left: list[float]) -> DataFrame:
+    """Codes n, j, c whose rounds also show what earlier ones leave behind: the share `left` (by channel) of each round goes to the next.
+
+    n = round * channels + channel. Every frame of a code's channel, from its first round to the codebook's last, has a row; unknown entries count as 0.
+    """
+    last = F.broadcast(codes.agg(F.max(F.floor(F.col("n") / channels)).cast("int").alias("last")))  # one row
+    share = F.array(*map(F.lit, map(float, left)))
+    held = codes.groupBy("j", (F.col("n") % channels).alias("ch")).agg(F.map_from_entries(F.collect_list(F.struct(F.floor(F.col("n") / channels).cast("int").alias("r"), F.coalesce("c", F.lit(0.0)).alias("c")))).alias("by"))
+    entries = F.transform(F.sequence(F.lit(0), F.col("last")), lambda r: F.coalesce(F.try_element_at("by", r), F.lit(0.0)))
+    carried = F.aggregate(entries, F.array().cast("array<double>"), lambda z, c: F.concat(z, F.array(c + F.get(share, F.col("ch")) * F.coalesce(F.get(z, F.size(z) - 1), F.lit(0.0)))))
+    rows = held.crossJoin(last).select("j", "ch", F.posexplode(carried).alias("r", "c"))
+    return rows.select((F.col("r") * channels + F.col("ch")).cast("int").alias("n"), "j", "c")

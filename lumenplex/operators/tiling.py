@@ -53,11 +53,16 @@ def tiles(spark: SparkSession, sizes: dict[str, int], inner: dict[str, int], bor
 
 
 def deal(stack: DataFrame, tiled: DataFrame, axes: list[str]) -> DataFrame:
-    """Rows with every tile that looks at them; border rows are in several. Tiles are a small table, joined by range."""
-    inside = F.lit(True)
+    """Rows with every tile that looks at them; border rows are in several. Rows and tiles meet in cells as wide as the widest tile."""
+    widest = tiled.agg(*[F.max(F.col(f"look_stop_{a}") - F.col(f"look_start_{a}")).alias(a) for a in axes]).first()
+    width = {a: max(int(widest[a] or 1), 1) for a in axes}
+    cells, seen, inside = tiled, stack, F.lit(True)
     for a in axes:
+        cells = cells.withColumn(f"__c_{a}", F.explode(F.sequence(F.floor(F.col(f"look_start_{a}") / width[a]), F.floor((F.col(f"look_stop_{a}") - 1) / width[a]))))
+        seen = seen.withColumn(f"__c_{a}", F.floor(F.col(a) / width[a]))
         inside = inside & (F.col(a) >= F.col(f"look_start_{a}")) & (F.col(a) < F.col(f"look_stop_{a}"))
-    return stack.join(F.broadcast(tiled) if tiled.limit(100_001).count() <= 100_000 else tiled, inside)
+    keys = [f"__c_{a}" for a in axes]
+    return seen.join(cells, keys).where(inside).drop(*keys)
 
 
 def owned(rows: DataFrame, axes: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenplex.jobs import spot_calling
-from lumenplex.operators import linear_programs, local_patterns, model_registration, simulate, tiling
+from lumenplex.operators import blurred_model, linear_programs, local_patterns, model_registration, simulate, tiling
 
 SIZES = {"m0": 40, "m1": 40}
 
@@ -33,12 +33,55 @@ def test_iterative_job_finds_every_spot(spark):
     assert (r.fn, r.fp) == (0, 0) and r.detection_rate == 1
 
 
+def decoys_of(spark):
+    return simulate.codebook(spark, 5, 3, 2, seed=77).withColumn("j", F.col("j") + 100)
+
+
 def test_two_phases_keep_the_truth(spark):
     codes, points, stack = scene(spark)
-    decoys = simulate.codebook(spark, 5, 3, 2, seed=77).withColumn("j", F.col("j") + 100)
-    got = spot_calling.two_phase(stack, codes, decoys, SIZES, 15, {"m0": 2, "m1": 2}, 20, 6)
-    top = got.join(points.select("m0", "m1", F.col("j").alias("truth")), ["m0", "m1"]).groupBy("m0", "m1", "truth").agg(F.max_by("j", "v").alias("best"))
-    assert top.count() == 4 and top.where("truth <> best").isEmpty() and got.where("j >= 100").isEmpty()
+    got = spot_calling.two_phase(stack, codes, decoys_of(spark), SIZES, 5, {"m0": 2, "m1": 2}, {"m0": 16, "m1": 16}, {"m0": 1, "m1": 1}, iterations=((2, 2), (5, 12)))
+    top = got.where("j < 100").join(points.select("m0", "m1", F.col("j").alias("truth")), ["m0", "m1"]).groupBy("m0", "m1", "truth").agg(F.max_by("j", "v").alias("best"))
+    assert top.count() == 4 and top.where("truth <> best").isEmpty()
+
+
+def test_codes_that_a_tile_did_not_keep_are_never_fitted_there(spark, monkeypatch):
+    codes, _, stack = scene(spark)
+    decoys = decoys_of(spark)
+    tiled = tiling.tiles(spark, SIZES, {"m0": 16, "m1": 16}, {"m0": 4, "m1": 4})
+    chosen = {t: k % 6 for k, t in enumerate(sorted(r.tile for r in tiled.select("tile").collect()))}
+    kept = spark.createDataFrame([(t, j) for t, k in chosen.items() for j in (k, 100, 101)], "tile string, j int")
+    monkeypatch.setattr(spot_calling, "kept_codes", lambda *a, **k: kept)
+    got = spot_calling.two_phase(stack, codes, decoys, SIZES, 5, {"m0": 2, "m1": 2}, {"m0": 16, "m1": 16}, {"m0": 1, "m1": 1}, iterations=((1, 0), (3, 2)))
+    own = tiling.owned(tiling.deal(got, tiled, ["m0", "m1"]), ["m0", "m1"]).collect()
+    assert len(own) == got.count() > 0
+    assert all(r.j in (chosen[r.tile], 100, 101) for r in own)
+    # A tile alone, with its three codes, gives the same.
+    r = tiled.orderBy("tile").first()
+    part = stack.toPandas()
+    x = np.zeros((40, 40, 15))
+    x[part.m0, part.m1, part.n] = part.v
+    book = {j: np.zeros(15) for j in (0, 100, 101)}
+    for c in codes.unionByName(decoys).select("n", "j", "c").collect():
+        if c.j in book:
+            book[c.j][c.n] = c.c
+    matrix = np.stack([book[j] for j in (0, 100, 101)], -1).reshape(5, 3, 3)
+    x = x[r.look_start_m0 : r.look_stop_m0, r.look_start_m1 : r.look_stop_m1]
+    want = blurred_model.fit_block(x, matrix, [1, 1], 0.01, ["F"] * 3 + ["a", "F"] * 2)
+    for o in own:
+        if o.tile == r.tile:
+            np.testing.assert_allclose(want[o.m0 - r.look_start_m0, o.m1 - r.look_start_m1, (0, 100, 101).index(o.j)], o.v, rtol=1e-9)
+
+
+def test_codes_are_kept_where_they_beat_the_decoys(spark):
+    tiled = tiling.tiles(spark, {"m0": 40}, {"m0": 10}, {"m0": 2})
+    coarse = spark.createDataFrame([(1, 0, 3.0), (1, 100, 1.0), (3, 101, 2.0), (7, 1, 2.0), (7, 2, 2.5)], "m0 int, j int, v double")
+    decoys = spark.createDataFrame([(0, 100, 1.0), (0, 101, 1.0)], "n int, j int, c double")
+    real = lambda **k: sorted(tuple(r) for r in spot_calling.kept_codes(coarse, decoys, tiled, {"m0": 5}, 8, **k).where("j < 100").collect())
+    inside = lambda at: {r.tile for r in tiled.collect() if r.look_start_m0 // 5 <= at < r.look_stop_m0 // 5}
+    assert real() == sorted((t, j) for at, j in ((1, 0), (7, 2)) for t in inside(at))
+    assert real(multiplier=1.3) == sorted((t, 0) for t in inside(1))
+    # Of eight voxels one is above zero: the median is 0, so all codes are kept; over decoys the level lies between.
+    assert {j for _, j in real(by_voxel=50.0)} == {0, 1, 2} and {j for _, j in real(by_code=0.0)} == {0, 1, 2}
 
 
 def test_codes_are_read_off_blobs(spark):

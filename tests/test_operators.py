@@ -379,3 +379,9 @@ def test_deconvolution_keeps_what_is_flat(spark):
     df = stack(spark, x, ("m0", "m1"))
     got = array(grids.lucy_richardson(grids.gaussian(df, {"m0": 9}, {"m0": 1.0}), {"m0": 9}, {"m0": 1.0}, 3), x.shape, ("n", "m0", "m1"))
     assert np.allclose(got, 1)
+
+
+def test_signal_left_behind_by_rounds(spark):
+    codes = spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0), (3, 1, None), (4, 1, 4.0), (2, 2, 8.0)], "n int, j int, c double")
+    got = {(r.n, r.j): r.c for r in codebooks.phased(codes, 2, [0.5, 0.25]).collect()}
+    assert got == {(0, 1): 1, (2, 1): 0.5, (4, 1): 4.25, (1, 1): 2, (3, 1): 0.5, (5, 1): 0.125, (0, 2): 0, (2, 2): 8, (4, 2): 4}

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenplex.jobs import dataset_queries  # noqa: F401  registers its queries
+from lumenplex.jobs import dataset_queries, model_queries  # noqa: F401  register their queries
 from lumenplex.jobs.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
