@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenplex.functions.columns import tidy
 from lumenplex.jobs import spot_calling
-from lumenplex.jobs.queries import _AFF, _BLUR2, _BOOKS, _CODES, _DENSE, _GRID, _NEAR, _PC, _ROL, _SERIES, DAY, SIZES, _books, _conv, _dense, _lit, _out, _r, query
-from lumenplex.operators import codebooks, density, geometry, grids, pointclouds, registration, tiled, tiling
+from lumenplex.jobs.queries import _AFF, _BLUR2, _BOOKS, _CODES, _DENSE, _GRID, _NEAR, _PC, _ROL, _SERIES, DAY, SIZES, _books, _conv, _dense, _kernel, _lit, _out, _r, query
+from lumenplex.operators import codebooks, correlation, density, geometry, grids, pointclouds, registration, tiled, tiling
 from lumenplex.sources.adapters import event_grid, event_points, event_series, read, vector_codes, vector_stack
 from lumenplex.sources.bundle import Bundle
 
@@ -181,10 +181,25 @@ def dataset_with_more_spots(spark: SparkSession, d: str) -> DataFrame:
 # Registration.
 
 
-@query(f"with {_GRID}, p as (select * from grid where v >= 100) select a.m0 - b.m0 as t_m0, a.m1 - b.m1 as t_m1, {_r('sum(a.v * b.v)')} as product from p a cross join p b where a.n = 0 and b.n = 1 group by 1, 2")
+_LESS = f"{_DENSE}, less as (select n, m0, m1, v / 1000 - avg(v / 1000) over (partition by n) as v from dense)"
+
+
+@query(f"with {_LESS} select a.n as f1, b.n as f2, a.m0 - b.m0 as t_m0, a.m1 - b.m1 as t_m1, {_r('sum(a.v * b.v)')} as product from less a join less b on (a.n, b.n) in ((0, 1), (4, 2)) group by all")
 def products_at_all_offsets(spark: SparkSession, d: str) -> DataFrame:
-    g = event_grid(spark, d).where("v >= 100")
-    return _out(registration.products_at_offsets(*[g.where(F.col("n") == k).select("m0", "m1", "v") for k in (0, 1)], ["m0", "m1"]), "t_m0", "t_m1", v="product")
+    found = correlation.products_of_frames(event_grid(spark, d).withColumn("v", F.col("v") / 1000), SIZES, [(0, 1), (4, 2)])
+    return _out(found, "f1", "f2", "t_m0", "t_m1", v="product")
+
+
+@query(
+    f"""with {_DENSE}, l0 as (select n, m0, m1, v / 1000 - avg(v / 1000) over (partition by n, m1) as v from dense), l1 as (select n, m0, m1, v - avg(v) over (partition by n, m0) as v from l0),
+s as (select a.n as f1, b.n as f2, a.m0 - b.m0 as t0, a.m1 - b.m1 as t1, sum(a.v * b.v) as p from l1 a join l1 b on a.n < b.n group by all), best as (select * from s qualify row_number() over (partition by f1, f2 order by p desc, t0, t1) = 1),
+o as (select f1, f2, -t0 as d0, -t1 as d1 from best union all select f2, f1, t0, t1 from best union all select n, n, 0, 0 from (select unnest(range(5)) as n)),
+c as (select f1, d0 - avg(d0) over (partition by f2) as e0, d1 - avg(d1) over (partition by f2) as e1 from o), t as (select f1 as n, avg(e0) as t0, avg(e1) as t1 from c group by f1)
+select n::int as n, unnest([0, 1])::int as axis, round(unnest([t0, t1]), 6) + 0.0 as t from t"""
+)
+def translations_of_frames(spark: SparkSession, d: str) -> DataFrame:
+    found = correlation.frame_translations(event_grid(spark, d).withColumn("v", F.col("v") / 1000), [0, 1, 2, 3, 4], SIZES)
+    return _out(found, "n", "axis", v="t")
 
 
 @query(
@@ -229,3 +244,39 @@ select o.n, o.m0, o.m1, {_r('coalesce(s.v, -1.0)')} as v from o left join dense
 )
 def affine_on_a_larger_grid(spark: SparkSession, d: str) -> DataFrame:
     return _out(registration.resample_affine(_dense(spark, d), _AFF, {"m0": 50, "m1": 30}, -1.0), "n", "m0", "m1")
+
+
+_LEVELS = list(range(60, 400, 20))
+_MEET = "exists (select 1 from {o} o where o.j = p.j and (o.m0 - p.m0) ** 2 + (o.m1 - p.m1) ** 2 <= 9)"
+
+
+@query(
+    f"""with {_GRID}, a as (select m0, m1, n as j from grid where v >= 60), b as (select m0 + 2 as m0, (m1 + n) % 24 as m1, n as j, v from grid where v >= 60), t as (select unnest({_LEVELS})::double as threshold),
+c as (select threshold, (select count(*) from b where v >= threshold) as n_found, (select count(*) from a p where not {_MEET.format(o='(select * from b where v >= threshold)')}) as fn,
+(select count(*) from b p where v >= threshold and not {_MEET.format(o='a')}) as fp from t)
+select threshold, n_found, fn, fp, {_r('1 - fn / (select count(*) from a)')} as detection_rate, {_r('fp / greatest(n_found, 1)')} as false_discovery_rate from c"""
+)
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    g = event_grid(spark, d).where(F.col("v") >= 60)
+    found = g.select((F.col("m0") + 2).alias("m0"), ((F.col("m1") + F.col("n")) % 24).alias("m1"), F.col("n").alias("j"), "v")
+    rows = pointclouds.sweep(event_points(spark, d, 0, 60.0), found, 3.0, ["m0", "m1"], _LEVELS)
+    return rows.select("threshold", "n_found", "fn", "fp", *[tidy(F.col(c)).alias(c) for c in ("detection_rate", "false_discovery_rate")])
+
+
+_LOADS = "loads as (select n, m0 % 5 as j, avg(v) / 100 as c from grid group by n, m0 % 5)"
+_ELLIPSE = "(select * from (select unnest(range(-2, 3)) as d0) cross join (select unnest(range(-1, 2)) as d1) where (d0 / 2.0) ** 2 + d1 ** 2 <= 1)"
+
+
+@query(
+    f"""with {_GRID}, {_LOADS}, {_kernel('k', 1.0)}, level as (select 0.5 * max(v) as level from grid where n >= 3), spots as (select n, m0, m1 from grid cross join level where v > level),
+grown as (select distinct n, m0 + d0 as m0, m1 + d1 as m1 from spots cross join {_ELLIPSE}), plain as (select n, m0, m1, v / s as v from grid join (select j, sum(c) as s from loads group by j) on j = n),
+{_conv('seen', 'plain', 'm0', 40, 'k')}, shown as (select c.n, x.m0, x.m1, sum(x.v * c.c) as v from seen x semi join grown using (n, m0, m1) join loads c on c.j = x.n group by 1, 2, 3)
+select n, m0, m1, {_r('coalesce(g.v, 0)')} as v, {_r('coalesce(s.v, 0)')} as explained, {_r('coalesce(g.v, 0) - coalesce(s.v, 0)')} as "left" from grid g full join shown s using (n, m0, m1)"""
+)
+def gated_explanation(spark: SparkSession, d: str) -> DataFrame:
+    g = event_grid(spark, d)
+    loads = g.groupBy("n", (F.col("m0") % 5).alias("j")).agg((F.avg("v") / 100).alias("c"))
+    found = g.select("m0", "m1", F.col("n").alias("j"), "v")
+    shown = density.gated_reconstruction(found, loads, loads.where("j >= 3"), SIZES, {"m0": 2, "m1": 1}, {"m0": 1.0}, 0.5)
+    both = density.left_over(g, shown, ["m0", "m1"])
+    return both.select("n", "m0", "m1", *[tidy(F.col(c)).alias(c) for c in ("v", "explained", "left")])

@@ -43,4 +43,4 @@ def two_phase_density(spark: SparkSession, d: str) -> DataFrame:
 select (4 * r + ch)::int as n, j, {_r('c')} as c from z"""
 )
 def phased_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _out(codebooks.phased(vector_codes(spark, d), 4, [0.1, 0.2, 0.3, 0.4]), "n", "j", v="c").withColumnRenamed("v", "c")
+    return _out(codebooks.phased(vector_codes(spark, d), 4, [0.1, 0.2, 0.3, 0.4]), "n", "j", v="c")

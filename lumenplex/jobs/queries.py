@@ -556,14 +556,37 @@ def total_variation(spark: SparkSession, d: str) -> DataFrame:
     return _out(geometry.total_variation(g, moved, ["n", "m0", "m1"], ["n"]), "n", v="loss")
 
 
-@query(
-    f"""with {_GRID}, s as (select n, m0, m1 from grid where v >= 100), a as (select s.n, x.m0, s.m1, min((x.m0 - s.m0) ** 2) as g from s join (select unnest(range(40)) as m0) x on (x.m0 - s.m0) ** 2 < 25 group by 1, 2, 3)
-select a.n, a.m0::int as m0, y.m1::int as m1, min(g + (y.m1 - a.m1) ** 2)::bigint as g from a join (select unnest(range(24)) as m1) y on g + (y.m1 - a.m1) ** 2 < 25 group by 1, 2, 3"""
-)
+@query(f"with {_DENSE} select x.n, x.m0, x.m1, min((x.m0 - s.m0) ** 2 + (x.m1 - s.m1) ** 2)::double as g from dense x join dense s on s.n = x.n and s.v >= 100 group by 1, 2, 3")
 def distance_to_signal(spark: SparkSession, d: str) -> DataFrame:
     seeds = event_grid(spark, d).where(F.col("v") >= 100).select("n", "m0", "m1", F.lit(0).cast("long").alias("g"))
-    one = geometry.distance_transform(seeds, "m0", 40, ["n", "m1"], 25)
-    return geometry.distance_transform(one, "m1", 24, ["n", "m0"], 25).select("n", "m0", "m1", "g")
+    one = geometry.distance_transform(seeds, "m0", 40, ["n", "m1"])
+    return geometry.distance_transform(one, "m1", 24, ["n", "m0"]).select("n", "m0", "m1", "g")
+
+
+def _transformed(out: str, src: str, value: str, first: int, second: int) -> str:
+    steps = [f"{out}{i} as (select n, {o}, y.{a}::int as {a}, min({g} + (y.{a} - x.{a}) ** 2) as g from {s} x join (select unnest(range({n})) as {a}) y on true group by n, {o}, y.{a})" for i, (a, o, n, s, g) in enumerate((("m0", "m1", first, src, value), ("m1", "m0", second, f"{out}0", "g")))]
+    return ", ".join(steps)
+
+
+_FAR_OFF = f"{_DENSE}, f as (select n, m0, m1, 100000.0::double * (1 - least(v / 200, 1.0)) as g from dense), {_transformed('a', 'f', 'g', 40, 24)}, soft as (select n, m0, m1, 1 / (1 + exp(-(least(g, 100000.0::double) - 6.0) / 2.0)) as v from a1)"
+
+
+def _signal(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d).withColumn("v", F.least(F.col("v") / 200, F.lit(1.0)))
+
+
+@query(f"with {_FAR_OFF}, h as (select n, m0, m1, 100000.0::double * (1 - v) as g from soft), {_transformed('b', 'h', 'g', 40, 24)} select n, m0, m1, {_r('g')} as g from b1")
+def skeleton_of_signal(spark: SparkSession, d: str) -> DataFrame:
+    return _out(geometry.skeleton(_signal(spark, d), SIZES, 6.0, 2.0), "n", "m0", "m1", v="g")
+
+
+@query(
+    f"""with {_FAR_OFF}, h as (select n, m0 + 1 as m0, m1 + 1 as m1, 100000.0::double * (1 - v) as g from soft union all
+select n, m0, m1, 0.0::double from (select unnest(range(5))::int as n) cross join (select unnest(range(42))::int as m0) cross join (select unnest(range(26))::int as m1) where m0 in (0, 41) or m1 in (0, 25)),
+{_transformed('b', 'h', 'g', 42, 26)} select n, m0 - 1 as m0, m1 - 1 as m1, {_r('g')} as g from b1 where m0 between 1 and 40 and m1 between 1 and 24"""
+)
+def padded_skeleton(spark: SparkSession, d: str) -> DataFrame:
+    return _out(geometry.skeleton(_signal(spark, d), SIZES, 6.0, 2.0, padded=True), "n", "m0", "m1", v="g")
 
 
 # Iterative fits: no SQL; tests hold them against loops in numpy.

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lumenplex.operators.codebooks import MAX_ENTRIES, packed
+from lumenplex.operators.grids import gaussian
 from lumenplex.operators.lineage import cut
+from lumenplex.operators.pointclouds import dilate
 
 
 @dataclass
@@ -150,3 +152,19 @@ def left_over(stack: DataFrame, explained: DataFrame, keys: list[str]) -> DataFr
     both = stack.select("n", *keys, "v").join(explained.select("n", *keys, F.col("v").alias("explained")), ["n", *keys], "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return both.select("n", *keys, zero("v").alias("v"), zero("explained").alias("explained"), (zero("v") - zero("explained")).alias("left"))
+
+
+def gated_reconstruction(found: DataFrame, codes: DataFrame, decoys: DataFrame, sizes: dict[str, int], radii: dict[str, int], sigmas: dict[str, float] | None = None, multiplier: float = 1.0) -> DataFrame:
+    """LONG of what densities explain where they beat the decoys.
+
+    found: axes, j, v scaled by their code's total load, decoys along. A code counts within an ellipsoid of places where
+    it exceeds the decoys' largest density times the multiplier; there its density, unscaled and blurred, is shown.
+    """
+    axes = list(sizes)
+    level = found.join(decoys.select("j").distinct(), "j", "left_semi").agg((F.coalesce(F.max("v"), F.lit(0.0)) * multiplier).alias("__level"))
+    spots = found.crossJoin(F.broadcast(level)).where(F.col("v") > F.col("__level"))  # one row
+    grown = dilate(spots.select("j", *axes), radii, ["j"])
+    load = codes.groupBy("j").agg(F.sum("c").alias("__load")).where("__load <> 0")
+    plain = found.join(load, "j").select(F.col("j").alias("n"), *axes, (F.col("v") / F.col("__load")).alias("v"))
+    seen = gaussian(plain, sizes, sigmas) if sigmas else plain
+    return reconstructed(seen.withColumnRenamed("n", "j").join(grown, ["j", *axes], "left_semi"), codes, axes)

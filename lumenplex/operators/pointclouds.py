@@ -118,9 +118,37 @@ def voxel_labels(points: DataFrame, axes: list[str], reach: int = 0) -> DataFram
     return spread.select(*[(F.col(x) + F.col("s")[i]).alias(x) for i, x in enumerate(axes)], "j").groupBy(*axes).agg(F.max("j").alias("j"))
 
 
-def dilate(mask: DataFrame, radii: dict[str, int]) -> DataFrame:
-    """Voxels within an ellipsoid of a voxel of the mask."""
+def dilate(mask: DataFrame, radii: dict[str, int], by: list[str] = ()) -> DataFrame:
+    """Voxels within an ellipsoid of a voxel of the mask, within each of `by`."""
     axes = list(radii)
     ok = [s for s in product(*[range(-r, r + 1) for r in radii.values()]) if sum((x / max(r, 1e-9)) ** 2 for x, r in zip(s, radii.values()) if x) <= 1]
     lit = F.array(*[F.array(*map(F.lit, s)) for s in ok])
-    return mask.select(*axes, F.explode(lit).alias("s")).select(*[(F.col(x) + F.col("s")[i]).alias(x) for i, x in enumerate(axes)]).distinct()
+    moved = mask.select(*by, *axes, F.explode(lit).alias("s"))
+    return moved.select(*by, *[(F.col(x) + F.col("s")[i]).alias(x) for i, x in enumerate(axes)]).distinct()
+
+
+def sweep(truth: DataFrame, found: DataFrame, radius: float, axes: list[str], thresholds: list[float], value: str = "v") -> DataFrame:
+    """threshold, n_found, fn, fp, detection_rate, false_discovery_rate of the found points of at least each threshold.
+
+    One matching serves all thresholds: a true point is missed above the largest value near it, a found one is false at
+    any. Both are counted by the number of thresholds that they reach, and a row a threshold is summed up from there.
+    """
+    levels = sorted(set(map(float, thresholds)))
+    reached = lambda c: F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= c))
+    a = _cells(truth.withColumn("__row", F.struct(*truth.columns)), axes, radius, False).alias("a")
+    b = _cells(found, axes, radius, True).alias("b")
+    seen = truth.groupBy(*axes, "j").agg(F.count("*").alias("__times"))  # equal points have equal neighbours
+    best = a.join(b, _near(axes, radius)).groupBy(*[F.col(f"a.{x}").alias(x) for x in axes], F.col("a.j").alias("j")).agg(F.max(F.col(f"b.{value}")).alias("__best"))
+    truths = seen.join(best, [*axes, "j"], "left").groupBy(F.coalesce(reached(F.col("__best")), F.lit(0)).alias("k")).agg(F.sum("__times").alias("truths"))
+    near = within(found, truth, radius, axes).groupBy(reached(F.col(value)).alias("k")).agg(F.count("*").alias("agreeing"))
+    every = found.groupBy(reached(F.col(value)).alias("k")).agg(F.count("*").alias("found"))
+    zero = F.lit(0).cast("long")
+    parts = [truths.select("k", "truths", zero.alias("agreeing"), zero.alias("found")), near.select("k", zero.alias("truths"), "agreeing", zero.alias("found")), every.select("k", zero.alias("truths"), zero.alias("agreeing"), "found")]
+    counts = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = truth.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "nth int, threshold double")
+    # A row for each number of reached thresholds: as many as there are thresholds.
+    reach = lambda c: F.sum(F.when(F.col("k") >= F.col("nth"), F.col(c)).otherwise(0))
+    by = F.broadcast(counts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("truths", "agreeing", "found")]))
+    summed = rows.crossJoin(by).groupBy("nth", "threshold").agg(F.sum("truths").alias("all"), reach("truths").alias("hit"), reach("agreeing").alias("agreeing"), reach("found").alias("n_found"))
+    fn, fp = F.col("all") - F.col("hit"), F.col("n_found") - F.col("agreeing")
+    return summed.select("threshold", "n_found", fn.alias("fn"), fp.alias("fp"), (1 - fn / F.col("all")).alias("detection_rate"), (fp / F.greatest("n_found", F.lit(1))).alias("false_discovery_rate"))

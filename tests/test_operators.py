@@ -385,3 +385,45 @@ def test_signal_left_behind_by_rounds(spark):
     codes = spark.createDataFrame([(0, 1, 1.0), (1, 1, 2.0), (3, 1, None), (4, 1, 4.0), (2, 2, 8.0)], "n int, j int, c double")
     got = {(r.n, r.j): r.c for r in codebooks.phased(codes, 2, [0.5, 0.25]).collect()}
     assert got == {(0, 1): 1, (2, 1): 0.5, (4, 1): 4.25, (1, 1): 2, (3, 1): 0.5, (5, 1): 0.125, (0, 2): 0, (2, 2): 8, (4, 2): 4}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 12).flatmap(lambda n: st.lists(st.lists(st.one_of(st.integers(0, 60).map(float), st.floats(0, 1e5), st.just(1e5)), min_size=n, max_size=n), min_size=1, max_size=5)))
+def test_envelopes_are_least_sums(lines):
+    g = np.array(lines)
+    at = np.arange(g.shape[1])
+    want = (g[:, None, :] + (at[:, None] - at) ** 2).min(2)
+    np.testing.assert_allclose(geometry.envelope(g), want, rtol=1e-12)
+
+
+def test_distances_have_no_reach(spark):
+    seeds = spark.createDataFrame([(0, 3, 0), (0, 900, 5), (1, 0, 2)], "n int, m0 int, g int")
+    got = {(r.n, r.m0): r.g for r in geometry.distance_transform(seeds, "m0", 1000, ["n"], 1e9).collect()}
+    assert len(got) == 2000 and got[0, 400] == min(397**2, 500**2 + 5) and got[1, 999] == 999**2 + 2
+    assert geometry.distance_transform(seeds, "m0", 1000, ["n"], 100.0).count() == 13 + 19 + 10
+    assert geometry.distance_transform(seeds.limit(0), "m0", 1000, ["n"]).count() == 0
+
+
+def test_sweep_equals_one_matching_per_threshold(spark):
+    rng = np.random.default_rng(8)
+    points = lambda n: [(int(a), int(b), int(j), float(v)) for a, b, j, v in zip(rng.integers(0, 40, n), rng.integers(0, 40, n), rng.integers(0, 2, n), rng.integers(0, 9, n))]
+    truth = spark.createDataFrame(points(60) + [(100, 100, 0, 1.0)] * 2, "m0 int, m1 int, j int, x double").drop("x")
+    found = spark.createDataFrame(points(80), "m0 int, m1 int, j int, v double")
+    levels = [0.0, 3.0, 3.5, 8.0, 20.0]
+    got = {r.threshold: (r.n_found, r.fn, r.fp) for r in pointclouds.sweep(truth, found, 4.0, ["m0", "m1"], levels).collect()}
+    for t in levels:
+        own = found.where(found.v >= t)
+        parts = pointclouds.match(truth, own, 4.0, ["m0", "m1"])
+        assert got[t] == (own.count(), parts["fn"].count(), parts["fp"].count()), t
+    none = {r.threshold: (r.n_found, r.fn, r.fp) for r in pointclouds.sweep(truth, found.limit(0), 4.0, ["m0", "m1"], [1.0]).collect()}
+    assert none == {1.0: (0, 62, 0)}
+
+
+def test_explained_and_left_over_are_the_stack(spark):
+    codes = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0), (0, 2, 1.0)], "n int, j int, c double")
+    found = spark.createDataFrame([(5, 0, 9.0), (7, 0, 1.0), (9, 1, 8.0), (20, 2, 3.0), (30, 0, 2.0)], "m0 int, j int, v double")
+    shown = density.gated_reconstruction(found, codes, codes.where("j = 2"), {"m0": 40}, {"m0": 2})
+    assert {(r.n, r.m0): r.v for r in shown.collect()} == {(0, 5): 9, (0, 7): 1, (1, 9): 8}
+    seen = spark.createDataFrame([(0, 5, 10.0), (1, 30, 4.0)], "n int, m0 int, v double")
+    rows = density.left_over(seen, shown, ["m0"]).collect()
+    assert len(rows) == 4 and all(r.explained + r.left == r.v for r in rows)
