@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenplex.jobs import spot_calling
 from lumenplex.jobs.queries import _CODES, SIZES, _out, _r, query
-from lumenplex.operators import blurred_model, codebooks
+from lumenplex.operators import blurred_model, codebooks, local_patterns
 from lumenplex.sources.adapters import event_grid, vector_codes
 
 
@@ -44,3 +44,12 @@ select (4 * r + ch)::int as n, j, {_r('c')} as c from z"""
 )
 def phased_codes(spark: SparkSession, d: str) -> DataFrame:
     return _out(codebooks.phased(vector_codes(spark, d), 4, [0.1, 0.2, 0.3, 0.4]), "n", "j", v="c")
+
+
+@query()
+def codes_of_blobs(spark: SparkSession, d: str) -> DataFrame:
+    g = event_grid(spark, d)
+    radius = {"m0": 2, "m1": 1}
+    centres = local_patterns.blobs(g, ["m0", "m1"], 0.3, 2, {a: (SIZES[a], r) for a, r in radius.items()})
+    found = local_patterns.read_codes(local_patterns.patches(g, centres, radius), radius, 1, 5, 1.2, blur={"m0": 1})
+    return _out(found, "blob", "status", "code", v="r2")

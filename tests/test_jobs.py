@@ -87,7 +87,7 @@ def test_codes_are_kept_where_they_beat_the_decoys(spark):
 def test_codes_are_read_off_blobs(spark):
     codes, points, stack = scene(spark)
     centres = local_patterns.blobs(stack, ["m0", "m1"], 0.2)
-    got = local_patterns.read_codes(local_patterns.patches(stack, centres, {"m0": 2, "m1": 2}), 5, 3, 1.5).collect()
+    got = local_patterns.read_codes(local_patterns.patches(stack, centres, {"m0": 2, "m1": 2}), {"m0": 2, "m1": 2}, 5, 3, 1.5).collect()
     lit = {}
     for r in codes.where("c > 0").collect():
         lit.setdefault(r.j, {})[r.r] = r.ch
