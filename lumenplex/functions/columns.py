@@ -84,6 +84,19 @@ def circumcircle(points: list[tuple[Column, Column]]) -> tuple[Column, Column, C
     return ax + ux, ay + uy, F.sqrt(ux * ux + uy * uy)
 
 
+def circumsphere(points: list[list[Column]]) -> tuple[Column, Column, Column, Column]:
+    """Centre x, y, z and radius of a tetrahedron's circumsphere; NULL for flat ones."""
+    a = points[0]
+    u, v, w = ([x - y for x, y in zip(p, a)] for p in points[1:])
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    inner = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    vw, wu, uv = cross(v, w), cross(w, u), cross(u, v)
+    twelve = 2 * inner(u, vw)
+    twelve = F.when(twelve != 0, twelve)
+    off = [(inner(u, u) * x + inner(v, v) * y + inner(w, w) * z) / twelve for x, y, z in zip(vw, wu, uv)]
+    return (*[x + y for x, y in zip(a, off)], F.sqrt(inner(off, off)))
+
+
 def mix_channels(obs: Column | str, matrix: list[list[float]]) -> Column:
     """obs of rounds of C channels, each round times a C x C matrix, negative results set to 0."""
     c = len(matrix)

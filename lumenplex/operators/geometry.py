@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 TOGETHER = 1 << 20
 
 
-def boundary_faces(simplices: DataFrame) -> DataFrame:
-    """a, b, c of the faces that occur once among tetrahedra p0..p3: the surface of what they fill."""
+def boundary_faces(simplices: DataFrame, by: list[str] = ()) -> DataFrame:
+    """a, b, c of the faces that occur once among tetrahedra p0..p3: the surface of what they fill, within each of `by`."""
     p = [F.col(f"p{i}") for i in range(4)]
     faces = F.array(*[F.sort_array(F.array(*[p[i] for i in range(4) if i != k])) for k in range(4)])
-    each = simplices.select(F.explode(faces).alias("f")).select(*[F.col("f")[i].alias(x) for i, x in enumerate("abc")])
-    return each.groupBy("a", "b", "c").agg(F.count("*").alias("__n")).where(F.col("__n") == 1).drop("__n")
+    each = simplices.select(*by, F.explode(faces).alias("f")).select(*by, *[F.col("f")[i].alias(x) for i, x in enumerate("abc")])
+    return each.groupBy(*by, "a", "b", "c").agg(F.count("*").alias("__n")).where(F.col("__n") == 1).drop("__n")
 
 
 def envelope(g: np.ndarray) -> np.ndarray:
