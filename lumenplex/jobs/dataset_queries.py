@@ -117,16 +117,16 @@ def left_over_signal(spark: SparkSession, d: str) -> DataFrame:
     return found.select("n", "m0", *[tidy(F.col(c)).alias(c) for c in ("v", "explained", "left")])
 
 
-_BOOK3 = "book as (select j, list(ch order by r) as c from (select k as j, r, (k // (3 ** (3 - r))::int % 3)::int as ch from (select distinct p_size as k from part where p_size <= 6) cross join (select unnest(range(4))::int as r)) group by j)"
+_BOOK3 = "book as (select j, list(ch order by r) as c from (select k as j, r, (k // (3 ** (3 - r))::int % 3)::int as ch from (select distinct p_size as k from part) cross join (select unnest(range(4))::int as r)) group by j)"
 
 
 @query(
     f"""with {_BOOK3}, t as (select k, (k * 7919 + 104729) % 81 as x from (select unnest(range(81)) as k)), u as (select k, [(x // 27 % 3)::int, (x // 9 % 3)::int, (x // 3 % 3)::int, (x % 3)::int] as c from t),
-good as (select k, c from u where not exists (select 1 from book where (book.c[1] <> u.c[1])::int + (book.c[2] <> u.c[2])::int + (book.c[3] <> u.c[3])::int + (book.c[4] <> u.c[4])::int < 2) order by k limit 8)
+good as (select k, c from u where not exists (select 1 from book where (book.c[1] <> u.c[1])::int + (book.c[2] <> u.c[2])::int + (book.c[3] <> u.c[3])::int + (book.c[4] <> u.c[4])::int < 1) order by k limit 24)
 select k as decoy, r, c[r + 1] as ch from good cross join (select unnest(range(4))::int as r)"""
 )
 def decoy_codes(spark: SparkSession, d: str) -> DataFrame:
-    return codebooks.decoys(_lit(spark, d, F.col("p_size")).where("j <= 6"), 4, 3, 2, 8)
+    return codebooks.decoys(_lit(spark, d, F.col("p_size")), 4, 3, 1, 24)
 
 
 # Point clouds and datasets.
@@ -230,14 +230,30 @@ def moved_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"select label as n, 0 as axis, {_r('regr_slope(embedding[2]::double, embedding[1]::double)')} as slope, {_r('regr_intercept(embedding[2]::double, embedding[1]::double)')} as shift from embeddings group by label"
+    f"""with p as (select label as n, unnest(range(63))::int as axis, unnest(embedding[:63])::double as x, unnest(embedding[2:])::double as d from embeddings)
+select n, axis, {_r('regr_slope(d, x)')} as slope, {_r('regr_intercept(d, x)')} as shift from p group by n, axis"""
 )
 def fitted_lines(spark: SparkSession, d: str) -> DataFrame:
-    points = vector_stack(spark, d).select(F.col("j").alias("n"), F.lit(0).alias("axis"), F.col("obs")[0].alias("x_m0"), F.col("obs")[1].alias("d"))
-    found = registration.fit_affines(points, ["m0"])
+    found = registration.fit_affines(_component_pairs(spark, d), ["m0"])
     return found.select("n", "axis", tidy(F.col("coefficients")[0]).alias("slope"), tidy(F.col("coefficients")[1]).alias("shift"))
 
 
+def _component_pairs(spark: SparkSession, d: str) -> DataFrame:
+    both = F.arrays_zip(F.slice("obs", 1, 63).alias("x"), F.slice("obs", 2, 63).alias("d"))
+    rows = vector_stack(spark, d).select(F.col("j").alias("n"), "m0", F.posexplode(both).alias("axis", "p"))
+    return rows.select("n", "axis", "m0", F.col("p.x").alias("x_m0"), F.col("p.d").alias("d"))
+
+
+@query(
+    f"""with p as (select label as n, vec_id as m0, unnest(range(63))::int as axis, unnest(embedding[:63])::double as x, unnest(embedding[2:])::double as d from embeddings), f as (select n, axis, regr_slope(d, x) as s, regr_intercept(d, x) as c from p group by n, axis)
+select n, axis, m0, {_r('s * x + c - d')} as residual from p join f using (n, axis)"""
+)
+def residuals_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    points = _component_pairs(spark, d)
+    found = registration.affine_residuals(points, registration.fit_affines(points, ["m0"]), ["m0"])
+    return _out(found, "n", "axis", "m0", v="residual")
+
+
 @query(
     f"""with {_DENSE}, o as (select * from (select unnest(range(5))::int as n) cross join (select unnest(range(50))::int as m0) cross join (select unnest(range(30))::int as m1))
 select o.n, o.m0, o.m1, {_r('coalesce(s.v, -1.0)')} as v from o left join dense s on s.n = o.n and s.m0 = round_even(o.m0 + ({_AFF[0][2]}::double + o.m0 * {_AFF[0][0]}::double + o.m1 * {_AFF[0][1]}::double), 0)::int and s.m1 = round_even(o.m1 + ({_AFF[1][2]}::double + o.m0 * {_AFF[1][0]}::double + o.m1 * {_AFF[1][1]}::double), 0)::int"""

@@ -33,14 +33,33 @@ def packed(codes: DataFrame) -> DataFrame:
     return codes.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("n", "c"))).alias("e")).select("j", F.transform("e", lambda x: x["c"]).alias("code"))
 
 
+def _beside(large: DataFrame, small: DataFrame) -> DataFrame:
+    """i, j, d: each code of `large` compared, where it lies, with all of `small`, which every task holds as one row of checked size."""
+    if small.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
+        raise ValueError(f"a codebook of more than {MAX_ENTRIES} entries doesn't go into one row")
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.coalesce(F.abs(u - v), F.lit(0.0))), F.lit(0.0), lambda s, d: s + d)
+    book = F.broadcast(small.groupBy("j").agg(_by_frame().alias("code")).agg(F.collect_list(F.struct("j", "code")).alias("book")))
+    each = large.groupBy(F.col("j").alias("i")).agg(_by_frame().alias("__a")).crossJoin(book)
+    # Entries meet by frame: what either lacks is skipped.
+    lined = lambda own, other: F.transform(F.map_keys(own), lambda n: F.try_element_at(other, n))
+    rows = each.select("i", F.explode(F.transform("book", lambda b: F.struct(b["j"].alias("j"), apart(F.map_values("__a"), lined(F.col("__a"), b["code"])).alias("d")))).alias("x"))
+    return rows.select("i", "x.j", "x.d")
+
+
+def _by_frame():
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct("n", "c"))))
+
+
 def distances(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """i, j, d for every pair of codes of two codebooks: the summed absolute difference, unknown entries skipped.
 
-    Pairs meet on frames n, where partial sums are combined before the shuffle.
+    The book of fewer entries goes to the tasks as one row, after a check of its size; the other's codes are compared
+    with it where they lie, so no pair of codes is shuffled.
     """
-    a = ours.select("n", F.col("j").alias("i"), F.col("c").alias("__a"))
-    b = theirs.select("n", "j", F.col("c").alias("__b"))
-    return a.join(b, "n").groupBy("i", "j").agg(F.sum(F.coalesce(F.abs(F.col("__a") - F.col("__b")), F.lit(0.0))).alias("d"))
+    sizes = [x.groupBy().agg(F.count("*").alias("n")).first()["n"] for x in (ours, theirs)]
+    if sizes[0] < sizes[1]:
+        return _beside(theirs, ours).select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
+    return _beside(ours, theirs)
 
 
 def compare(ours: DataFrame, theirs: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -184,22 +203,27 @@ def merge_codebooks(ours: DataFrame, theirs: DataFrame, tolerance: float = 0.0)
     return deduplicate(ours.select("n", "j", "c").unionByName(moved), tolerance)
 
 
-def decoys(channels: DataFrame, n_rounds: int, n_channels: int, distance: int, n: int, tries: int | None = None) -> DataFrame:
+def decoys(channels: DataFrame, n_rounds: int, n_channels: int, distance: int, n: int, tries: int | None = None, block: int = 1 << 20) -> DataFrame:
     """decoy, r, ch: the first n codes, in a fixed order of all codes, at a Hamming distance of `distance` or more from every code.
 
-    channels: j, r, ch, of a checked size, held by each task as one row. tries bounds how many codes are looked at.
+    channels: j, r, ch, of a checked size, held by each task as one row. Codes are tried block by block until n are
+    found, each block twice as long as the one before; tries bounds how many are looked at.
     """
     if channels.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
         raise ValueError(f"a codebook of more than {MAX_ENTRIES} entries doesn't go into one row")
     total = n_channels**n_rounds
-    own = channels.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("r", "ch"))).alias("c")).agg(F.collect_list(F.transform("c", lambda x: x["ch"])).alias("book"))
-    k = F.col("k")
-    number = F.pmod(k * 7919 + 104729, F.lit(total))
+    own = cut(channels.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("r", "ch"))).alias("c")).agg(F.collect_list(F.transform("c", lambda x: x["ch"])).alias("book")))
+    number = F.pmod(F.col("k") * 7919 + 104729, F.lit(total))
     digits = F.array(*[F.floor(number / n_channels ** (n_rounds - 1 - r)).cast("int") % n_channels for r in range(n_rounds)])
-    tried = channels.sparkSession.range(min(tries or total, total)).withColumnRenamed("id", "k").select("k", digits.alias("code")).crossJoin(F.broadcast(own))  # one row
     apart = lambda c: F.aggregate(F.zip_with(c, "code", lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x) >= distance
-    good = tried.where(F.forall("book", apart)).select("k", "code").orderBy("k").limit(n)
-    return good.select(F.col("k").alias("decoy"), F.posexplode("code").alias("r", "ch"))
+    found, last, first = None, min(tries or total, total), 0
+    while found is None or (first < last and found.count() < n):
+        stop = min(first + block, last)
+        tried = channels.sparkSession.range(first, stop).withColumnRenamed("id", "k").select("k", digits.alias("code")).crossJoin(F.broadcast(own))  # one row
+        good = cut(tried.where(F.forall("book", apart)).select("k", "code").orderBy("k").limit(n))
+        found = good if found is None else found.unionByName(good)
+        first, block = stop, 2 * block
+    return found.orderBy("k").limit(n).select(F.col("k").alias("decoy"), F.posexplode("code").alias("r", "ch"))
 
 
 def argmax(df: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:

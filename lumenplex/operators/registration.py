@@ -136,6 +136,12 @@ def fit_affines(points: DataFrame, axes: list[str]) -> DataFrame:
     return x.groupBy("n", "axis").agg(*sums).mapInPandas(solve, "n int, axis int, coefficients array<double>")
 
 
+def affine_residuals(points: DataFrame, fitted: DataFrame, axes: list[str]) -> DataFrame:
+    """points with residual: what the fits of their frame and axis say, less d. Fits are a row a frame and axis, joined as Spark sees their size."""
+    said = sum((F.get("coefficients", F.lit(i)) * F.col(f"x_{a}") for i, a in enumerate(axes)), F.get("coefficients", F.lit(len(axes))))
+    return points.join(fitted, ["n", "axis"]).select(*points.columns, (said - F.col("d")).alias("residual"))
+
+
 def resample_affine(stack: DataFrame, affine: list[list[float]], sizes: dict[str, int], constant: float = 0.0) -> DataFrame:
     """Frames on a grid of any sizes: at m the nearest voxel to m + A m + b, a constant where there is none.
 

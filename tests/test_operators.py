@@ -427,3 +427,24 @@ def test_explained_and_left_over_are_the_stack(spark):
     seen = spark.createDataFrame([(0, 5, 10.0), (1, 30, 4.0)], "n int, m0 int, v double")
     rows = density.left_over(seen, shown, ["m0"]).collect()
     assert len(rows) == 4 and all(r.explained + r.left == r.v for r in rows)
+
+
+def test_distances_compare_where_codes_lie(spark):
+    rng = np.random.default_rng(4)
+    books = [np.where(rng.random((n, 6)) < 0.2, np.nan, rng.random((n, 6))) for n in (7, 12)]
+    tables = [spark.createDataFrame([(n, j, None if np.isnan(c) else float(c)) for j, code in enumerate(b) for n, c in enumerate(code) if (n, j) != (5, 0)], "n int, j int, c double") for b in books]
+    for b in books:
+        b[0, 5] = np.nan  # rows that are absent are unknown
+    for x, y, p, q in ((0, 1, books[0], books[1]), (1, 0, books[1], books[0])):
+        got = {(r.i, r.j): r.d for r in codebooks.distances(tables[x], tables[y]).collect()}
+        want = {(i, j): np.nansum(np.abs(u - v)) for i, u in enumerate(p) for j, v in enumerate(q)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = codebooks.distances(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_decoys_are_found_block_by_block(spark):
+    book = spark.createDataFrame([(j, r, (j * (r + 2)) % 3) for j in range(9) for r in range(4)], "j int, r int, ch int")
+    every = [tuple(r) for r in codebooks.decoys(book, 4, 3, 2, 6).collect()]
+    assert every == [tuple(r) for r in codebooks.decoys(book, 4, 3, 2, 6, block=2).collect()] and len(every) % 4 == 0 and every
+    assert codebooks.decoys(book, 4, 3, 2, 1000, block=5).count() == codebooks.decoys(book, 4, 3, 2, 1000).count()
