@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lumenplex.functions.columns import tidy
 from lumenplex.jobs import spot_calling
 from lumenplex.jobs.queries import _AFF, _BLUR2, _BOOKS, _CODES, _DENSE, _GRID, _NEAR, _PC, _ROL, _SERIES, DAY, SIZES, _books, _conv, _dense, _kernel, _lit, _out, _r, query
 from lumenplex.operators import codebooks, correlation, density, geometry, grids, pointclouds, registration, tiled, tiling
+from lumenplex.operators.lineage import shared_dir
 from lumenplex.sources.adapters import event_grid, event_points, event_series, read, vector_codes, vector_stack
 from lumenplex.sources.bundle import Bundle
 
@@ -72,6 +75,19 @@ def tiles_inside(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("tile").agg(F.count("*").alias("n_rows"), tidy(F.sum("v")).alias("total"), tidy(F.sum(own)).alias("own"))
 
 
+@query(
+    """with t as (select put, greatest(put - 40, 0) as look, least(put + 250, 1440) as stop, least(put + 290, 1440) as until from (select unnest(range(0, 1440, 250)) as put))
+select (look // 4)::int as look_start, (until // 4)::int as look_stop, (put // 4)::int as put_start, (stop // 4)::int as put_stop, coalesce(n, 0) as n_events
+from t left join (select (hour(ts) * 60 + minute(ts)) // 250 * 250 as put, count(*) as n from events group by 1) using (put)"""
+)
+def coarse_tiles(spark: SparkSession, d: str) -> DataFrame:
+    tiled = tiling.tiles(spark, DAY, {"m0": 250}, {"m0": 40})
+    own = read(spark, d, "events").select((F.hour("ts") * 60 + F.minute("ts")).alias("m0"))
+    n = tiling.owned(tiling.deal(own, tiled, ["m0"]), ["m0"]).groupBy("tile").agg(F.count("*").alias("n_events"))
+    small = tiling.downsampled(tiled, {"m0": 4}).join(n, "tile", "left")
+    return small.select(*[F.col(f"{b}_m0").alias(b) for b in ("look_start", "look_stop", "put_start", "put_stop")], F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
 @query(
     """with b as (select p_partkey as k, p_size as s0, p_size + p_partkey % 7 as e0, regexp_extract(p_brand, '([0-9]+)$', 1)::int as s1, regexp_extract(p_brand, '([0-9]+)$', 1)::int + p_partkey % 5 as e1 from part)
 select a.k as tile, b.k as other from b a join b on a.k <> b.k and a.s0 < b.e0 and b.s0 < a.e0 and a.s1 < b.e1 and b.s1 < a.e1 and a.s0 < a.e0 and a.s1 < a.e1 and b.s0 < b.e0 and b.s1 < b.e1"""
@@ -167,6 +183,23 @@ def dataset_counts(spark: SparkSession, d: str) -> DataFrame:
     return _bundle(spark, d).counts()
 
 
+@query(
+    f"""with {_ROL}, {_BOOKS} select 'stack' as member, n::bigint as k, count(*) as n_rows, {_r('sum(v)')} as total from grid group by n
+union all select 'codebook', j, count(*), {_r('sum(coalesce(c, 0))')} from theirs_hot group by j union all select 'rolonies', j, count(*), {_r('sum(m0 + m1)')} from r group by j"""
+)
+def dataset_read_back(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    _bundle(spark, d).write(path)
+    found = Bundle.read(spark, path)
+    parts = [(found.stack, "n", "v"), (found.codebook, "j", "c"), (found.rolonies, "j", F.col("m0") + F.col("m1"))]
+    rows = None
+    for member, (df, k, v) in zip(("stack", "codebook", "rolonies"), parts):
+        total = F.sum(F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)).cast("double"))
+        own = df.groupBy(F.col(k).cast("long").alias("k")).agg(F.count("*").alias("n_rows"), tidy(total).alias("total")).select(F.lit(member).alias("member"), "k", "n_rows", "total")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 @query(f"with {_GRID} select n, (m0 // 3)::int as m0, (m1 // 3)::int as m1, {_r('sum(v) / 9.0')} as v from grid group by n, m0 // 3, m1 // 3")
 def dataset_downsampled(spark: SparkSession, d: str) -> DataFrame:
     return _out(_bundle(spark, d).downsample(3).stack, "n", "m0", "m1")

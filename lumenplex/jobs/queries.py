@@ -128,8 +128,7 @@ s as (select n, m0, m1, greatest(u.v - b1.v, 0.0) as v from u join b1 using (n,
 select n, m0, m1, {_r('(v - lo) / nullif(hi - lo, 0)')} as v from s join (select n, min(v) lo, max(v) hi from s group by n) using (n)"""
 )
 def preprocessing_chain(spark: SparkSession, d: str) -> DataFrame:
-    first = grids.minmax(_dense(spark, d), ["n"])
-    return _out(grids.minmax(grids.subtract_background(first, SIZES, {"m0": 1.5, "m1": 1.0}), ["n"]), "n", "m0", "m1")
+    return _out(grids.preprocessed(_dense(spark, d), SIZES, {"m0": 1.5, "m1": 1.0}, ["n"]), "n", "m0", "m1")
 
 
 @query(f"with {_SERIES} select n, m0 // 10 as m0, {_r('sum(v) / 10.0')} as v from series group by 1, 2")

@@ -14,7 +14,7 @@ from lumenplex.operators.lineage import cut
 def singleshot(stack: DataFrame, codes: DataFrame, sizes: dict[str, int], n_frames: int, sigmas: dict[str, float], threshold: float, floor: float | None = None, radius: int = 1) -> DataFrame:
     """Spots: normalise, subtract background, normalise, evidence of each code, local peaks of it."""
     axes = list(sizes)
-    x = grids.minmax(grids.subtract_background(grids.minmax(stack, ["n"]), sizes, sigmas), ["n"])
+    x = grids.preprocessed(stack, sizes, sigmas, ["n"])
     e = evidence.evidence(evidence.to_voxels(x, n_frames, axes), codes, floor, above=threshold)
     return grids.peaks(e, dict.fromkeys(axes, radius), threshold, value="e").select("j", *axes, "e")
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenplex.operators.lineage import cut
 from lumenplex.operators.tiled import blurred, gaussian_step, kernel, over_tiles
 
 
@@ -33,6 +34,14 @@ def minmax(stack: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return stack.join(bounds, by).withColumn(value, F.when(span > 0, (F.col(value) - F.col("__lo")) / span)).drop("__lo", "__hi")
 
 
+def preprocessed(stack: DataFrame, sizes: dict[str, int], sigmas: dict[str, float], by: list[str]) -> DataFrame:
+    """The standard chain: scaled to 0..1 within each group, less the background, scaled again.
+
+    What the tiles make is written once, as the second scaling reads it twice: for the bounds and for the values.
+    """
+    return minmax(cut(subtract_background(minmax(stack, by), sizes, sigmas)), by)
+
+
 def convolve(stack: DataFrame, axis: str, size: int, weights: list[tuple[int, float]], value: str = "v") -> DataFrame:
     """Sums of weighted neighbours along an axis of 0..size - 1, zeros beyond; only reached voxels have rows."""
     if weights == [(0, 1.0)]:
