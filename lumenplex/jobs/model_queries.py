@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lumenplex.functions.columns import circumsphere, tidy
 from lumenplex.jobs import spot_calling
 from lumenplex.jobs.queries import _CODES, SIZES, _out, _r, query
-from lumenplex.operators import alpha_shapes, blurred_model, codebooks, local_patterns, voxels
+from lumenplex.operators import alpha_shapes, blurred_model, codebooks, local_patterns, model_registration, tiling, voxels
+from lumenplex.operators.lineage import cut
 from lumenplex.sources.adapters import event_grid, read, vector_codes, vector_stack
 
 
@@ -56,6 +57,16 @@ def codes_of_blobs(spark: SparkSession, d: str) -> DataFrame:
     return _out(found, "blob", "status", "code", v="r2")
 
 
+@query()
+def model_translations(spark: SparkSession, d: str) -> DataFrame:
+    axes = list(SIZES)
+    tiled = tiling.tiles(spark, SIZES, {"m0": 16, "m1": 8}, dict.fromkeys(axes, 4), outer=False)
+    blocks = cut(model_registration.blocks(tiling.deal(event_grid(spark, d), tiled, axes), 5))
+    t, _ = model_registration.register(blocks, day_codes(spark, d), 4, 4)
+    rows = [(n, k, float(x)) for n, own in enumerate(t) for k, x in enumerate(own)]  # a number a frame and axis
+    return _out(spark.createDataFrame(rows, "n int, axis int, t double"), "n", "axis", v="t")
+
+
 # Meshes and shapes.
 
 _CORNERS = (("0", "0", "0"), ("s", "1", "0"), ("1", "s", "2"), ("2", "1", "s"))

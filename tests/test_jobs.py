@@ -132,3 +132,40 @@ def test_registration_recovers_shifts(spark):
     codes = spark.createDataFrame([(f, j, float(book[f, j])) for f in range(n) for j in range(4)], "n int, j int, c double")
     t, losses = model_registration.register(blocks, codes, 4, 40)
     assert np.abs(t - shifts).mean() < 0.05 and min(losses) < 0.1 and losses[0] > min(losses)
+
+
+def test_slopes_on_three_axes():
+    x = np.random.default_rng(0).normal(size=(2, 13, 12, 11))
+    t = np.array([[0.3, -0.7, 0.1], [1.2, 0.4, -1.1]])
+    y, slopes = model_registration._moved(x, t, (4, 3, 3))
+    assert y.shape == (2, 5, 6, 5)
+    for k in range(3):
+        step = np.zeros((2, 3))
+        step[:, k] = 1e-6
+        z, _ = model_registration._moved(x, t + step, (4, 3, 3))
+        assert np.allclose((z - y) / 1e-6, slopes[k], atol=1e-4)
+    flat, still = model_registration._moved(x, t, (4, 0, 3))
+    assert flat.shape == (2, 5, 12, 5) and not still[1].any()
+
+
+def test_registration_on_three_axes(spark):
+    rng = np.random.default_rng(3)
+    n, shape = 6, (16, 26, 26)
+    book = np.array([[1, 1, 1], [1, 1, 0], [0, 1, 1], [1, 0, 1], [1, 0, 0], [0, 1, 0]]) + 0.0
+    shifts = rng.uniform(-1, 1, size=(n, 3))
+    shifts -= shifts.mean(0)
+    g = [np.arange(s) for s in shape]
+    img = np.zeros((n, *shape))
+    for k in range(9):
+        at, j = (8, 8 + 5 * (k // 3), 8 + 5 * (k % 3)), k % 3
+        for f in range(n):
+            d = [(g[i] - at[i] - shifts[f, i]) ** 2 for i in range(3)]
+            img[f] += book[f, j] * np.exp(-(d[0][:, None, None] + d[1][None, :, None] + d[2][None, None]) / 3)
+    rows = [(int(f), *map(int, p), float(img[(f, *p)])) for f in range(n) for p in zip(*np.nonzero(img[f] > 1e-5))]
+    df = spark.createDataFrame(rows, "n int, m0 int, m1 int, m2 int, v double")
+    axes = ("m0", "m1", "m2")
+    tiles = tiling.tiles(spark, dict(zip(axes, shape)), {"m0": 8, "m1": 9, "m2": 18}, dict.fromkeys(axes, 4), outer=False)
+    blocks = model_registration.blocks(tiling.deal(df, tiles, list(axes)), n, axes).cache()
+    codes = spark.createDataFrame([(f, j, float(book[f, j])) for f in range(n) for j in range(3)], "n int, j int, c double")
+    t, losses = model_registration.register(blocks, codes, 4, 35)
+    assert np.abs(t - shifts).mean() < 0.1 and losses[0] > min(losses)
