@@ -23,12 +23,16 @@ TOGETHER = 8
 Step = Callable[[np.ndarray, np.ndarray, list[tuple[bool, bool]]], tuple[np.ndarray, np.ndarray]]
 
 
-def over_tiles(stack: DataFrame, sizes: dict[str, int], reach: dict[str, int], fn: Step, value: str = "v", inner: dict[str, int] | None = None) -> DataFrame:
-    """Rows of fn's result; held says which voxels have rows. Rows beyond the sizes take no part; nulls count as zeros."""
+def over_tiles(stack: DataFrame, sizes: dict[str, int], reach: dict[str, int], fn: Step, value: str | tuple[str, ...] = "v", inner: dict[str, int] | None = None) -> DataFrame:
+    """Rows of fn's result; held says which voxels have rows. Rows beyond the sizes take no part; nulls count as zeros.
+
+    With several value columns, blocks have them along a last axis.
+    """
     axes = list(reach)
+    values = [value] if isinstance(value, str) else list(value)
     inner = inner or dict.fromkeys(axes, INNER.get(len(axes), 32))
     columns = stack.columns
-    rest = [c for c in columns if c not in (*axes, value)]
+    rest = [c for c in columns if c not in (*axes, *values)]
     dealt = stack
     for a in axes:
         low = F.greatest(F.floor((F.col(a) - reach[a]) / inner[a]), F.lit(0))
@@ -36,7 +40,7 @@ def over_tiles(stack: DataFrame, sizes: dict[str, int], reach: dict[str, int], f
         dealt = dealt.where(F.col(a).between(0, sizes[a] - 1)).withColumn(f"__t_{a}", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     whole = {f.name for f in stack.schema if isinstance(f.dataType, IntegralType)}
     groups = [(F.floor(F.col(c) / TOGETHER) if c in whole else F.col(c)).alias(f"__g{i}") for i, c in enumerate(rest)]
-    schema = StructType([StructField(value, DoubleType()) if f.name == value else f for f in stack.schema])
+    schema = StructType([StructField(f.name, DoubleType()) if f.name in values else f for f in stack.schema])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tile = [int(pdf[f"__t_{a}"].iloc[0]) for a in axes]
@@ -44,15 +48,16 @@ def over_tiles(stack: DataFrame, sizes: dict[str, int], reach: dict[str, int], f
         look = [(max(lo - reach[a], 0), min(hi + reach[a], sizes[a])) for (lo, hi), a in zip(own, axes)]
         which, kinds = pd.MultiIndex.from_frame(pdf[rest]).factorize() if rest else (np.zeros(len(pdf), int), None)
         at = (which, *[pdf[a].to_numpy() - lo for a, (lo, _) in zip(axes, look)])
-        x = np.zeros((which.max() + 1, *[hi - lo for lo, hi in look]))
-        held = np.zeros(x.shape, bool)
-        np.add.at(x, at, pdf[value].fillna(0.0).to_numpy(float))
+        held = np.zeros((which.max() + 1, *[hi - lo for lo, hi in look]), bool)
+        x = np.zeros((*held.shape, len(values)))
+        np.add.at(x, at, pdf[values].fillna(0.0).to_numpy(float))
         held[at] = True
+        x = x[..., 0] if isinstance(value, str) else x
         x, held = fn(x, held, [(lo == 0, hi == sizes[a]) for (lo, hi), a in zip(look, axes)])
         inside = (slice(None), *[slice(lo - l0, hi - l0) for (lo, hi), (l0, _) in zip(own, look)])
         x, held = x[inside], held[inside]
         found = np.nonzero(held)
-        out = {a: f + lo for a, f, (lo, _) in zip(axes, found[1:], own)} | {value: x[found]}
+        out = {a: f + lo for a, f, (lo, _) in zip(axes, found[1:], own)} | dict(zip(values, x[found].reshape(len(found[0]), -1).T))
         for i, c in enumerate(rest):
             out[c] = kinds.get_level_values(i).to_numpy()[found[0]]
         return pd.DataFrame(out)[columns]

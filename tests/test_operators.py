@@ -348,17 +348,22 @@ def test_density_fit_equals_a_loop(spark, penalty):
     assert np.allclose(got.offsets, b) and np.allclose(got.gains, gain) and np.allclose(got.losses[:-1], losses)
 
 
-def test_deconvolution_equals_a_loop(spark):
+@pytest.mark.parametrize(("inner", "guessed"), [(512, False), (60, True), (12, False)])
+def test_deconvolution_equals_a_loop(spark, inner, guessed, monkeypatch):
+    # Small tiles: one iteration or two at a time, with halos over several tiles.
+    monkeypatch.setitem(tiled.INNER, 2, inner)
     x = np.abs(np.random.default_rng(13).normal(size=(2, 20, 15))) + 0.1
     sizes, sigmas = {"m0": 20, "m1": 15}, {"m0": 1.0, "m1": 0.7}
-    got = array(grids.lucy_richardson(stack(spark, x, ("m0", "m1")), sizes, sigmas, 4), x.shape, ("n", "m0", "m1"))
+    first = np.abs(np.random.default_rng(14).normal(size=x.shape)) + 0.1 if guessed else np.ones_like(x)
+    guess = stack(spark, first, ("m0", "m1")) if guessed else None
+    got = array(grids.lucy_richardson(stack(spark, x, ("m0", "m1")), sizes, sigmas, 4, guess=guess), x.shape, ("n", "m0", "m1"))
 
     def blur(y):
         for axis, s in ((1, 1.0), (2, 0.7)):
             y = tiled.blurred(y, axis, tiled.kernel(s))
         return y
 
-    y = np.ones_like(x)
+    y = first
     for _ in range(4):
         y = y * blur(x / blur(y)) / blur(np.ones_like(x))
     assert np.allclose(got, y)
