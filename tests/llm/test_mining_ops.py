@@ -282,3 +282,12 @@ def test_filter_holds_all_its_fingerprints(spark):
 def test_collocations_of_nothing(spark):
     for docs in (documents(spark, [None, "", "one two"]), documents(spark, ["x"]).limit(0)):
         assert collocations.collocations(docs).collect() == []
+
+
+def test_ids_of_any_kind(spark):
+    texts = ["words and words. " * 3, "words and words", None]
+    docs = spark.createDataFrame([(f"d{i}", t, None) for i, t in enumerate(texts)], "doc_id string, text string, lang string")
+    rows = collocations.collocations(docs, least=3).collect()
+    assert {(r.lang, r.phrase, r.a) for r in rows} == {("und", "words and words", 4)} and rows[0].doc_id in ("d0", "d1")
+    assert sorted(r.doc_id for r in text_digests.compare_with_next(docs).collect()) == ["d0", "d1", "d2"]
+    assert spelling_variants.variants(docs).collect() == []
