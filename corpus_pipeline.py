@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplex.llm import compression_classifier, near_dedup, packing, quality_rules
-from lumenplex.llm.common import table, written
+from lumenplex.llm.common import bound_batches, table, written
 from lumenplex.llm.queries import tokenizer
 
 
@@ -23,6 +23,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It learns from the training labels and the documents as they came: the stage before has taken bad ones away.
     """
+    bound_batches(spark)
     labels = compression_classifier.training_rows(table(spark, sf_dir, "labels"))
     model = compression_classifier.fit(table(spark, sf_dir, "documents"), labels)
     return compression_classifier.keep_good(docs, model)
@@ -30,11 +31,13 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, at a similarity of 0.8 or more."""
+    bound_batches(spark)
     return near_dedup.keep_first(docs, 80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces with their places in sequences of 2048 tokens."""
+    bound_batches(spark)
     pieces = packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"), 0)
     named = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
     return packing.place(written(named, "pieces"))

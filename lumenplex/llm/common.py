@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 #: The input row travels under this name, so no column that a caller brings can clash.
 ROW = "__input_row"
 
+#: Bytes of a batch of rows between Spark and Python, and Spark's name for this bound (64 MB unless it is set).
+BATCH_BYTES, BATCH_BOUND = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's tasks hand rows to Python in batches of about BATCH_BYTES; a bound that it sets itself stays.
+
+    Both sides of a task hold its batch and what is made of it several times over, outside the heap.
+    """
+    if spark.conf.get(BATCH_BOUND, None) is None:
+        spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

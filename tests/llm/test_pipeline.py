@@ -5,11 +5,14 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lumenplex.llm import compression_classifier, near_dedup, quality_rules
-from lumenplex.llm.common import ROW, table
+from lumenplex.llm.common import BATCH_BOUND, BATCH_BYTES, ROW, table
 from lumenplex.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -113,3 +116,25 @@ def test_dedup_stage_keeps_rows_that_differ_in_a_map(spark):
     docs = spark.sql("select 1L as doc_id, '' as text, map('a', 1) as m union all select 1L, '', map('a', 2) union all select 2L, 'x y', map('b', 1) union all select 2L, 'x y', map('b', 2)")
     got = sorted((r.doc_id, r.text, str(r.m)) for r in corpus_pipeline.dedup(spark, docs, DATA).collect())
     assert [g[:2] for g in got] == [(1, ""), (1, ""), (2, "x y")] and got[0][2] != got[1][2]
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "minhash_near_dedup", "best_fit_packing"])
+def test_stages_hand_bounded_batches_to_python(spark, stage):
+    """Tasks hold a few megabytes of rows beside their heap, however long the texts are; a session's own bound stays."""
+
+    def batch_bytes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))  # 20 MB in one task
+    docs = table(spark, DATA, "documents").limit(20)
+    largest = lambda: max(r.n for r in texts.mapInArrow(batch_bytes, "n long").collect())
+    spark.conf.unset(BATCH_BOUND)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, DATA)
+        assert largest() <= BATCH_BYTES + 10_000
+        spark.conf.set(BATCH_BOUND, str(BATCH_BYTES // 4))
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, DATA)
+        assert largest() <= BATCH_BYTES // 4 + 10_000
+    finally:
+        spark.conf.unset(BATCH_BOUND)
