@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumenplex.llm.common import ROW, carried, written
+from lumenplex.llm.common import written
 
 #: Bounds of the labelled sample: rows of a class, and bytes of their texts, which are taken whole or not at all.
 SAMPLE, SAMPLE_BYTES = 1500, 8_000_000
@@ -199,7 +199,12 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input rows, with their own columns, whose texts score at least the threshold."""
-    # The row travels as one struct, so no column of it can clash.
-    both = carried(docs, F.col(f"`{text}`").alias("text"))
-    return score_texts(both, model, [ROW]).where(F.col("score") >= threshold).select(f"{ROW}.*")
+    """The input rows, with their own columns, whose texts score at least the threshold; only texts go to Python."""
+
+    @F.arrow_udf(DoubleType())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = model.scorer()
+        for some in texts:
+            yield pa.array([own(t.as_py()) for t in some], pa.float64())
+
+    return docs.where(score(F.col(f"`{text}`")) >= threshold)

@@ -138,3 +138,14 @@ def test_stages_hand_bounded_batches_to_python(spark, stage):
         assert largest() <= BATCH_BYTES // 4 + 10_000
     finally:
         spark.conf.unset(BATCH_BOUND)
+
+
+def test_classifier_stage_sends_texts_alone_to_python(spark):
+    """Rows wait in Spark for their texts' scores: null texts and columns of any name and type stay as they are."""
+    docs = spark.sql("select 1L as doc_id, cast(null as string) as text, map('a', 1) as m, 2 as score, 3 as `__score`, 4 as `a.b` union all select 2L, 'of the good', map('b', 2), 5, 6, 7")
+    model = compression_classifier.Model(b"of the good words" * 9, b"$ | # % bad" * 9, -1.0, 0.0)
+    left = compression_classifier.keep_good(docs, model)
+    assert left.columns == docs.columns and {r.doc_id: (r.m, r.score, r["__score"], r["a.b"]) for r in left.collect()} == {1: ({"a": 1}, 2, 3, 4), 2: ({"b": 2}, 5, 6, 7)}
+    assert {r.doc_id for r in compression_classifier.keep_good(docs, model, threshold=0.5001).collect()} == {2}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
