@@ -16,7 +16,7 @@ is the constant share of good ones (0.5 without any); repeated rows are scored e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +46,13 @@ def _compressor(dictionary: bytes):
 
 @dataclass
 class Compressors:
-    """The two dictionaries, ready to compress."""
+    """The two dictionaries, ready to compress; the library copies them, so the given ones aren't kept."""
 
-    good: bytes
-    bad: bytes
+    good: InitVar[bytes]
+    bad: InitVar[bytes]
 
-    def __post_init__(self) -> None:
-        self.pair = [_compressor(raw) for raw in (self.good, self.bad)]
+    def __post_init__(self, good: bytes, bad: bytes) -> None:
+        self.pair = [_compressor(raw) for raw in (good, bad)]
 
     def difference(self, text: str | None) -> float:
         """(size with good - size with bad) / size of the text, all in bytes."""
@@ -69,18 +69,31 @@ class Compressors:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries (of SAMPLE_BYTES at most, and line ends) and calibration; it goes to the tasks with their code."""
+    """Dictionaries (of SAMPLE_BYTES at most, and line ends) and calibration; it goes to the tasks packed, with their code."""
 
     good: bytes
     bad: bytes
     slope: float
     intercept: float
 
+    def packed(self) -> tuple[bytes, bytes, float, float]:
+        """The dictionaries compressed, so that a worker holds them whole in its compressors alone."""
+        import zstandard
+
+        return zstandard.compress(self.good), zstandard.compress(self.bad), self.slope, self.intercept
+
+    @classmethod
+    def unpacked(cls, good: bytes, bad: bytes, slope: float, intercept: float) -> Model:
+        import zstandard
+
+        return cls(zstandard.decompress(good), zstandard.decompress(bad), slope, intercept)
+
     def scorer(self):
-        compressors = Compressors(self.good, self.bad)
+        """The score of a text; it doesn't hold the model."""
+        compressors, slope, intercept = Compressors(self.good, self.bad), self.slope, self.intercept
 
         def score(text: str | None) -> float:
-            return float(1 / (1 + np.exp(-np.clip(self.slope * compressors.difference(text) + self.intercept, -30, 30))))
+            return float(1 / (1 + np.exp(-np.clip(slope * compressors.difference(text) + intercept, -30, 30))))
 
         return score
 
@@ -180,9 +193,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _scored(model: Model):
+def _scored(packed: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
+        score = Model.unpacked(*packed).scorer()
         for b in batches:
             out = [score(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], "__score"])
@@ -194,16 +207,17 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
     """The columns in keep and the score of each row's whole text."""
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text"))
     schema = StructType([*rows.schema.fields[:-1], StructField("__score", DoubleType())])
-    done = rows.mapInArrow(_scored(model), schema)
+    done = rows.mapInArrow(_scored(model.packed()), schema)
     return done.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("__score").alias(out))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The input rows, with their own columns, whose texts score at least the threshold; only texts go to Python."""
+    packed = model.packed()
 
     @F.arrow_udf(DoubleType())
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = model.scorer()
+        own = Model.unpacked(*packed).scorer()
         for some in texts:
             yield pa.array([own(t.as_py()) for t in some], pa.float64())
 

@@ -1,6 +1,8 @@
 """Text operators against brute force on small and odd inputs."""
 
+import gc
 import hashlib
+import pickle
 import random
 import re
 from collections import Counter
@@ -565,3 +567,16 @@ def test_classifier_without_labels_and_on_odd_texts(spark):
     model = compression_classifier.fit(docs, odd)
     assert compression_classifier.keep_good(docs, model).columns == docs.columns
     assert compression_classifier.keep_good(docs.limit(0), model).count() == 0
+
+
+def test_classifier_goes_to_tasks_packed_and_keeps_no_second_copy():
+    good, bad = (" ".join(f"{w}{i % 997}" for i in range(200_000)).encode() for w in ("fair", "foul"))
+    model = compression_classifier.Model(good, bad, -3.0, 0.25)
+    assert len(pickle.dumps(model.packed())) < len(good + bad) / 4
+    again = compression_classifier.Model.unpacked(*pickle.loads(pickle.dumps(model.packed())))
+    assert again == model
+    score = again.scorer()
+    assert [score(t) for t in (None, "", "fair3 fair4 foul5", "foul1 " * 900)] == [model.scorer()(t) for t in (None, "", "fair3 fair4 foul5", "foul1 " * 900)]
+    del again
+    assert not any(isinstance(x, compression_classifier.Model) for c in score.__closure__ for x in (c.cell_contents, *gc.get_referents(c.cell_contents)))
+    assert vars(compression_classifier.Compressors(good, bad)).keys() == {"pair"}
