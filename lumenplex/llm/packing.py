@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,24 +94,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def _cut(path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(WordBpe, path).encode, TaskContext.get().partitionId()
+        encode, part = encoder(WordBpe, path).encode_all, TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for b in batches:
             if not b.num_rows:
                 continue
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py()) + end
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[a : a + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((doc, k, a // 4, n, own, part, seen[n]))
-                    seen[n] += 1
+            named = iter(b.column(0).to_pylist())
+            for ids, counts in encode(b.column(1), end_id):
+                raw, ends = ids.tobytes(), np.cumsum(counts).tolist()
+                for doc, count, stop in zip(islice(named, len(ends)), counts.tolist(), ends):
+                    for k, a in enumerate(range(0, count, capacity)):
+                        n = min(capacity, count - a)
+                        at = 4 * (stop - count + a)
+                        rows.append((doc, k, a, n, raw[at : at + 4 * n], part, seen[n]))
+                        seen[n] += 1
             kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 

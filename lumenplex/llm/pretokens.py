@@ -1,7 +1,7 @@
 """Encoders that look whole pre-tokens up and leave the rest to the tokenizers' own libraries.
 
 A pre-token's ids don't depend on its neighbours, so each distinct one is merged once per worker and kept in
-a bounded table. Characters for which the pre-token pattern here isn't proven equal to the library's (all beyond
+a bounded table; of many texts together, each distinct one is looked up once. Characters for which the pre-token pattern here isn't proven equal to the library's (all beyond
 ASCII and the Latin-1 letters), and a special token's opening, go to the library with what stands around them up to
 the next single spaces between printable ASCII characters: no pre-token of any of these tokenizers crosses such a
 space, and neither does Unicode normalisation. The rest of the text is looked up.
@@ -14,11 +14,20 @@ import os
 import re
 import struct
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pre-tokens kept at once in one worker; the table restarts when it is full.
 TABLE_LIMIT = 400_000
 
+#: Bytes of the texts whose words are looked up together, with one text more at most. More share more words; a task holds several arrays as long.
+RUN_BYTES = 4 << 20
+
 _BEYOND = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 _UNUSUAL = re.compile(_BEYOND.pattern + r"|<\|")
 #: A space that no pre-token crosses; one begins with it or after it.
@@ -79,6 +88,9 @@ def _spelling() -> dict[int, str]:
     return {c: spell.pre_tokenize_str(chr(c))[0][0] for c in (*range(9, 14), *range(32, 127), *range(0xC0, 0x100))}
 
 
+_ID = attrgetter("id")
+
+
 class _Merged(dict):
     """Words to their ids as bytes; a word that isn't there yet is merged. A full table starts again."""
 
@@ -89,11 +101,58 @@ class _Merged(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
-        ids = [t.id for t in self.merge(word if word.isascii() else word.translate(self.spelling))]
+        ids = [*map(_ID, self.merge(word if word.isascii() else word.translate(self.spelling)))]
         self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
+def _by_byte(pattern: str) -> np.ndarray:
+    """Which of the 256 bytes, as Latin-1 characters, are in the pattern's set."""
+    return np.array([bool(re.fullmatch(pattern, chr(c), re.DOTALL)) for c in range(256)])
+
+
+#: Bytes of UTF-8: those of characters that the word pattern here knows (C3 opens À to ÿ), and their kinds. Letters beyond ASCII are C3 and what follows it.
+_KNOWN = _by_byte(r"[\t-\r -~\x80-\xbf\xc3]")
+_KIND = (_by_byte(r"[a-z\x80-\xbf\xc3]") + 2 * _by_byte("[0-9]") + 3 * _by_byte(r"[!-/:-@\[-`{-~]")).astype(np.int8)
+_SMALL = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
+def _joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a line end after each, some more at the end, and where texts begin, and the last one's end."""
+    first = np.cumsum([0, *(len(x) + 1 for x in data)])
+    return np.frombuffer(b"\n".join([*data, b"\n\n\n"]), np.uint8), first
+
+
+def _unusual_texts(data: list[bytes]) -> list[int]:
+    """The texts that hold what _UNUSUAL finds."""
+    b, first = _joined(data)
+    odd = ~_KNOWN[b]
+    odd[:-1] |= (b[:-1] == 0x3C) & (b[1:] == 0x7C)  # <|
+    odd[:-1] |= (b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7))  # the signs for times and divided by
+    return np.unique(np.searchsorted(first, np.flatnonzero(odd), side="right") - 1).tolist()
+
+
+def _cut_words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts without anything unusual in small letters, joined; where each begins; where words, and white space between them, are cut as by _WORD."""
+    b, first = _joined(data)
+    opens = b == 0xC3
+    b = _SMALL[b]
+    b[1:] += (opens[:-1] & (b[1:] < 0x9F)).view(np.uint8) << 5
+    kind = _KIND[b]
+    cut = kind == 2  # a digit is a word
+    cut[0] = True
+    cut[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(b == 0x27)
+    at = at[cut[at]]  # a quote that is not within other signs
+    one, two = b[at + 1], b[at + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+    cut[at[short | long] + 1] = False
+    cut[at[short] + 2] = True
+    cut[at[long] + 3] = True
+    return b, first, np.append(np.flatnonzero(cut), len(b)).astype(np.int32)
+
+
 class WordBpe:
     """ids of whole texts as little-endian 32-bit bytes, for lower-casing BPE with word ends."""
 
@@ -110,9 +169,38 @@ class WordBpe:
             return b"".join(self._whole(x) if odd else self._looked_up(x) for odd, x in stretches(text, _UNUSUAL))
         return self._looked_up(text)
 
-    def _whole(self, text: str) -> bytes:
-        import numpy as np
+    def encode_all(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of whole texts in their order: the ids of a run's texts, each with end_id after it, and how many ids each has."""
+        upto = np.cumsum([0, *pc.fill_null(pc.binary_length(texts), 0).to_pylist()])
+        at = 0
+        while at < len(texts):
+            stop = int(np.searchsorted(upto, upto[at] + RUN_BYTES))
+            ids, n = self._run([x or b"" for x in texts[at:stop].cast(pa.binary()).to_pylist()])
+            yield np.insert(ids, np.cumsum(n), end_id), n + 1
+            at = stop
+
+    def _run(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        aside = {i: self.encode(data[i].decode()) for i in (_unusual_texts(data) if self.known else range(len(data)))}
+        if aside:
+            data = [b"" if i in aside else x for i, x in enumerate(data)]
+        lowered, first, cuts = _cut_words(data)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(lowered)).dictionary_encode()
+        table = self.table
+        found = [b"" if w.isspace() else table[w] for w in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        n = np.array([*map(len, found)], np.int32) // 4
+        place, which = np.cumsum(n, dtype=np.int32) - n, pieces.indices.to_numpy()
+        each = n[which]
+        ends = np.cumsum(each, dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1], dtype=np.int32) + np.repeat(place[which] - ends + each, each)]
+        # White space has no ids, so it doesn't matter that a text's own may go with the sign before the text.
+        starts = np.append(0, ends)[np.searchsorted(cuts, first)]
+        if not aside:
+            return ids, np.diff(starts)
+        raw, bounds = ids.tobytes(), (4 * starts).tolist()
+        parts = [aside[i] if i in aside else raw[bounds[i] : bounds[i + 1]] for i in range(len(data))]
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts])
 
+    def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _looked_up(self, text: str) -> bytes:

@@ -13,6 +13,7 @@ the same id are ordered by their text's hash and each kept; other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,23 @@ def pack_words(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, "<u8")
     last = len(PACKING) - 1
-    limits = np.array([1 << bits for _, bits in PACKING], np.uint64)
-    need = np.searchsorted(limits, values, side="right").astype(np.int8)  # the first selector wide enough; 14: escape
-    best = np.where(need > last, ESCAPE, last).astype(np.int8)
-    for s in range(last - 1, int(need.min()) - 1, -1):
-        count = PACKING[s][0]
-        over = np.zeros(n + count + 1, np.int32)
-        np.cumsum(need > s, out=over[1 : n + 1])
-        over[n + 1 :] = over[n]
-        best[over[count : count + n] == over[:n]] = s
-    counts = np.ones(16, np.int64)
+    need = np.zeros(n + PACKING[0][0], np.int8)  # the first selector wide enough, last + 1: escape; none past the end
+    for _, bits in PACKING:
+        need[:n] += values >= np.uint64(1 << bits)
+    best = np.where(need[:n] > last, ESCAPE, last).astype(np.int8)
+    widest, span = need[:n].copy(), 1  # of the next `span` values
+    for s in range(last - 1, -1, -1):
+        for k in range(span, PACKING[s][0]):
+            np.maximum(widest, need[k : k + n], out=widest)
+        span = PACKING[s][0]
+        best[widest <= s] = s
+    counts = np.ones(16, np.uint8)
     counts[: len(PACKING)] = [c for c, _ in PACKING]
-    step = (np.arange(n) + counts[best]).tolist()
+    step = counts[best].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
-        i = step[i]
+        i += step[i]
     at = np.array(at)
     chosen = best[at]
     place = np.arange(len(at)) + np.concatenate(([0], np.cumsum(chosen == ESCAPE)[:-1]))
@@ -95,20 +97,18 @@ def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blocks(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(WordBpe, path).encode
+        encode = encoder(WordBpe, path).encode_all
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         kind = pa.int64()
         counts: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.concatenate(parts)
             return pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int32()),
@@ -124,16 +124,18 @@ def _blocks(path: str, end_id: int):
         held = 0
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                docs.append(doc)
-                counts.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-                if held >= BLOCK_IDS:
-                    yield close()
-                    block, first, held = block + 1, first + held, 0
-                    docs, counts, parts = [], [], []
+            named = iter(batch.column(0).to_pylist())
+            for ids, n in encode(batch.column(1), end_id):
+                ends = np.cumsum(n).tolist()
+                for doc, k, stop in zip(islice(named, len(ends)), n.tolist(), ends):
+                    docs.append(doc)
+                    counts.append(k)
+                    parts.append(ids[stop - k : stop])
+                    held += k
+                    if held >= BLOCK_IDS:
+                        yield close()
+                        block, first, held = block + 1, first + held, 0
+                        docs, counts, parts = [], [], []
         if docs:
             yield close()
 

@@ -4,12 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenplex.llm import near_dedup, packing, piece_codec, queries, token_counts, token_files
+from lumenplex.llm import near_dedup, packing, piece_codec, pretokens, queries, token_counts, token_files
 from lumenplex.llm.common import written
 from lumenplex.llm.pretokens import ByteBpe, Pieces, WordBpe, stretches
 
@@ -89,6 +90,45 @@ def test_encoders_equal_the_libraries_around_odd_signs(libraries, encoders, part
     same("plain words before " + " ".join(parts) + " and plain words after", libraries, encoders)
 
 
+def together(encoder, texts):
+    """The ids of each text, without the end id, as encode_all gives them."""
+    out = []
+    for ids, n in encoder.encode_all(pa.array(texts, pa.string()), 7):
+        assert ids.dtype == np.uint32 and n.sum() == len(ids)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert [x.pop() for x in out] == [7] * len(texts)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 200, 8 << 20])
+def test_texts_encoded_together_equal_the_library(libraries, encoders, monkeypatch, size):
+    monkeypatch.setattr(pretokens, "RUN_BYTES", size)
+    texts = [*ODD, *reversed(ODD), "'s", "s", "'", "t'", "x'S'T'", "''s '", " ", "\n\n", "ÿ", "À", "'l", "l", "'r", "e", "a×b", "a÷b", "<", "|", "end\r"]
+    assert together(encoders[0], texts) == [libraries[0].encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert together(WordBpe(queries.tokenizer("word_bpe_49k.json"), 3), texts) == together(encoders[0], texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abcXYZéÀßÞ×'srtvemld  \n\t.,!?<|0123_-’日"), max_size=30), max_size=8))
+def test_any_texts_encoded_together_equal_the_library(libraries, encoders, texts):
+    assert together(encoders[0], texts) == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_looked_up_once_for_many_texts():
+    w = WordBpe(queries.tokenizer("word_bpe_49k.json"))
+
+    class Counted(type(w.table)):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    w.table = Counted(w.library.model.tokenize, 100)
+    assert len(together(w, ["Three little words", "little words, three"] * 500)) == 1000
+    assert Counted.asked == 4  # the comma is the fourth
+
+
 def test_only_what_is_around_an_odd_sign_goes_to_the_library():
     text = "one two three’s four five <| six seven"
     parts = stretches(text, re.compile(r"’|<\|"))
@@ -115,6 +155,22 @@ def test_simple8b_round_trip(values):
     assert token_files.unpack_words(token_files.pack_words(x), len(x)).tolist() == values
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70000), st.integers(0, 2**64 - 1)), max_size=200))
+def test_simple8b_takes_as_many_as_fit(values):
+    want, i = [], 0
+    while i < len(values):
+        s = next((s for s, (n, bits) in enumerate(token_files.PACKING) if all(v < 1 << bits for v in values[i : i + n])), token_files.ESCAPE)
+        if s == token_files.ESCAPE:
+            want += [s << 60, values[i]]
+            i += 1
+        else:
+            n, bits = token_files.PACKING[s]
+            want.append(s << 60 | sum(v << k * bits for k, v in enumerate(values[i : i + n])))
+            i += n
+    assert token_files.pack_words(np.array(values, np.uint64)).tolist() == want
+
+
 def test_simple8b_packs_small_ids_densely():
     assert len(token_files.pack_words(np.ones(600, np.uint64))) == 10
 
