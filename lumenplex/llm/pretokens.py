@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 TABLE_LIMIT = 400_000
 
 #: Bytes of the texts whose words are looked up together, with one text more at most. More share more words; a task holds several arrays as long.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 _BEYOND = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
 _UNUSUAL = re.compile(_BEYOND.pattern + r"|<\|")
