@@ -14,11 +14,14 @@ PLACES = ("i", "j", "k")
 
 
 def face_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """mesh, fid and the corners' coordinates a_x .. c_z of every face."""
+    """mesh, fid and the corners' coordinates a_x .. c_z of every face.
+
+    The joins merge: either side may be made of arrays that Spark's estimate counts as one row, so it would be sent whole.
+    """
     out = faces.select("mesh", "fid", "a", "b", "c")
     for corner in "abc":
         own = vertices.select("mesh", F.col("vid").alias(corner), *[F.col(x).cast("double").alias(f"{corner}_{x}") for x in "xyz"])
-        out = out.join(own, ["mesh", corner])
+        out = out.join(own.hint("merge"), ["mesh", corner])
     return out.drop("a", "b", "c")
 
 

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from lumenplex.jobs.model_queries import part_meshes
 from lumenplex.operators import alpha_shapes, voxels
 
 
@@ -123,3 +124,10 @@ def test_blocks_give_what_one_block_gives(spark):
     many, one = (sorted(map(tuple, alpha_shapes.small_simplices(points, 1.5, w).select("p0", "p1", "p2", "p3").collect())) for w in (3.0, 1000.0))
     assert many == one and len(one) > 500
     assert alpha_shapes.small_simplices(points.limit(0), 1.5).count() == 0
+
+
+def test_corners_join_without_a_broadcast(spark):
+    """Exploded arrays look small to Spark: a million meshes were sent whole."""
+    vertices, faces = part_meshes(spark, "/root/testdata/sf0.001")
+    plan = voxels.boundary_voxels(vertices, faces, 8.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
