@@ -5,13 +5,19 @@ Vertices: mesh, vid, x, y, z. Faces: mesh, fid, a, b, c. Voxels: mesh, i, j, k,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PLACES = ("i", "j", "k")
 
+#: Voxels that a task fills, or returns, together.
+TOGETHER = 1 << 18
+
 
 def face_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh, fid and the corners' coordinates a_x .. c_z of every face.
@@ -60,60 +66,102 @@ def boundary_voxels(vertices: DataFrame, faces: DataFrame, pitch: float, lows: t
     return out
 
 
+def enclosed(plane: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of open places that no path of open neighbours leads out of, in many planes at once.
+
+    plane, x, y: voxels, sorted, each once. A run is a gap between two voxels of a row: it ends at voxel number `at` and
+    goes from `start` to `stop`. A gap is out if a row beside its own is absent or doesn't span it, or if it touches one
+    that is out.
+    """
+    if not len(x):
+        return (np.empty(0, np.int64),) * 3
+    fresh = np.r_[True, (plane[1:] != plane[:-1]) | (x[1:] != x[:-1])]
+    first, row = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    last = np.r_[first[1:], len(x)] - 1
+    at = np.flatnonzero(~fresh[1:] & (y[1:] - y[:-1] > 1)) + 1
+    start, stop, row = y[at - 1] + 1, y[at], row[at]
+    out, next_to = np.zeros(len(at), bool), None
+    for step in (-1, 1):
+        beside = np.clip(row + step, 0, len(first) - 1)
+        there = first[beside]
+        next_to = (plane[there] == plane[at]) & (x[there] == x[at] + step)
+        out |= ~next_to | (start < y[there]) | (stop - 1 > y[last[beside]])
+    low = y.min()
+    wide = y.max() - low + 2
+    own = np.flatnonzero(next_to)  # the row after theirs is beside it
+    begin = np.searchsorted(row * wide + (stop - low), (row[own] + 1) * wide + (start[own] - low), "right")
+    end = np.searchsorted(row * wide + (start - low), (row[own] + 1) * wide + (stop[own] - low), "left")
+    times = end - begin
+    a, b = np.repeat(own, times), _ranges(begin, times)
+    source, target = np.r_[a, b], np.r_[b, a]
+    order = np.argsort(source, kind="stable")
+    target = target[order]
+    here = np.searchsorted(source[order], np.arange(len(at) + 1))
+    front = np.flatnonzero(out)
+    while len(front):
+        met = target[_ranges(here[front], here[front + 1] - here[front])]
+        front = np.unique(met[~out[met]])
+        out[front] = True
+    return at[~out], start[~out], stop[~out]
+
+
+def _ranges(begin: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 ..., so many times each, one after the other."""
+    return np.arange(times.sum()) + np.repeat(begin - np.cumsum(times) + times, times)
+
+
 def holes(filled: np.ndarray) -> np.ndarray:
-    """Places of a plane that aren't filled and that no path of open neighbours leads out of: runs of open places, joined row by row."""
-    padded = np.pad(~filled, 1, constant_values=True)
-    edge = np.diff(np.pad(padded, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, start = np.nonzero(edge == 1)
-    stop = np.nonzero(edge == -1)[1]
-    parent = list(range(len(row)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    first = np.searchsorted(row, np.arange(len(padded) + 1)).tolist()
-    starts, stops = start.tolist(), stop.tolist()
-    for r in range(1, len(padded)):
-        a, b = first[r - 1], first[r]
-        while a < first[r] and b < first[r + 1]:
-            if starts[a] < stops[b] and starts[b] < stops[a]:
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-            if stops[a] < stops[b]:
-                a += 1
-            else:
-                b += 1
-    inside = np.array([root(x) != 0 for x in range(len(row))], bool)  # the first run is the rim's
-    out = np.zeros(padded.shape, bool)
-    for r, s, e in zip(row[inside].tolist(), start[inside].tolist(), stop[inside].tolist()):
-        out[r, s:e] = True
-    return out[1:-1, 1:-1]
-
-
-def filled_planes(voxels: DataFrame, across: str) -> DataFrame:
-    """voxels and what they enclose within each plane across an axis. Planes, as wide as their voxels, are filled one at a time; a group holds several."""
+    """Places of a plane that aren't filled and that no path of open neighbours leads out of."""
+    x, y = np.nonzero(filled)
+    at, start, stop = enclosed(np.zeros(len(x), np.int64), x, y)
+    out = np.zeros(filled.shape, bool)
+    out[np.repeat(x[at], stop - start), _ranges(start, stop - start)] = True
+    return out
+
+
+def filled_planes(voxels: DataFrame, across: str, together: int = TOGETHER) -> DataFrame:
+    """Distinct voxels and what they enclose within each plane across an axis.
+
+    A task reads its planes sorted and fills those that it has whole, `together` voxels at once or one plane if that has
+    more; what it holds grows with the voxels of a plane, not with its width or with the task's rows.
+    """
     u, v = (p for p in PLACES if p != across)
     columns = ["mesh", *PLACES]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for (mesh, at), own in pdf.groupby(["mesh", across], sort=False):
-            x, y = own[u].to_numpy(), own[v].to_numpy()
-            plane = np.zeros((x.max() - x.min() + 1, y.max() - y.min() + 1), bool)
-            plane[x - x.min(), y - y.min()] = True
-            if min(plane.shape) > 2:  # narrower ones have no inside
-                plane |= holes(plane)
-            a, b = np.nonzero(plane)
-            parts.append(pd.DataFrame({"mesh": mesh, across: at, u: a + x.min(), v: b + y.min()})[columns])
-        return pd.concat(parts)
+    def fill(planes: pa.Table) -> Iterator[pa.RecordBatch]:
+        mesh = planes["mesh"].combine_chunks()
+        code = mesh.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        c, x, y = (planes[p].to_numpy().astype(np.int64) for p in (across, u, v))
+        new = np.r_[True, (code[1:] != code[:-1]) | (c[1:] != c[:-1])]
+        once = np.flatnonzero(new | np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        yield from planes.take(pa.array(once)).to_batches()
+        at, start, stop = enclosed((np.cumsum(new) - 1)[once], x[once], y[once])
+        at, upto = once[at], np.cumsum(stop - start)
+        for k in range(0, int(upto[-1]) if len(upto) else 0, together):  # an inside may be far larger than its rim
+            number = np.arange(k, min(k + together, int(upto[-1])))
+            gap = np.searchsorted(upto, number, "right")
+            places = {across: c[at[gap]], u: x[at[gap]], v: stop[gap] - upto[gap] + number}
+            yield pa.RecordBatch.from_arrays([mesh.take(pa.array(at[gap])), *[pa.array(places[p].astype(np.int32)) for p in PLACES]], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, most = [], 0, together
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= most:
+                planes = pa.Table.from_batches(held).combine_chunks()
+                same = pc.and_(*[pc.fill_null(pc.equal(planes[p], planes[p][-1]), False) if planes[p][-1].is_valid else pc.is_null(planes[p]) for p in ("mesh", across)])
+                whole = pc.index(same, True).as_py()  # all rows before the last plane's
+                if whole:
+                    yield from fill(planes.slice(0, whole))
+                held, rows = planes.slice(whole).to_batches(), rows - whole
+                most = max(together, 2 * rows)
+        if rows:
+            yield from fill(pa.Table.from_batches(held))
 
     kind = voxels.schema["mesh"].dataType.simpleString()
-    groups = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
-    spread = F.pmod(F.xxhash64("mesh", across), F.lit(groups))
-    return voxels.select(*columns).groupBy(spread.alias("g")).applyInPandas(run, f"mesh {kind}, i int, j int, k int")
+    dealt = voxels.select(*columns).repartition("mesh", across).sortWithinPartitions("mesh", across, u, v)
+    return dealt.mapInArrow(run, f"mesh {kind}, i int, j int, k int")
 
 
 def filled(voxels: DataFrame) -> DataFrame:

@@ -131,3 +131,18 @@ def test_corners_join_without_a_broadcast(spark):
     vertices, faces = part_meshes(spark, "/root/testdata/sf0.001")
     plan = voxels.boundary_voxels(vertices, faces, 8.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 18])
+def test_planes_are_filled_some_at_once(spark, together):
+    """Whatever is filled together; a voxel far off, in a plane of 10^12 places, takes no memory."""
+    rng = np.random.default_rng(together)
+    rows, want = [(None, 0, x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)], {(None, 0, x, y) for x in range(3) for y in range(3)}
+    for mesh, at in itertools.product("abc", range(-2, 5)):
+        plane = rng.random(rng.integers(1, 16, 2)) < 0.6
+        rows += [(mesh, at, int(x) - 3, int(y) - 4) for x, y in np.argwhere(plane)]
+        want |= {(mesh, at, int(x) - 3, int(y) - 4) for x, y in np.argwhere(plane | open_fill(plane))}
+    far = [("a", 1, 10**6, 0), ("a", 1, 0, -(10**6))]
+    df = spark.createDataFrame(rows + far + rows[:40], "mesh string, i int, j int, k int")
+    got = [tuple(r) for r in voxels.filled_planes(df, "i", together).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | set(far)
