@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tiles of equal boxes in one row; tasks, by the first tiles, that share a cell's pairs.
+TOGETHER, SHARES = 256, 16
+
 MODES = ("short", "reduplicate", "drop")
 
 
@@ -73,26 +76,38 @@ def owned(rows: DataFrame, axes: list[str]) -> DataFrame:
     return rows.where(keep)
 
 
-def neighbours(tiled: DataFrame, axes: list[str], what: str = "look") -> DataFrame:
+def neighbours(tiled: DataFrame, axes: list[str], what: str = "look", together: int = TOGETHER) -> DataFrame:
     """Pairs of tiles (tile, other) whose boxes overlap.
 
-    Boxes meet in grid cells as wide as the widest box; a pair counts in the cell where what they share begins.
+    Tiles of equal boxes are taken together, up to `together` in a row; such rows meet in grid cells as wide as the widest
+    box, and a pair of rows counts in the cell where what they share begins. Only then are their tiles paired: what is
+    compared grows with the different boxes, what is returned with the pairs. Each cell's rows are dealt to several tasks.
     """
     widest = tiled.agg(*[F.max(F.col(f"{what}_stop_{x}") - F.col(f"{what}_start_{x}")).alias(x) for x in axes]).first()
     width = {x: max(int(widest[x] or 1), 1) for x in axes}
+    bounds = [f"{end}_{x}" for x in axes for end in ("start", "stop")]
+    boxes = tiled.select("tile", *[F.col(f"{what}_{b}").alias(b) for b in bounds])
+    for x in axes:
+        boxes = boxes.where(F.floor(f"start_{x}") <= F.floor(F.col(f"stop_{x}") - 1))
+    number = F.row_number().over(Window.partitionBy(*bounds).orderBy("tile")) - 1
+    alike = boxes.withColumn("part", F.floor(number / together)).groupBy(*bounds, "part").agg(F.collect_list("tile").alias("tiles"))
 
     def side(name: str) -> DataFrame:
-        out = tiled.select(F.col("tile").alias(name), *[F.col(f"{what}_{end}_{x}").alias(f"{name}_{end}_{x}") for x in axes for end in ("start", "stop")])
+        out = alike.select(F.col("tiles").alias(name), *[F.col(b).alias(f"{name}_{b}") for b in bounds])
         for x in axes:
             first, last = (F.floor(F.col(f"{name}_{end}_{x}") - off).cast("long") for end, off in (("start", 0), ("stop", 1)))
-            out = out.where(first <= last).select("*", F.explode(F.sequence(F.floor(first / width[x]), F.floor(last / width[x]))).alias(f"cell_{x}"))
+            out = out.select("*", F.explode(F.sequence(F.floor(first / width[x]), F.floor(last / width[x]))).alias(f"cell_{x}"))
         return out
 
-    meet = F.col("tile") != F.col("other")
+    meet = F.lit(True)
     for x in axes:
         low, high = F.greatest(f"tile_start_{x}", f"other_start_{x}"), F.least(f"tile_stop_{x}", f"other_stop_{x}")
         meet = meet & (low < high) & (F.floor(low / width[x]) == F.col(f"cell_{x}"))
-    return side("tile").join(side("other"), [f"cell_{x}" for x in axes]).where(meet).select("tile", "other")
+    ours = side("tile").withColumn("share", F.pmod(F.xxhash64("tile"), F.lit(SHARES)))
+    theirs = side("other").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    met = ours.join(theirs.hint("merge"), [*[f"cell_{x}" for x in axes], "share"]).where(meet)
+    pairs = met.select(F.explode("tile").alias("tile"), "other").select("tile", F.explode("other").alias("other"))
+    return pairs.where(F.col("tile") != F.col("other"))
 
 
 def simple_tiles(start: int, stop: int, size: int, drop_last: bool = True) -> list[tuple[int, int]]:

@@ -1,5 +1,7 @@
 """Operators on small inputs with known results, after the reference's own checks and beyond them."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -453,3 +455,38 @@ def test_decoys_are_found_block_by_block(spark):
     every = [tuple(r) for r in codebooks.decoys(book, 4, 3, 2, 6).collect()]
     assert every == [tuple(r) for r in codebooks.decoys(book, 4, 3, 2, 6, block=2).collect()] and len(every) % 4 == 0 and every
     assert codebooks.decoys(book, 4, 3, 2, 1000, block=5).count() == codebooks.decoys(book, 4, 3, 2, 1000).count()
+
+
+def joined(df):
+    """Rows that the last join of a query gives."""
+    df._jdf.queryExecution().toRdd().count()
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "Join" in node.nodeName():
+            return node.metrics().apply("numOutputRows").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+
+
+@pytest.mark.parametrize("together", [1, 3, 256])
+def test_overlapping_boxes_equal_a_loop(spark, together):
+    rng = np.random.default_rng(together)
+    low = rng.integers(-6, 7, (120, 2))
+    rows = [(k % 115, int(a), int(a + s), int(b), int(b + t)) for k, ((a, b), (s, t)) in enumerate(zip(low, rng.integers(-1, 5, (120, 2))))]
+    rows += [(200 + k, 0, 3, 0, 2) for k in range(20)] + [(300, None, 3, 0, 2), (None, 0, 3, 0, 2)]
+    df = spark.createDataFrame(rows, "tile long, look_start_x long, look_stop_x long, look_start_y long, look_stop_y long")
+    got = Counter(map(tuple, tiling.neighbours(df, ["x", "y"], together=together).collect()))
+    real = [r for r in rows if None not in r and r[1] < r[2] and r[3] < r[4]]
+    want = Counter((p[0], q[0]) for p in real for q in real if p[0] != q[0] and p[1] < q[2] and q[1] < p[2] and p[3] < q[4] and q[3] < p[4])
+    assert got == want
+
+
+def test_equal_boxes_are_compared_together(spark):
+    rows = [(k, 0, 3, 0, 2) for k in range(1000)]
+    df = spark.createDataFrame(rows, "tile long, look_start_x long, look_stop_x long, look_start_y long, look_stop_y long")
+    found = tiling.neighbours(df, ["x", "y"])
+    assert joined(found) <= 16 and found.count() == 1000 * 999
