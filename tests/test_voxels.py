@@ -1,6 +1,7 @@
 """Voxels of meshes against recursion and flood fills; shapes of points against all sets of four."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -146,3 +147,44 @@ def test_planes_are_filled_some_at_once(spark, together):
     df = spark.createDataFrame(rows + far + rows[:40], "mesh string, i int, j int, k int")
     got = [tuple(r) for r in voxels.filled_planes(df, "i", together).collect()]
     assert len(got) == len(set(got)) and set(got) == want | set(far)
+
+
+def test_a_block_takes_about_as_long_as_it_has_points(spark):
+    """Each point was compared with all tetrahedra so far."""
+    rng = np.random.default_rng(3)
+
+    def small(n, width):
+        points = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(rng.normal(size=(n, 3)))], "shape int, pid long, x double, y double, z double").cache()
+        points.count()
+        began = time.perf_counter()
+        found = alpha_shapes.small_simplices(points, 0.8, width).collect()
+        return time.perf_counter() - began, found, points
+
+    small(50, 1000.0)
+    few, many = small(1500, 1000.0), small(12000, 1000.0)
+    assert many[0] < 8 * few[0]
+    four = np.array([r[1:5] for r in many[1]])
+    p = np.array([r[2:] for r in sorted(many[2].collect(), key=lambda r: r.pid)])
+    faces = np.concatenate([four[:, list(f)] for f in itertools.combinations(range(4), 3)])
+    assert len(np.unique(four, axis=0)) == len(four) and np.unique(faces, axis=0, return_counts=True)[1].max() == 2
+    for corners, r in zip(four[::97], [r.radius for r in many[1]][::97]):
+        centre = np.linalg.solve(2 * (p[corners[1:]] - p[corners[0]]), (p[corners[1:]] ** 2).sum(1) - (p[corners[0]] ** 2).sum())
+        assert np.isclose(np.linalg.norm(p[corners[0]] - centre), r, atol=1e-6) and (np.linalg.norm(p - centre, axis=1) > r - 1e-6).all()
+
+
+@pytest.mark.parametrize("kind", ["lattice", "dense spot", "hollow", "flat"])
+def test_odd_clouds_have_the_simplices_of_all_sets_of_four(spark, kind):
+    """Points in general position but for `lattice`, whose tetrahedra fill it once."""
+    rng = np.random.default_rng(4)
+    p = {
+        "lattice": np.argwhere(np.ones((4, 5, 3))).astype(float),
+        "dense spot": np.concatenate((rng.normal(size=(14, 3)) * 0.05, rng.normal(size=(10, 3)))),
+        "hollow": (u := rng.normal(size=(24, 3))) / np.linalg.norm(u, axis=1)[:, None] * (1 + rng.random((24, 1)) / 9),
+        "flat": rng.random((22, 3)) * (1, 1, 0.001),
+    }[kind]
+    points = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], "shape int, pid long, x double, y double, z double")
+    found = {tuple(r[1:5]) for r in alpha_shapes.small_simplices(points, 0.95).collect()}
+    if kind == "lattice":
+        assert np.isclose(sum(abs(np.linalg.det(p[list(f[1:])] - p[f[0]])) for f in found) / 6, 3 * 4 * 2)
+    else:
+        assert found == small_by_hand(p, 0.95)
