@@ -180,7 +180,9 @@ def small_simplices(points: DataFrame, radius: float, width: float | None = None
         return pd.DataFrame({"shape": pdf["shape"].iloc[0]} | {f"p{k}": ids[:, k] for k in range(4)} | {"radius": size})
 
     kind = points.schema["shape"].dataType.simpleString()
-    return moved.groupBy("shape", *[f"__b{x}" for x in AXES]).applyInPandas(run, f"shape {kind}, p0 long, p1 long, p2 long, p3 long, radius double")
+    keys = ["shape", *[f"__b{x}" for x in AXES]]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that Spark doesn't merge them: few bytes are much work
+    return moved.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, f"shape {kind}, p0 long, p1 long, p2 long, p3 long, radius double")
 
 
 def alpha_surface(points: DataFrame, radius: float, width: float | None = None) -> DataFrame:

@@ -188,3 +188,11 @@ def test_odd_clouds_have_the_simplices_of_all_sets_of_four(spark, kind):
         assert np.isclose(sum(abs(np.linalg.det(p[list(f[1:])] - p[f[0]])) for f in found) / 6, 3 * 4 * 2)
     else:
         assert found == small_by_hand(p, 0.95)
+
+
+def test_blocks_stay_in_tasks_of_their_own(spark):
+    """Their points are few bytes, for which one task did all of them."""
+    rng = np.random.default_rng(5)
+    points = spark.createDataFrame([(s, i, *map(float, x)) for s in range(20) for i, x in enumerate(rng.random((20, 3)))], "shape int, pid long, x double, y double, z double")
+    found = alpha_shapes.small_simplices(points, 0.3, 10.0)
+    assert found.rdd.getNumPartitions() == 4 and found.count() > 0
